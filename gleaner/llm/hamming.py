@@ -103,7 +103,7 @@ def search(rows: DataFrame, k: int = 10, every: int = 50, segments: int = 4, blo
     blocks, groups = max(1, -(-n_entries // block_entries)), max(1, -(-n_questions // block_queries), min(shuffle_partitions(spark), n_questions // 256))
     part = F.pmod(F.xxhash64("code"), F.lit(blocks))
     left = entries.select(part.alias("block"), "code", "n").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = questions.select("code", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(groups)).cast("int").alias("group")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    right = questions.select("code", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(groups)).cast("int").alias("group")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def answer(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         codes, queries = mine["code"].to_numpy().view(np.uint64), theirs["code"].to_numpy().view(np.uint64)

@@ -40,6 +40,10 @@ HOT = 2000
 ROW = "kind int, key long, a long, b long, n int, blob binary"
 
 
+def salt_of(n: int) -> np.uint64:
+    return np.uint64((n * int(ODD)) & (2**64 - 1))
+
+
 def shingles(column: pa.Array, words: int) -> list[np.ndarray]:
     """The hashes of each text's distinct shingles."""
     data, offsets = spaced_buffer(pa.chunked_array([column]) if isinstance(column, pa.Array) else column)
@@ -47,14 +51,14 @@ def shingles(column: pa.Array, words: int) -> list[np.ndarray]:
     begin, end = word_bounds(data)
     ends = np.searchsorted(begin, offsets[1:], side="left")
     symbols = word_symbols(data, begin, end)
-    full = mix(grams(symbols, words) + np.uint64(words) * ODD)
+    full = mix(grams(symbols, words) + salt_of(words))
     out, at = [], 0
     for stop in ends.tolist():
         n = stop - at
         if n >= words:
             out.append(np.unique(full[at : stop - words + 1]))
         elif n:
-            out.append(mix(grams(symbols[at:stop], n) + np.uint64(n) * ODD))
+            out.append(mix(grams(symbols[at:stop], n) + salt_of(n)))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
         at = stop
@@ -153,7 +157,7 @@ def clustered(docs: DataFrame, level: np.ndarray, salts: dict[int, int], buckets
                     key = int(s.min()) if len(s) else node & (2**63 - 1)
                     signed = key - (1 << 64) if key >= 1 << 63 else key
                     salt = node % salts[signed] if signed in salts else 0
-                    to.append(int(mix(np.array([key], dtype=np.uint64) + np.uint64(salt) * ODD)[0] % np.uint64(buckets)))
+                    to.append(int(mix(np.array([key], dtype=np.uint64) + salt_of(salt))[0] % np.uint64(buckets)))
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), part["node"], part["doc_id"], part["text"]], names=["bucket", "node", "doc_id", "text"])
 
     def cluster(table: pa.Table) -> pa.Table:

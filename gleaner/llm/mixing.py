@@ -13,6 +13,8 @@ ignored.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most
     fill = all_rows.orderBy("ratio", "source_no")
     upto = fill.rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("level", (share * F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))))
-    per = per.withColumn("water", F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(all_rows))
+    per = per.withColumn("water", F.max(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(all_rows))
     per = per.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("water"), F.lit(0.0)) * F.col("weight")))
     every = F.sum("target").over(all_rows)
     high = F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, 0))
@@ -76,7 +78,7 @@ def schedule(docs: DataFrame, block_words: int = 2048, slots_at_least: int = 1 <
     pieces = placed.where("size > 0").select("row", "source_no", "size", "begin", block_no.alias("block"))
 
     grain = 4096
-    point = ((F.col("id").cast("decimal(19,0)") * F.lit(GOLDEN).cast("decimal(20,0)")) % F.lit(1 << 64).cast("decimal(20,0)")).cast("double") / float(1 << 64)
+    point = ((F.col("id").cast("decimal(18,0)") * F.lit(Decimal(GOLDEN))) % F.lit(Decimal(1 << 64))).cast("double") / float(1 << 64)
     guide = sources.where("target > 0").select("*", F.explode(F.sequence(F.floor(F.col("low") * GUIDE), F.floor(F.col("high") * GUIDE))).alias("cell"))
     chosen = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point")).withColumn("cell", F.floor(F.col("point") * GUIDE))
     chosen = chosen.join(guide, "cell").where("point >= low AND point < high").select("slot", "source_no", "source_size", "target", F.floor(F.col("slot") / grain).alias("part"))

@@ -88,7 +88,7 @@ def surrogate(key: str, kind: Column, name: Column, attempt: Column) -> Column:
     email = F.concat(shaped(F.substring_index(name, "@", 1), h), F.lit("@"), shaped(site, drawn(key, F.lit("domain"), domain, F.lit(0))), F.lit("."), ending)
     body = shaped(F.expr("substring(canon, 2, length(canon) - 2)"), h)
     head = F.concat(F.substring(name, 1, 1), body)
-    check = F.when(F.coalesce(F.luhn_check(name), F.lit(False)), ((10 - luhn_sum(head) % 10) % 10).cast("string")).otherwise((number(h, 100) % 10).cast("string"))
+    check = F.when(F.coalesce(F.call_function("luhn_check", name), F.lit(False)), ((10 - luhn_sum(head) % 10) % 10).cast("string")).otherwise((number(h, 100) % 10).cast("string"))
     card = F.concat(head, check)
     hexes = F.substring(h, 1, F.length(name))
     ip = F.concat_ws(".", *[(number(h, 4 * i, 4) % 254 + 1).cast("string") for i in range(4)])

@@ -1,6 +1,7 @@
 """Operator 6: toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated bigram models, one of toxic and one of ordinary labelled texts, back off to their class's words and
+Two interpolated bigram models, one of toxic and one of ordinary labelled texts, count how many different words stand
+before an expression (so that copies of a text count once) and back off to their class's words and
 from there to continuation counts that both classes share, so that a rare expression is smoothed alike in both. The
 difference of the log-likelihoods, normalised by length, is taken over the whole text and over its most telling stretch
 of 1 and of ``STRETCH`` words; a logistic curve, fitted on labelled rows that the models have not seen, turns the three
@@ -58,21 +59,23 @@ def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def count_bigrams(batches):
-    """Counts of (before, word) in toxic and other texts, summed per task before anything is shuffled."""
+    """The different (earlier, before, word) of toxic and of other texts, made distinct per task before anything is shuffled."""
     total: dict = {}
     held = 0
 
     def flush():
-        b, w, o, t = (np.concatenate([x[i] for x in total["parts"]]) for i in range(4))
-        key, first, which = np.unique(pair_key(b, w), return_index=True, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(b[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(np.bincount(which, o).astype(np.int64)), pa.array(np.bincount(which, t).astype(np.int64))], names=["before", "word", "n0", "n1"])
+        e, b, w, o, t = (np.concatenate([x[i] for x in total["parts"]]) for i in range(5))
+        _, first, which = np.unique(pair_key(pair_key(e, b), w), return_index=True, return_inverse=True)
+        n = [pa.array((np.bincount(which, x) > 0).astype(np.int64)) for x in (o, t)]
+        return pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in (e, b, w)), *n], names=["earlier", "before", "word", "n0", "n1"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             part = batch.slice(at, SLICE_ROWS)
             words, ends = words_of(part["text"])
             toxic = np.repeat(part["toxic"].to_numpy(zero_copy_only=False), np.diff(np.concatenate([[0], ends])))
-            total.setdefault("parts", []).append((bigrams(words, ends), words, (toxic == 0).astype(np.int64), (toxic == 1).astype(np.int64)))
+            before = bigrams(words, ends)
+            total.setdefault("parts", []).append((bigrams(before, ends), before, words, (toxic == 0).astype(np.int64), (toxic == 1).astype(np.int64)))
             held += len(words)
             if held > 1_000_000:
                 yield flush()
@@ -91,7 +94,8 @@ class Model:
         shared = np.bincount(which, minlength=size) + 0.5
         shared = shared / (shared.sum() + 0.5)
         unseen = 0.5 / (shared.sum() + 0.5) / max(size, 1)
-        single = np.stack([np.bincount(which, n[c], minlength=size) for c in (0, 1)])
+        # continuation counts of the class: a text copied often tells no more about its words than one copy
+        single = np.stack([np.bincount(which, n[c] > 0, minlength=size) for c in (0, 1)])
         self.floor = np.zeros(2)
         self.single = np.zeros((2, size))
         for c in (0, 1):
@@ -172,8 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000):
     chosen = checkpointed(marks.where("curve").orderBy(F.xxhash64("doc_id")).limit(max_rows).union(marks.where("NOT curve").orderBy(F.xxhash64("doc_id")).limit(max_rows)).select("doc_id", "toxic", "curve"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = checkpointed(texts.join(F.broadcast(chosen), "doc_id"))  # at most 2 * max_rows small rows are broadcast
-    counts = rows.where("NOT curve").select("text", "toxic").mapInArrow(count_bigrams, "before long, word long, n0 long, n1 long")
-    table = counts.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    counts = rows.where("NOT curve").select("text", "toxic").mapInArrow(count_bigrams, "earlier long, before long, word long, n0 long, n1 long")
+    kinds = counts.groupBy("earlier", "before", "word").agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"))
+    table = kinds.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     pairs = {c: table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("before", "word", "n0", "n1")}
     share = rows.agg(F.avg("toxic")).first()[0] or 0.0
     flat = np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0, 0.0])
