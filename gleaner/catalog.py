@@ -1,9 +1,35 @@
 """All registered queries of the engine, by name, and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gleaner.plans import sql
+from gleaner.plans.dialect import Duck, Spark
+
+TABLES = ("pages", "documents", "labels", "events", "conversations")
+
+
+def views(spark: SparkSession, sf_dir: str) -> None:
+    for name in TABLES:
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+
+
+def planned(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir)
+        return spark.sql(sql.PLANS[name](Spark()))
+
+    return run
+
 
 def queries() -> dict:
-    return {}
+    from gleaner.operators import pipeline
+
+    return {name: planned(name) for name in sql.PLANS} | pipeline.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from gleaner.operators import pipeline
+
+    return {name: plan(Duck()) for name, plan in sql.PLANS.items()} | pipeline.ORACLES
