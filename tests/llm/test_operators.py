@@ -1,0 +1,284 @@
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from gleaner.llm import fingerprint, hamming, jaccard, licenses, mixing, packing, pii, suffix_dedup, toxicity, tree_dedup
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, source string, sub string, chunk int, node long"
+EXTRA = ("clash", 7, 7)
+
+
+def corpus(seed=3, n=60):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 7))) for _ in range(400)]
+    passage = " ".join(rng.choice(words) for _ in range(60))
+    out = []
+    for i in range(n):
+        text = " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 5, 40, 150, 300])))
+        if i % 4 == 0:
+            text += "\n" + passage + " " + rng.choice(words)
+        if i % 5 == 0 and out:
+            text = out[rng.randrange(len(out))][1]
+        if i % 7 == 0 and out:
+            parts = (out[rng.randrange(len(out))][1] or "").split(" ")
+            parts[rng.randrange(len(parts))] = "changed"
+            text = " ".join(parts)
+        out.append((i * 3, text if i % 13 else None, f"s{i % 4}" if i % 9 else None))
+    out.append((500, "x" * 900 + " " + "ab" * 300, "s1"))
+    out.append((501, "word " * 5000, "s1"))
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, *EXTRA) for r in rows], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_suffix_dedup(docs, rows, none):
+    seen, expected = set(), {}
+    for d, t, _ in sorted(rows):
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone[i : i + 100] = [True] * 100
+            seen.add(b[i : i + 100])
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        expected[d] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == expected
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_loser_tree_merges_and_counts_prefixes():
+    rng = random.Random(0)
+    runs = []
+    for _ in range(5):
+        run = sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 12)))
+
+        def common(x, y):
+            return next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+        runs.append((run, [0] + [common(x, y) for x, y in zip(run, run[1:], strict=False)]))
+    order, shared = suffix_dedup.merge(runs)
+    at = [0] * 5
+    merged = []
+    for r in order:
+        merged.append(runs[r][0][at[r]])
+        at[r] += 1
+    assert merged == sorted(x for run, _ in runs for x in run)
+    assert shared[1:] == [common(x, y) for x, y in zip(merged, merged[1:], strict=False)]
+
+
+def test_tree_dedup(docs, rows, none):
+    words = {d: WORD.findall(t or "") for d, t, _ in rows}
+    count = collections.Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
+    expected = {}
+    for d, w in words.items():
+        gone = [False] * len(w)
+        for i in range(len(w) - 34):
+            if count[tuple(w[i : i + 35])] > 1:
+                gone[i : i + 35] = [True] * 35
+        expected[d] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in tree_dedup.remove_passages(docs).collect()} == expected
+    assert tree_dedup.remove_passages(none).count() == 0
+
+
+def brute_components(rows, words, percent):
+    low = str.maketrans({c: c.lower() for c in map(chr, range(65, 91))})
+    sets = {}
+    for d, t, _ in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets[d] = {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
+    label = {d: d for d in sets}
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]) and label[a] != label[b]:
+                x, y = sorted((label[a], label[b]))
+                label = {k: x if v == y else v for k, v in label.items()}
+    return {d: (len(sets[d]), label[d]) for d in sets}
+
+
+def test_jaccard(docs, rows, none, spark):
+    for words, percent in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(docs, words, percent).collect()}
+        assert got == brute_components(rows, words, percent)
+    assert jaccard.linked(none).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (None, "q r s t u v")], "doc_id long, text string")
+    assert sorted(r.component_id if r.component_id is not None else -1 for r in jaccard.linked(twice).collect()) == [-1, 1, 1, 1, 3, 4]
+    assert jaccard.keep_one(twice).count() == 4
+
+
+def test_fingerprints(docs, rows, none):
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    order = sorted(rows)
+    for (d, t, _), (_, f, _) in zip(order, order[1:] + order[:1], strict=True):
+        t, f = t or "", f or ""
+        k = len(t) // 4
+        assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256((t[: len(t) - k] + f[:k]).encode()).hexdigest()
+    by_text = collections.defaultdict(set)
+    for d, t, _ in rows:
+        by_text[t or ""].add(got[d].fingerprint)
+    assert all(len(x) == 1 for x in by_text.values()) and len({next(iter(x)) for x in by_text.values()}) == len(by_text)
+    words = {d: len(WORD.findall(t or "")) for d, t, _ in rows}
+    long = [r for r in got.values() if 100 < words[r.doc_id] < 1000]
+    assert np.mean([r.near_edited for r in long]) > 0.4 > np.mean([r.near_next for r in long])
+    assert fingerprint.fingerprints(none).count() == 0
+
+
+def test_fingerprints_add_up():
+    a, b, both, turned = fingerprint.vectors(["one two\nthree four", "five six seven", "one two\nthree four\nfive six seven", "five six seven\nthree four\none two"])
+    assert (fingerprint.add(a, b) == both).all() and (both == turned).all() and (fingerprint.subtract(both, b) == a).all()
+
+
+def test_mixing(docs, rows, none):
+    got = mixing.mixture(docs).toPandas()
+    sizes = {d: len(WORD.findall(t or "")) for d, t, _ in rows}
+    assert dict(zip(got.doc_id, got["size"], strict=True)) == sizes
+    by_source = collections.Counter()
+    for d, _, s in rows:
+        by_source[s] += sizes[d]
+    names = sorted((s for s in by_source if s is not None)) + [None]
+    weight = dict(zip(names, (5, 2, 1, 5, 2), strict=True))
+    target, free, total = {}, set(names), 1.5 * sum(sizes.values())
+    while True:
+        level = (total - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * by_source[s]}
+        if not over:
+            break
+        target.update({s: 2.0 * by_source[s] for s in over})
+        free -= over
+    target.update({s: level * weight[s] for s in free})
+    source = {d: s for d, _, s in rows}
+    for d, t, k, n in zip(got.doc_id, got.target, got.taken, got["size"], strict=True):
+        assert abs(t - target[source[d]]) < 1e-6 * max(1, t) and k <= 2 * n
+    taken = collections.Counter()
+    for d, k in zip(got.doc_id, got.taken, strict=True):
+        taken[source[d]] += k
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 2 for s in names)
+    again = mixing.mixture(docs).toPandas()
+    assert sorted(zip(got.doc_id, got.taken, strict=True)) == sorted(zip(again.doc_id, again.taken, strict=True))
+    assert mixing.mixture(none).count() == 0
+    mixed = mixing.mixed(docs).toPandas()
+    assert sum(len(WORD.findall(t)) for t in mixed.text) == sum(taken.values())
+
+
+def test_pii(spark, none):
+    texts = ["Mail ann.lee@mail1.example.com or ANN.LEE@MAIL1.EXAMPLE.COM now.", "Card 4111 1111 1111 1111 and 4111111111111111.", "Call +1 (663) 555-6869 from 10.1.2.3.", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"###', "Ms. Anna and Mr Боря met.", None, "", "nothing here"]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, kind string, pos int")
+    got = {r.doc_id: r for r in pii.replaced(docs, "k").collect()}
+    assert got[5].text is None and got[6].text == "" and got[7].text == "nothing here" and got[0].kind == "clash"
+    mails = re.findall(r"\S+@\S+", got[0].text)
+    assert mails[0].lower() == mails[1].lower() != "ann.lee@mail1.example.com" and mails[1].isupper()
+    cards = re.findall(r"[0-9][0-9 ]+[0-9]", got[1].text)
+    assert cards[0].replace(" ", "") == cards[1] != "4111111111111111" and cards[0].count(" ") == 3
+    digits = [int(c) for c in reversed(cards[1])]
+    assert sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(digits)) % 10 == 0
+    assert re.search(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", got[2].text) and "555-6869" not in got[2].text and "10.1.2.3" not in got[2].text
+    assert re.search(r'"[0-9a-f]{40}"###', got[3].text) and texts[3] != got[3].text
+    assert re.fullmatch(r"Ms\. [A-Z][a-z]+ and Mr [А-Я][а-я]+ met\.", got[4].text)
+    assert [got[i].n_replaced for i in range(8)] == [2, 2, 2, 1, 2, 0, 0, 0]
+    assert pii.replaced(none, "k").count() == 0
+
+
+def test_pii_draws_again_until_surrogates_differ(spark):
+    names = spark.createDataFrame([("ssn", f"{i:09d}") for i in range(300)] + [("ip", f"1.2.3.{i}") for i in range(200)], "kind string, canon string")
+    got = pii.surrogates(names, "k").toPandas()
+    assert len(got) == 500 and not got.duplicated(["kind", "fake"]).any() and not set(got.fake) & set(got.canon)
+
+
+def test_toxicity(spark, none):
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 5 == 0
+        text = [rng.choice(plain) for _ in range(rng.randrange(20, 80))]
+        if toxic:
+            text[rng.randrange(len(text))] = rng.choice(["vilest", "rotter"])
+            text[rng.randrange(len(text))] = rng.choice(["vilest", "rotter"])
+        rows.append((i, " ".join(text), *("s", *EXTRA)))
+        labels.append((i, int(toxic)))
+    rows += [(5000, None, "s", *EXTRA), (5001, "", "s", *EXTRA), (None, "vilest rotter", "s", *EXTRA)]
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score(docs, marks).toPandas()
+    assert len(got) == 903 and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
+    held = got[got.held_out & (got.doc_id < 900)]
+    assert all(h == (zlib.crc32(str(int(d)).encode()) % 5 == 0) for d, h in zip(got.doc_id, got.held_out, strict=True) if d == d)
+    assert ((held.doc_id % 5 == 0).astype(int) == held.predicted).mean() > 0.95
+    assert toxicity.score(none, marks).count() == 0
+    assert toxicity.score(docs, marks.limit(0)).toPandas().score.max() < 0.5
+    assert toxicity.keep_ordinary(docs, marks).columns == docs.columns
+
+
+def test_licenses(spark, none):
+    rows = [(1, "Copyright 2020 Someone\nReleased under the MIT licence!"), (2, "prose\nLicensed under CC BY-NC 4.0.\nmore"), (3, None), (4, "")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text_license == "MIT" and got[1].n_license_lines == 1
+    assert got[2].text_license is None and got[2].line_licenses == "CC-BY-NC-4.0"
+    assert got[3].digest == got[4].digest and got[3].n_license_lines == 0
+    assert licenses.scan(none).count() == 0
+
+
+def test_search(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 64)).round(3)
+    v[50:90] = v[3]
+    rows = [(i, [float(x) for x in v[i]]) for i in range(400)] + [(7, [float(x) for x in v[7]]), (None, [1.0]), (401, None), (402, [])]
+    got = hamming.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=10).toPandas()
+    bits = v > 0
+    for q in range(0, 400, 50):
+        dist = (bits != bits[q]).sum(axis=1)
+        expected = [(d, i) for d, i in sorted(zip(dist.tolist(), range(400), strict=True)) if i != q][:10]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(zip(mine.distance, mine.neighbor_id, strict=True)) == expected
+    assert hamming.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_packing(docs, rows, none):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    got = packing.pack(docs, path, 256).toPandas()
+    for d, t, _ in rows:
+        ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        mine = got[got.doc_id == d].sort_values("piece")
+        assert list(zip(mine.piece, mine.start, mine.length, mine.ids_crc32, strict=True)) == [(k, a, len(ids[a : a + 256]), zlib.crc32(ids[a : a + 256].tobytes())) for k, a in enumerate(range(0, len(ids), 256))]
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert (g.offset == g.length.cumsum() - g.length).all() and g.length.sum() <= 256
+    assert got.sequence_id.nunique() <= -(-got.length.sum() // 256) * 1.05 + 2
+    assert packing.pack(none, path).count() == 0
+
+
+def test_plan_is_near_the_bound():
+    rng = random.Random(9)
+    counts = collections.Counter(min(2048, int(rng.expovariate(1 / 500)) + 1) for _ in range(20000))
+    runs = packing.plan(dict(counts), 2048)
+    placed = collections.Counter()
+    for n, _, pieces, *_ in runs:
+        placed[n] += pieces
+    assert placed == counts
+    used = {s for _, _, pieces, first, each, _ in runs for s in (first, first + (pieces - 1) // each)}
+    assert max(used) + 1 <= 1.01 * sum(n * c for n, c in counts.items()) / 2048 + 1
