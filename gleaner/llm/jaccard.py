@@ -268,6 +268,23 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     return joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def fits(percent: int, places: bool = True) -> F.Column:
+    """Whether sizes, and the places of a shared shingle that is the first one, allow x and y to reach the threshold."""
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    return sizes & (room * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))) if places else sizes
+
+
+def least_shared(percent: int) -> F.Column:
+    """How many shingles the prefixes of x and y share at least if they reach the threshold.
+
+    With an overlap of o, the first n - o + k shingles of both sets share k; prefixes have n - ceil(threshold * n) + 1.
+    """
+    overlap = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))
+    spare = [overlap - F.ceil(percent * F.col(c) / 100) + 1 for c in ("x.n", "y.n")]
+    return F.greatest(F.lit(1), F.least(*spare))
+
+
 def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, and first: whether the row is the one of its component to keep.
 
@@ -280,8 +297,11 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = rows.where("kind = 1").select("a", "b")
     shared = checkpointed(shared_prefixes(rows))
 
-    star = shared.groupBy("shingle").agg(F.min("rep").alias("hub")).join(shared.select("shingle", "rep").distinct(), "shingle")
-    bridges = checkpointed(star.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    entry = F.struct("rep", "head", "n", "pos")
+    x, y = shared.groupBy("shingle").agg(F.min(entry).alias("e")).select("shingle", "e.*").alias("x"), shared.groupBy("shingle", "rep").agg(F.min(entry).alias("e")).select("shingle", "e.*").alias("y")
+    star = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & fits(percent))
+    # a hub may not be the same for all shingles, so half of what a similar pair shares is asked for; step 4 needs no luck
+    bridges = checkpointed(star.groupBy(F.col("x.head").alias("a"), F.col("y.head").alias("b")).agg(F.count("*").alias("n"), F.min(least_shared(percent)).alias("least")).where("2 * n >= least").select("a", "b"))
     bridged = checkpointed(verified(docs, bridges, words, percent))
     known = checkpointed(components(links.union(bridged)))
 
@@ -289,9 +309,8 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     mixed = place.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     place = checkpointed(place.join(mixed, "shingle"))
     x, y = place.alias("x"), place.alias("y")
-    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    fits = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (room * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n")))
-    groups = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & fits).select(F.col("x.head").alias("p"), F.col("y.head").alias("q")).distinct()
+    groups = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & fits(percent, False))
+    groups = groups.groupBy(F.col("x.head").alias("p"), F.col("y.head").alias("q")).agg(F.count("*").alias("n"), F.min(least_shared(percent)).alias("least"), F.max(fits(percent)).alias("fits")).where("n >= least AND fits").select("p", "q")
     members = rows.where("kind = 3").select(F.col("a").alias("head"), F.col("b").alias("node"))
     expanded = groups.join(members.select(F.col("head").alias("p"), F.col("node").alias("a")), "p").join(members.select(F.col("head").alias("q"), F.col("node").alias("b")), "q").select("a", "b").distinct()
     expanded = checkpointed(expanded)
