@@ -18,40 +18,100 @@ Cases: a null or empty text is the single token 0; an empty table gives no rows;
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gleaner.llm.common import checkpointed, keyed, shuffle_partitions
 
 PIECE = "doc_id long, sub long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, cache_words: int = 400_000) -> DataFrame:
-    """The pieces of every document. The tokenizer drops white space, so words are looked up one by one in a bounded memory of known ones."""
+#: Words that lower-case and normalise alike everywhere; all others are left to the tokenizer itself.
+PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
+#: What the tokenizer cuts words into before it looks for merges.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Stands for the end of a word; no UTF-8 text has this byte.
+WORD_END = b"\xff"
 
-    def cut(batches):
-        from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
-        known: dict[str, bytes] = {}
+class Words(dict):
+    """The token ids of words, as little-endian bytes; unknown words are looked up and remembered, up to a bound.
+
+    For a tokenizer whose ids rise with the order of its merges (its words end in "</w>"), plain words take a faster way to the
+    same ids: the same ranks in a byte-pair encoder, with one byte for the end of a word. The constructor checks this order;
+    without it, and for all other words, the tokenizer answers itself.
+    """
+
+    def __init__(self, path: str, bound: int):
+        super().__init__()
+        self.model, self.bound, self.fast = Tokenizer.from_file(path), bound, None
+        ranks = byte_ranks(path)
+        if ranks:
+            self.fast = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def __missing__(self, word: str) -> bytes:
+        if self.fast and PLAIN.fullmatch(word) and "<|" not in word:
+            low = word.lower()
+            ids: list[int] = []
+            for part in (low,) if low.isalpha() else PARTS.findall(low):
+                ids += self.fast(part.encode() + WORD_END)
+        else:
+            ids = self.model.encode(word, add_special_tokens=False).ids
+        found = array("I", ids).tobytes()
+        if len(self) >= self.bound:
+            self.clear()
+        self[word] = found
+        return found
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Tokens as bytes with their ids, if every merge makes a token whose id follows the merge's place."""
+    with open(path) as f:
+        model = json.load(f)["model"]
+    if model["type"] != "BPE" or model.get("end_of_word_suffix") != "</w>":
+        return None
+    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+
+    def raw(token: str) -> bytes:
+        end = token.endswith("</w>")
+        return bytes(letter[c] for c in (token[:-4] if end else token)) + WORD_END * end
+
+    ranks = {raw(c): vocab[c] for c in letter if c in vocab} | {raw(c + "</w>"): vocab[c + "</w>"] for c in letter if c + "</w>" in vocab}
+    made = [vocab[a + b] for a, b in merges]
+    if len(ranks) < 511 or made != sorted(made) or max(ranks.values()) > made[0]:
+        return None
+    ranks |= {raw(a + b): vocab[a + b] for a, b in merges}
+    return ranks
+
+
+#: Of this worker process, so that its tasks share what is known.
+_words: dict[str, Words] = {}
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, bound: int = 500_000) -> DataFrame:
+    """The pieces of every document. The tokenizer drops white space, so words are looked up one by one among known ones."""
+
+    def cut(batches):
+        known = _words.setdefault(tokenizer, None) or Words(tokenizer, bound)
+        _words[tokenizer] = known
         last = np.array([end_id], dtype="<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("sub", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
             rows: list[tuple] = []
             for doc, sub, text in zip(batch["doc_id"].to_pylist(), batch["sub"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                words = text.replace("\n", " ").split(" ")
-                new = list({w for w in words if w not in known})
-                if new:
-                    if len(known) + len(new) > cache_words:
-                        known.clear()
-                        new = list(set(words))
-                    for word, found in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        known[word] = np.array(found.ids, dtype="<u4").tobytes()
-                ids = b"".join(map(known.__getitem__, words)) + last
+                ids = b"".join(map(known.__getitem__, text.replace("\n", " ").split(" "))) + last
                 n = len(ids) // 4
                 for k, at in enumerate(range(0, n, capacity)):
                     part = ids[at * 4 : (at + capacity) * 4]
