@@ -7,7 +7,7 @@ results). Two sets that reach the threshold share one of the first n - ceil(thre
    documents (so at most 2000 of them) are told to the tasks, which salt them.
 2. *cluster*: documents go to the bucket of their smallest hash. There equal sets collapse to one, similar ones are
    linked, and documents with identical prefix and size become one group of a local cluster. Groups send prefixes.
-3. *bridge*: clusters that share a prefix shingle are compared by one document each, in a star per shingle. This joins
+3. *bridge*: clusters that share a prefix shingle are compared by one document each, in a star and a ring per shingle. This joins
    the parts of large clusters, so that step 4 has few pairs left whatever the size of a cluster.
 4. *join*: groups of different components that share a prefix shingle are candidates if sizes and positions allow the
    threshold; their members are expanded and verified on the full sets.
@@ -301,7 +301,12 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     x, y = shared.groupBy("shingle").agg(F.min(entry).alias("e")).select("shingle", "e.*").alias("x"), shared.groupBy("shingle", "rep").agg(F.min(entry).alias("e")).select("shingle", "e.*").alias("y")
     star = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & fits(percent))
     # a hub may not be the same for all shingles, so half of what a similar pair shares is asked for; step 4 needs no luck
-    bridges = checkpointed(star.groupBy(F.col("x.head").alias("a"), F.col("y.head").alias("b")).agg(F.count("*").alias("n"), F.min(least_shared(percent)).alias("least")).where("2 * n >= least").select("a", "b"))
+    starred = star.groupBy(F.col("x.head").alias("a"), F.col("y.head").alias("b")).agg(F.count("*").alias("n"), F.min(least_shared(percent)).alias("least")).where("2 * n >= least").select("a", "b")
+    # neighbours in an order that differs from shingle to shingle: a few more partners for each cluster, whatever the hub
+    ring = shared.where("pos < 3").groupBy("shingle", "rep").agg(F.min(entry).alias("e")).select("shingle", "e.*")
+    ring = ring.withColumn("y", F.lag(F.struct("head", "n", "pos")).over(Window.partitionBy("shingle").orderBy(F.xxhash64("rep", "shingle")))).where("y IS NOT NULL")
+    ringed = ring.select(F.struct("n", "pos").alias("x"), "y", "head").where(fits(percent)).select(F.col("head").alias("a"), F.col("y.head").alias("b"))
+    bridges = checkpointed(starred.union(ringed).distinct())
     bridged = checkpointed(verified(docs, bridges, words, percent))
     known = checkpointed(components(links.union(bridged)))
 
