@@ -169,7 +169,7 @@ def fold() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(-1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000):
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000):
     """(model or None, coefficients) from labelled rows outside the held-out fold."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.withColumn("fold", fold()).where("fold <> 0").withColumn("curve", F.col("fold") == 1)
@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000):
     return model, logistic(x, y)
 
 
-def score(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, keep: list[str] | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted; or the columns in ``keep`` and the score."""
     model, beta = fit(docs, labels, max_rows)
     names = ["doc_id"] if keep is None else keep
