@@ -1,6 +1,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +21,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("-" if x is None or x != x else repr(round(float(x), 9)) if isinstance(x, int | float) and not isinstance(x, bool) or hasattr(x, "dtype") and x.dtype.kind in "iuf" else str(x) for x in r) for r in frame.itertuples(index=False, name=None))
+    return sorted(tuple("-" if pd.isna(x) else repr(round(float(x), 9)) if isinstance(x, int | float) and not isinstance(x, bool) or hasattr(x, "dtype") and x.dtype.kind in "iuf" else str(x) for x in r) for r in frame.itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
