@@ -31,12 +31,15 @@ EQUAL = [("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analys
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 
 
-def canonical_sql(text: str, engine: str) -> str:
-    """The canonical form as an SQL expression; both engines read the same patterns."""
+SPELLINGS = [(a, b.replace("/", " ")) for a, b in EQUAL if a != b.replace("/", " ")]
+
+
+def canonical_sql(text: str, engine: str, plain: bool = True, spelled: bool = True) -> str:
+    """The canonical form as an SQL expression; both engines read the same patterns. plain, spelled: its two halves."""
     flag = "" if engine == "spark" else ", 'g'"
-    rules = [(COPYRIGHT_LINE, " "), (r"(\(c\)|©)", " copyright "), (r"[^\p{L}\p{N}]+", " ")]
-    rules += [(rf"\b{a}\b", b.replace("/", " ") if a != b.replace("/", " ") else b) for a, b in EQUAL if a != b.replace("/", " ")]
-    out = f"lower({text})"
+    rules = [(COPYRIGHT_LINE, " "), (r"(\(c\)|©)", " copyright "), (r"[^\p{L}\p{N}]+", " ")] if plain else []
+    rules += [(rf"\b{x}\b", y) for x, y in SPELLINGS] if spelled else []
+    out = f"lower({text})" if plain else text
     for pattern, to in rules:
         quoted = pattern.replace("\\", "\\\\") if engine == "spark" else pattern
         out = f"regexp_replace({out}, '{quoted}', '{to}'{flag})"
@@ -60,7 +63,10 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike("licen[cs]e|cc by|permission|public domain|waived"))
     # a line that has none of these words is no known text; only the others are normalised
     base = docs.select("doc_id", text.alias("text"), lines.alias("lines"))
-    base = base.withColumn("digest", F.expr(f"md5({canonical_sql('text', 'spark')})"))
+    base = base.withColumn("plain", F.expr(canonical_sql("text", "spark", spelled=False)))
+    # one pass finds the texts that have another spelling at all; only those are respelled
+    other = F.col("plain").rlike(r"\b(?:" + "|".join(x for x, _ in SPELLINGS) + r")\b")
+    base = base.withColumn("digest", F.md5(F.when(other, F.expr(canonical_sql("plain", "spark", plain=False))).otherwise(F.col("plain")))).drop("plain")
     base = base.withColumn("line_digests", F.expr(f"transform(lines, t -> md5({canonical_sql('t', 'spark')}))")).drop("text", "lines")
     whole = base.join(known.withColumnRenamed("license_id", "text_license"), "digest", "left")
     table = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("known"))
