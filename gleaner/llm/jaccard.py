@@ -7,10 +7,13 @@ results). Two sets that reach the threshold share one of the first n - ceil(thre
    documents (so at most 2000 of them) are told to the tasks, which salt them.
 2. *cluster*: documents go to the bucket of their smallest hash. There equal sets collapse to one, similar ones are
    linked, and documents with identical prefix and size become one group of a local cluster. Groups send prefixes.
-3. *bridge*: clusters that share a prefix shingle are compared by one document each, in a star and a ring per shingle. This joins
-   the parts of large clusters, so that step 4 has few pairs left whatever the size of a cluster.
-4. *join*: groups of different components that share a prefix shingle are candidates if sizes and positions allow the
-   threshold; their members are expanded and verified on the full sets.
+3. *bridge*: clusters that share a prefix shingle are compared by one document each, in a star per shingle and, for shingles of
+   many clusters, in rings of bounded size whose neighbours must have fitting sketches. This joins the parts of large
+   clusters, so that step 4 has few pairs left.
+4. *join*: groups of different components that share a prefix shingle are candidates if sizes, positions and parity
+   sketches allow the threshold; their members are expanded and verified on the full sets. A parity sketch tells for each of
+   SKETCH slots whether an odd number of shingles fall into it. Sketches of two sets differ in at most as many slots as the
+   sets do in shingles, so the filter never drops a pair that reaches the threshold.
 
 No step leaves out a candidate of different components, so components are exact; pairs inside a known component are
 not looked at. Documents are sent for verification only if they may be part of a pair, by a filter of fixed size that
@@ -37,7 +40,12 @@ BLOCK = 1 << 14
 FILTER = 1 << 23
 SLICE_ROWS = 256
 HOT = 2000
-ROW = "kind int, key long, a long, b long, n int, blob binary"
+#: Shingles of so many clusters get rings; a ring has about RING of them, each held against its LAGS predecessors.
+CROWD, RING, LAGS = 16, 1024, 6
+#: Slots of a parity sketch, and the largest set that has one: of larger ones most slots are odd or even by chance.
+SKETCH = 1 << 10
+SKETCHED = 2 * SKETCH
+ROW = "kind int, key long, a long, b long, n int, blob binary, bits array<long>"
 
 
 def salt_of(n: int) -> np.uint64:
@@ -75,6 +83,15 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set of ranked shingles, as 64-bit words."""
+    return np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).view(np.uint64)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     small, large = (x, y) if len(x) <= len(y) else (y, x)
     if 100 * len(small) < percent * len(large):
@@ -146,7 +163,8 @@ def link(sets: list[np.ndarray], percent: int) -> list[int]:
 
 def clustered(docs: DataFrame, level: np.ndarray, salts: dict[int, int], buckets: int, words: int, percent: int) -> DataFrame:
     """Rows by kind. 0: a document (a: node, b: doc_id, n: shingles). 1: a link (a, b). 2: prefixes for a bucket of
-    shingles (key, blob). 3: a member (b) of a group (a)."""
+    shingles (key, blob). 3: a member (b) of a group (a). 4: the sketch (bits) of the first member (a) of a group, and in
+    how many slots at most others of the group differ from it (n)."""
 
     def route(batches):
         for batch in batches:
@@ -169,7 +187,7 @@ def clustered(docs: DataFrame, level: np.ndarray, salts: dict[int, int], buckets
         for at in range(0, table.num_rows, SLICE_ROWS):
             for i, s in enumerate(shingles(table["text"].slice(at, SLICE_ROWS).combine_chunks(), words), at):
                 node = int(nodes[i])
-                rows.append((0, None, node, ids[i], len(s), None))
+                rows.append((0, None, node, ids[i], len(s), None, None))
                 if not len(s):
                     continue
                 smallest = int(s.min())
@@ -177,7 +195,7 @@ def clustered(docs: DataFrame, level: np.ndarray, salts: dict[int, int], buckets
                 whole = s.tobytes() if len(s) < 8 else np.array([len(s), mix(s).sum(dtype=np.uint64), mix(s * ODD).sum(dtype=np.uint64)], dtype=np.uint64).tobytes()
                 head = by_set.setdefault(whole, node)
                 if head != node:
-                    rows.append((1, None, node, head, None, None))
+                    rows.append((1, None, node, head, None, None, None))
                 elif node not in sets:
                     sets[node] = s
                     keys.setdefault(smallest, []).append(node)
@@ -186,20 +204,26 @@ def clustered(docs: DataFrame, level: np.ndarray, salts: dict[int, int], buckets
             members.sort(key=lambda x: (len(sets[x]), x))
             first = link([sets[x] for x in members], percent)
             groups: dict[tuple, int] = {}
+            sketches: dict[int, tuple[np.ndarray, int]] = {}
             for x, f in zip(members, first, strict=True):
                 rep = members[f]
                 if rep != x:
-                    rows.append((1, None, x, rep, None, None))
+                    rows.append((1, None, x, rep, None, None, None))
                 s = sets[x]
                 k = prefix_size(len(s), percent)
                 head = groups.setdefault((rep, len(s), s[:k].tobytes()), x)
-                rows.append((3, None, head, x, None, None))
+                rows.append((3, None, head, x, None, None, None))
+                if len(s) <= SKETCHED:
+                    bits = parity(s)
+                    known, slack = sketches.get(head, (bits, 0))
+                    sketches[head] = known, max(slack, differing(known, bits))
                 if head == x:
                     o.append(s[:k])
                     h.append(np.full(k, x))
                     r.append(np.full(k, rep))
                     n.append(np.full(k, len(s)))
                     p.append(np.arange(k))
+            rows += [(4, None, head, None, slack, None, bits.view(np.int64).tolist()) for head, (bits, slack) in sketches.items()]
         if o:
             o, h, r, n, p = (np.concatenate(c) for c in (o, h, r, n, p))
             to = (mix(o) % np.uint64(buckets)).astype(np.int64)
@@ -208,10 +232,10 @@ def clustered(docs: DataFrame, level: np.ndarray, salts: dict[int, int], buckets
             edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
             for i, j in zip(edge[:-1], edge[1:], strict=True):
                 blob = b"".join([o[i:j].tobytes(), h[i:j].tobytes(), r[i:j].tobytes(), n[i:j].astype(np.int32).tobytes(), p[i:j].astype(np.int32).tobytes()])
-                rows.append((2, int(to[i]), None, None, int(j - i), zlib.compress(blob, 1)))
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["kind", "key", "a", "b", "n", "blob"])
+                rows.append((2, int(to[i]), None, None, int(j - i), zlib.compress(blob, 1), None))
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["kind", "key", "a", "b", "n", "blob", "bits"])
 
     rows = noded(docs).mapInArrow(route, "bucket int, node long, doc_id long, text string")
     return rows.groupBy("bucket").applyInArrow(cluster, ROW)
@@ -268,11 +292,39 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     return joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def fits(percent: int, places: bool = True) -> F.Column:
+def fits(percent: int, places: bool = True, y: str = "y") -> F.Column:
     """Whether sizes, and the places of a shared shingle that is the first one, allow x and y to reach the threshold."""
-    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    sizes = F.least("x.n", f"{y}.n") * 100 >= F.greatest("x.n", f"{y}.n") * percent
+    if not places:
+        return sizes
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    return sizes & (room * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))) if places else sizes
+    return sizes & (room * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n")))
+
+
+def sketches_fit(percent: int, y: str = "y") -> F.Column:
+    """Whether the parity sketches of x and y, where both have one, allow members of these groups to reach the threshold.
+
+    Sets that reach it differ in at most (100 - percent) / (100 + percent) of the sum of their sizes. Sketches of members
+    differ in no fewer slots than those of the first ones do, less the slack of both groups.
+    """
+    slots = [F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(SKETCH // 64)]
+    apart = sum(slots[1:], slots[0]) - F.col("x.slack") - F.col(f"{y}.slack")
+    return F.coalesce(apart * (100 + percent) <= (F.col("x.n") + F.col(f"{y}.n")) * (100 - percent), F.lit(True))
+
+
+def ringed(shared: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of heads near each other in the rings of a shingle; the order differs from shingle to shingle.
+
+    A ring is a part of a shingle's clusters, dealt by hash, so that no task holds all of a frequent shingle.
+    """
+    each = shared.groupBy("shingle", "rep").agg(F.min(F.struct("head", "n")).alias("e")).select("shingle", "rep", "e.*")
+    crowded = each.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") >= CROWD)
+    each = each.join(crowded, "shingle").join(sketches, "head", "left").withColumn("place", F.xxhash64("rep", "shingle"))
+    order = Window.partitionBy("shingle", F.pmod("place", F.ceil(F.col("m") / RING))).orderBy("place")
+    entry = F.struct("head", "n", "bits", "slack")
+    near = each.select(entry.alias("x"), *(F.lag(entry, i).over(order).alias(f"y{i}") for i in range(1, LAGS + 1)))
+    fit = [F.when(F.col(f"{y}.head").isNotNull() & fits(percent, False, y) & sketches_fit(percent, y), F.col(f"{y}.head")) for y in (f"y{i}" for i in range(1, LAGS + 1))]
+    return near.select(F.col("x.head").alias("a"), F.explode(F.array_compact(F.array(*fit))).alias("b"))
 
 
 def least_shared(percent: int) -> F.Column:
@@ -302,19 +354,17 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     star = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & fits(percent))
     # a hub may not be the same for all shingles, so half of what a similar pair shares is asked for; step 4 needs no luck
     starred = star.groupBy(F.col("x.head").alias("a"), F.col("y.head").alias("b")).agg(F.count("*").alias("n"), F.min(least_shared(percent)).alias("least")).where("2 * n >= least").select("a", "b")
-    # neighbours in an order that differs from shingle to shingle: a few more partners for each cluster, whatever the hub
-    ring = shared.where("pos < 3").groupBy("shingle", "rep").agg(F.min(entry).alias("e")).select("shingle", "e.*")
-    ring = ring.withColumn("y", F.lag(F.struct("head", "n", "pos")).over(Window.partitionBy("shingle").orderBy(F.xxhash64("rep", "shingle")))).where("y IS NOT NULL")
-    ringed = ring.select(F.struct("n", "pos").alias("x"), "y", "head").where(fits(percent)).select(F.col("head").alias("a"), F.col("y.head").alias("b"))
-    bridges = checkpointed(starred.union(ringed).distinct())
+    sketches = rows.where("kind = 4").select(F.col("a").alias("head"), "bits", F.col("n").alias("slack"))
+    bridges = checkpointed(starred.union(ringed(shared, sketches, percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     bridged = checkpointed(verified(docs, bridges, words, percent))
     known = checkpointed(components(links.union(bridged)))
 
     place = shared.join(known, shared["rep"] == known["id"], "left").select("shingle", "head", "n", "pos", F.coalesce("component", "rep").alias("component"))
     mixed = place.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     place = checkpointed(place.join(mixed, "shingle"))
-    x, y = place.alias("x"), place.alias("y")
-    groups = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & fits(percent, False))
+    sketched = place.join(sketches, "head", "left")
+    x, y = sketched.alias("x"), sketched.alias("y")
+    groups = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & fits(percent, False) & sketches_fit(percent))
     groups = groups.groupBy(F.col("x.head").alias("p"), F.col("y.head").alias("q")).agg(F.count("*").alias("n"), F.min(least_shared(percent)).alias("least"), F.max(fits(percent)).alias("fits")).where("n >= least AND fits").select("p", "q")
     members = rows.where("kind = 3").select(F.col("a").alias("head"), F.col("b").alias("node"))
     expanded = groups.join(members.select(F.col("head").alias("p"), F.col("node").alias("a")), "p").join(members.select(F.col("head").alias("q"), F.col("node").alias("b")), "q").select("a", "b").distinct()
