@@ -10,8 +10,8 @@ results). Two sets that reach the threshold share one of the first n - ceil(thre
 3. *bridge*: clusters that share a prefix shingle are compared by one document each, in a star per shingle and, for shingles of
    many clusters, in rings of bounded size whose neighbours must have fitting sketches. This joins the parts of large
    clusters, so that step 4 has few pairs left.
-4. *join*: groups of different components that share a prefix shingle are candidates if sizes, positions and parity
-   sketches allow the threshold; their members are expanded and verified on the full sets. A parity sketch tells for each of
+4. *join*: groups of different components that share a prefix shingle are candidates if sizes, positions and, for shingles of
+   many groups, parity sketches allow the threshold; their members are expanded and verified on the full sets. A parity sketch tells for each of
    SKETCH slots whether an odd number of shingles fall into it. Sketches of two sets differ in at most as many slots as the
    sets do in shingles, so the filter never drops a pair that reaches the threshold.
 
@@ -360,12 +360,19 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     known = checkpointed(components(links.union(bridged)))
 
     place = shared.join(known, shared["rep"] == known["id"], "left").select("shingle", "head", "n", "pos", F.coalesce("component", "rep").alias("component"))
-    mixed = place.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    mixed = place.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high").select("shingle", "m")
     place = checkpointed(place.join(mixed, "shingle"))
-    sketched = place.join(sketches, "head", "left")
-    x, y = sketched.alias("x"), sketched.alias("y")
-    groups = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & fits(percent, False) & sketches_fit(percent))
-    groups = groups.groupBy(F.col("x.head").alias("p"), F.col("y.head").alias("q")).agg(F.count("*").alias("n"), F.min(least_shared(percent)).alias("least"), F.max(fits(percent)).alias("fits")).where("n >= least AND fits").select("p", "q")
+
+    def meet(of: DataFrame, *more: F.Column) -> DataFrame:
+        holds = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & fits(percent, False)
+        for condition in more:
+            holds &= condition
+        return of.alias("x").join(of.alias("y"), holds).select(F.col("x.head").alias("p"), F.col("y.head").alias("q"), least_shared(percent).alias("least"), fits(percent).alias("fits"))
+
+    # few groups make few pairs, so only the groups of crowded shingles carry their sketches along
+    crowded = place.where(F.col("m") >= CROWD).join(sketches, "head", "left")
+    groups = meet(place.where(F.col("m") < CROWD)).union(meet(crowded, sketches_fit(percent)))
+    groups = groups.groupBy("p", "q").agg(F.count("*").alias("n"), F.min("least").alias("least"), F.max("fits").alias("fits")).where("n >= least AND fits").select("p", "q")
     members = rows.where("kind = 3").select(F.col("a").alias("head"), F.col("b").alias("node"))
     expanded = groups.join(members.select(F.col("head").alias("p"), F.col("node").alias("a")), "p").join(members.select(F.col("head").alias("q"), F.col("node").alias("b")), "q").select("a", "b").distinct()
     expanded = checkpointed(expanded)
