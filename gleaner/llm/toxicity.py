@@ -84,18 +84,24 @@ def count_bigrams(batches):
         yield flush()
 
 
+def by_key(columns: dict[str, np.ndarray], key: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The sorted keys, and the columns in their order."""
+    keys = columns[key].view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], {c: x[order] for c, x in columns.items()}
+
+
 class Model:
     """Arrays of bounded size (see max_rows): log-likelihood differences by word, by context and word."""
 
-    def __init__(self, pairs: dict[str, np.ndarray]):
-        before, word, n = pairs["before"].view(np.uint64), pairs["word"].view(np.uint64), np.stack([pairs["n0"], pairs["n1"]]).astype(float)
-        self.words, which = np.unique(word, return_inverse=True)
+    def __init__(self, words: dict[str, np.ndarray], contexts: dict[str, np.ndarray], pairs: dict[str, np.ndarray]):
+        self.words, words = by_key(words, "word")
         size = len(self.words)
-        shared = np.bincount(which, minlength=size) + 0.5
+        shared = words["n"] + 0.5
         shared = shared / (shared.sum() + 0.5)
         unseen = 0.5 / (shared.sum() + 0.5) / max(size, 1)
         # continuation counts of the class: a text copied often tells no more about its words than one copy
-        single = np.stack([np.bincount(which, n[c] > 0, minlength=size) for c in (0, 1)])
+        single = np.stack([words["k0"], words["k1"]]).astype(float)
         self.floor = np.zeros(2)
         self.single = np.zeros((2, size))
         for c in (0, 1):
@@ -103,15 +109,15 @@ class Model:
             spare = DISCOUNT * (single[c] > 0).sum() / all_ or 1.0
             self.single[c] = np.maximum(single[c] - DISCOUNT, 0) / all_ + spare * shared
             self.floor[c] = spare * unseen
-        self.contexts, at = np.unique(before, return_inverse=True)
-        count = np.stack([np.bincount(at, n[c], minlength=len(self.contexts)) for c in (0, 1)])
-        kinds = np.stack([np.bincount(at, n[c] > 0, minlength=len(self.contexts)) for c in (0, 1)])
+        self.contexts, contexts = by_key(contexts, "before")
+        count, kinds = np.stack([contexts["n0"], contexts["n1"]]).astype(float), np.stack([contexts["k0"], contexts["k1"]])
         self.spare = np.where(count > 0, DISCOUNT * kinds / np.maximum(count, 1), 1.0)
-        often = n.sum(axis=0) >= 3  # the discount leaves rarer pairs next to nothing beyond their back-off
-        key = pair_key(before[often], word[often])
+        before, n = pairs["before"].view(np.uint64), np.stack([pairs["n0"], pairs["n1"]]).astype(float)
+        key = pair_key(before, pairs["word"].view(np.uint64))
         order = np.argsort(key)
         self.pairs = key[order]
-        self.direct = (np.maximum(n[:, often] - DISCOUNT, 0) / np.maximum(count[:, at[often]], 1))[:, order]
+        at = np.searchsorted(self.contexts, before)
+        self.direct = (np.maximum(n - DISCOUNT, 0) / np.maximum(count[:, at], 1))[:, order]
 
     def evidence(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Log p(word | before, toxic) - log p(word | before, ordinary) of every word."""
@@ -178,13 +184,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000):
     rows = checkpointed(texts.join(F.broadcast(chosen), "doc_id"))  # at most 2 * max_rows small rows are broadcast
     counts = rows.where("NOT curve").select("text", "toxic").mapInArrow(count_bigrams, "earlier long, before long, word long, n0 long, n1 long")
     kinds = counts.groupBy("earlier", "before", "word").agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"))
-    table = kinds.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    pairs = {c: table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("before", "word", "n0", "n1")}
+    table = checkpointed(kinds.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    has = [F.sum((F.col(c) > 0).cast("long")).alias(k) for c, k in (("n0", "k0"), ("n1", "k1"))]
+
+    def arrays(df: DataFrame) -> dict[str, np.ndarray]:
+        got = df.toArrow()  # counts by word, by context, or of repeated pairs, of at most max_rows texts
+        return {c: got[c].combine_chunks().to_numpy(zero_copy_only=False) for c in got.column_names}
+
+    words = arrays(table.groupBy("word").agg(F.count("*").alias("n"), *has))
+    contexts = arrays(table.groupBy("before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *has))
     share = rows.agg(F.avg("toxic")).first()[0] or 0.0
     flat = np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0, 0.0])
-    if not pairs["n0"].sum() or not pairs["n1"].sum():
+    if not contexts["n0"].sum() or not contexts["n1"].sum():
         return None, flat
-    model = Model(pairs)
+    # the discount leaves rarer pairs next to nothing beyond their back-off
+    model = Model(words, contexts, arrays(table.where("n0 + n1 >= 3")))
 
     def measure(batches):
         for batch in batches:
