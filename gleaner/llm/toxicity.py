@@ -28,6 +28,7 @@ from gleaner.llm.common import checkpointed, mix, spaced_buffer, word_symbols
 
 STRETCH = 8
 DISCOUNT = 0.75
+KEPT = 3  # a pair behind fewer different words in both classes together is left to the back-off
 SLICE_ROWS = 256
 LETTER = np.zeros(256, dtype=bool)
 LETTER[ord("a") : ord("z") + 1] = True
@@ -110,8 +111,9 @@ class Model:
             self.single[c] = np.maximum(single[c] - DISCOUNT, 0) / all_ + spare * shared
             self.floor[c] = spare * unseen
         self.contexts, contexts = by_key(contexts, "before")
-        count, kinds = np.stack([contexts["n0"], contexts["n1"]]).astype(float), np.stack([contexts["k0"], contexts["k1"]])
-        self.spare = np.where(count > 0, DISCOUNT * kinds / np.maximum(count, 1), 1.0)
+        count, direct = (np.stack([contexts[f"{x}0"], contexts[f"{x}1"]]).astype(float) for x in "nm")
+        # what the kept pairs leave: the discounts, and the whole mass of the pairs that are not kept
+        self.spare = np.where(count > 0, 1 - direct / np.maximum(count, 1), 1.0)
         before, n = pairs["before"].view(np.uint64), np.stack([pairs["n0"], pairs["n1"]]).astype(float)
         key = pair_key(before, pairs["word"].view(np.uint64))
         order = np.argsort(key)
@@ -119,8 +121,8 @@ class Model:
         at = np.searchsorted(self.contexts, before)
         self.direct = (np.maximum(n - DISCOUNT, 0) / np.maximum(count[:, at], 1))[:, order]
 
-    def evidence(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Log p(word | before, toxic) - log p(word | before, ordinary) of every word."""
+    def likelihoods(self, words: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+        """p(word | before) of every word, of ordinary and of toxic texts."""
 
         def find(sorted_, x):
             i = np.searchsorted(sorted_, x).clip(max=max(len(sorted_) - 1, 0))
@@ -129,14 +131,19 @@ class Model:
         w, known = find(self.words, words)
         v, context = find(self.contexts, before)
         p, pair = find(self.pairs, pair_key(before, words))
-        logs = []
+        out = []
         for c in (0, 1):
             low = np.where(known, self.single[c][w], self.floor[c])
             value = np.where(context, self.spare[c][v], 1.0) * low
             if len(self.pairs):
                 value = value + np.where(pair, self.direct[c][p], 0.0)
-            logs.append(np.log(np.maximum(value, 1e-30)))
-        return logs[1] - logs[0]
+            out.append(value)
+        return out
+
+    def evidence(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Log p(word | before, toxic) - log p(word | before, ordinary) of every word."""
+        ordinary, toxic = (np.log(np.maximum(x, 1e-30)) for x in self.likelihoods(words, before))
+        return toxic - ordinary
 
     def features(self, column: pa.Array) -> np.ndarray:
         words, ends = words_of(column)
@@ -192,13 +199,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000):
         return {c: got[c].combine_chunks().to_numpy(zero_copy_only=False) for c in got.column_names}
 
     words = arrays(table.groupBy("word").agg(F.count("*").alias("n"), *has))
-    contexts = arrays(table.groupBy("before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *has))
+    kept = F.col("n0") + F.col("n1") >= KEPT
+    mass = [F.sum(F.when(kept, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).otherwise(0.0)).alias(m) for c, m in (("n0", "m0"), ("n1", "m1"))]
+    contexts = arrays(table.groupBy("before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *mass))
     share = rows.agg(F.avg("toxic")).first()[0] or 0.0
     flat = np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0, 0.0])
     if not contexts["n0"].sum() or not contexts["n1"].sum():
         return None, flat
-    # the discount leaves rarer pairs next to nothing beyond their back-off
-    model = Model(words, contexts, arrays(table.where("n0 + n1 >= 3")))
+    model = Model(words, contexts, arrays(table.where(kept)))  # rarer pairs are left to their context's back-off, with their mass
 
     def measure(batches):
         for batch in batches:

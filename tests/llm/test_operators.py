@@ -231,6 +231,27 @@ def test_toxicity(spark, none):
     assert toxicity.keep_ordinary(docs, marks).columns == docs.columns
 
 
+def test_toxicity_loses_no_mass_of_rare_pairs(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefg") for _ in range(3)) for _ in range(60)]
+    rows, labels = [], []
+    for k, i in enumerate(i for i in range(400) if zlib.crc32(str(i).encode()) % 5 > 1):
+        text = [rng.choice(words) for _ in range(12)]
+        if k in (0, 2):  # a context of two toxic texts only, behind different words, with one continuation
+            text[2:6] = [words[k], "they", "black", "sheep"]
+        elif k % 2:
+            text[3:6] = ["black", rng.choice(words), "sheep"]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(k % 2 == 0)))
+    model, _ = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    they, black, new = toxicity.words_of(toxicity.pa.chunked_array([["they black new"]]))[0]
+    seen, unseen = model.evidence(np.array([black, black]), np.array([they, new]))
+    assert seen > unseen - 1e-9  # to be seen in toxic texts is no sign of an ordinary one
+    for before in model.contexts:
+        for p in model.likelihoods(model.words, np.full(len(model.words), before)):
+            assert 0.99 < p.sum() < 1.0001
+
+
 def test_licenses(spark, none):
     rows = [(1, "Copyright 2020 Someone\nReleased under the MIT licence!"), (2, "prose\nLicensed under CC BY-NC 4.0.\nmore"), (3, None), (4, "")]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
