@@ -1,7 +1,9 @@
 import collections
 import hashlib
+import pathlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -261,6 +263,28 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_whole_licenses(spark):
+    texts = {
+        "MIT": ("MIT License", ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.', 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.']),
+        "ISC": ("ISC License", ['Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.', 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.']),
+        "Unlicense": ("", ['This is free and unencumbered software released into the public domain.', 'Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.', 'In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.', 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.', 'For more information, please refer to <http://unlicense.org/>']),
+    }
+    rows, expected = [], []
+    for name, (title, paragraphs) in texts.items():
+        for width in (64, 72, 79, 95):
+            rows.append((len(rows), "\n\n".join([title, "Copyright (c) 2021 Someone", *(textwrap.fill(p, width) for p in paragraphs)])))
+            expected.append(name)
+    for name in ("Apache-2.0", "GPL-3", "MPL-2.0", "CC0-1.0"):
+        path = pathlib.Path("/usr/share/common-licenses", name)
+        if path.exists():
+            rows.append((len(rows), path.read_text()))
+            expected.append({"GPL-3": "GPL-3.0"}.get(name, name))
+    rows.append((len(rows), "prose\n" + 'This is free and unencumbered software released into the public domain.'.replace("public domain", "public-domain") + "\n" + " ".join(texts["ISC"][1])))
+    got = sorted(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [r.text_license for r in got] == [*expected, None]
+    assert got[-1].line_licenses == "ISC,Unlicense"
+
+
 def test_search(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(400, 64)).round(3)
