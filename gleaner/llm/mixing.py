@@ -4,7 +4,8 @@ Sources in code-point order (null last) get the weights in turn. They share ``sh
 at ``most`` times its source and the excess is shared again by weight, until none is above. Slot i of the schedule is
 the i-th golden-ratio point (an exact 64-bit rotation); the cumulative targets map it to a source. Slots are ranked per
 source, in parts, and slot r of a source takes block r of the source's documents, shuffled by a hash and cut into
-blocks of equal words; after the last block the next pass begins. The slot that reaches the target is cut there.
+blocks of equal words; after the last block the next pass begins. The slot that reaches the target is cut there; a
+source whose slots end before its target gets the few that it lacks at the schedule's end.
 
 Cases: null or empty texts have size 0 and are never taken; a null source is a source of its own; with no words at all
 targets are 0; an empty table gives no rows; a row listed twice counts and is taken as two documents; extra columns are
@@ -83,9 +84,17 @@ def schedule(docs: DataFrame, block_words: int = 2048, slots_at_least: int = 1 <
     chosen = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point")).withColumn("cell", F.floor(F.col("point") * GUIDE))
     chosen = chosen.join(guide, "cell").where("point >= low AND point < high").select("slot", "source_no", "source_size", "target", F.floor(F.col("slot") / grain).alias("part"))
     counts = chosen.groupBy("source_no", "part").agg(F.count("*").alias("n"))
-    counts = counts.select("source_no", "part", (F.sum("n").over(Window.partitionBy("source_no").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = chosen.withColumn("own", F.row_number().over(Window.partitionBy("source_no", "part").orderBy("slot")) - 1).join(counts, ["source_no", "part"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("own")).withColumn("blocks", F.ceil(F.col("source_size") / block))
+    counts = counts.select("source_no", "part", "n", (F.sum("n").over(Window.partitionBy("source_no").orderBy("part")) - F.col("n")).alias("before"))
+    ranked = chosen.withColumn("own", F.row_number().over(Window.partitionBy("source_no", "part").orderBy("slot")) - 1).join(counts.drop("n"), ["source_no", "part"])
+    ranked = ranked.select("slot", "source_no", "source_size", "target", (F.col("before") + F.col("own")).alias("rank"))
+    # short last blocks use up whole slots: the few that a source lacks to reach its target follow at the end
+    whole, blocks = F.floor(F.floor("target") / F.col("source_size")), F.ceil(F.col("source_size") / block)
+    need = whole * blocks + F.ceil((F.floor("target") - whole * F.col("source_size")) / block)
+    have = F.coalesce("have", F.lit(0))
+    lacking = sources.where("target > 0").join(counts.groupBy("source_no").agg(F.sum("n").alias("have")), "source_no", "left").where(need > have)
+    lacking = lacking.select("source_no", "source_size", "target", F.explode(F.sequence(have, need - 1)).alias("rank"))
+    late = F.lit(slots) + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source_no", "rank")) - 1
+    ranked = ranked.unionByName(lacking.withColumn("slot", late)).withColumn("blocks", blocks)
     ranked = ranked.withColumn("pass", F.floor(F.col("rank") / F.col("blocks"))).withColumn("block", F.col("rank") % F.col("blocks"))
     ranked = ranked.withColumn("stop", F.least(F.lit(block), F.floor(F.col("target")) - F.col("pass") * F.col("source_size") - F.col("block") * block)).where("stop > 0")
     takes = pieces.join(ranked.select("slot", "source_no", "block", "pass", "stop"), ["source_no", "block"])

@@ -185,6 +185,13 @@ def test_mixing(docs, rows, none):
     assert sum(len(WORD.findall(t)) for t in mixed.text) == sum(taken.values())
 
 
+def test_mixing_reaches_targets_of_sources_below_a_block(spark):
+    rows = [(i, "w " * 100, "big") for i in range(100)] + [(200, "x " * 7, "rare"), (201, "y " * 30, "small"), (202, "z " * 5, None)]
+    _, sources, takes = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string"), 64, 1)
+    taken = {r.source_no: r.n for r in takes.groupBy("source_no").agg(mixing.F.sum(mixing.F.col("to") - mixing.F.col("from")).alias("n")).collect()}
+    assert taken == {r.source_no: int(r.target) for r in sources.collect()}
+
+
 def test_pii(spark, none):
     texts = ["Mail ann.lee@mail1.example.com or ANN.LEE@MAIL1.EXAMPLE.COM now.", "Card 4111 1111 1111 1111 and 4111111111111111.", "Call +1 (663) 555-6869 from 10.1.2.3.", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"###', "Ms. Anna and Mr Боря met.", None, "", "nothing here"]
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, kind string, pos int")
