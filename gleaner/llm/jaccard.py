@@ -1,7 +1,8 @@
 """Operator 3: documents linked by the Jaccard similarity of their word n-grams, as a grouped prefix join.
 
-A document's shingles are ordered rare first (by a count sketch of fixed size, then by hash; any fixed order gives right
-results). Two sets that reach the threshold share one of the first n - ceil(threshold * n) + 1 shingles. Steps:
+A document's shingles are ordered rare first: by how common their words are together (from a count sketch of words, of
+fixed size, which tells rare shingles from common ones at any size of the input, as a table of shingle counts of fixed size
+could not), then by hash; any fixed order gives right results. Two sets that reach the threshold share one of the first n - ceil(threshold * n) + 1 shingles. Steps:
 
 1. *survey*: the count sketch, and how many documents have each smallest hash; only hashes with more than 1/2000 of all
    documents (so at most 2000 of them) are told to the tasks, which salt them.
@@ -16,8 +17,7 @@ results). Two sets that reach the threshold share one of the first n - ceil(thre
    sets do in shingles, so the filter never drops a pair that reaches the threshold.
 
 No step leaves out a candidate of different components, so components are exact; pairs inside a known component are
-not looked at. Documents are sent for verification only if they may be part of a pair, by a filter of fixed size that
-errs on the side of sending.
+not looked at. Only documents that are part of a candidate pair are sent for verification.
 
 Cases: null and empty texts have no shingles and are linked with nothing; a text of fewer than ``words`` words is one
 shingle; an empty table gives no rows; rows listed twice are in one component and each is returned; rows with one doc_id and
@@ -37,7 +37,8 @@ from gleaner.llm.common import LOWER, NULL_ID, ODD, checkpointed, chunk_count, c
 
 SLOTS = 1 << 20
 BLOCK = 1 << 14
-FILTER = 1 << 23
+#: The largest table of documents to verify that is broadcast, and how many pairs of one document go to one bucket, about.
+BROADCAST_ROWS, FAN = 1 << 20, 256
 SLICE_ROWS = 256
 HOT = 2000
 #: Shingles of so many clusters get rings; a ring has about RING of them, each held against its LAGS predecessors.
@@ -52,13 +53,20 @@ def salt_of(n: int) -> np.uint64:
     return np.uint64((n * int(ODD)) & (2**64 - 1))
 
 
-def shingles(column: pa.Array, words: int) -> list[np.ndarray]:
-    """The hashes of each text's distinct shingles."""
+def worded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of some texts, in lower case, and the number of words up to each text's end."""
     data, offsets = spaced_buffer(pa.chunked_array([column]) if isinstance(column, pa.Array) else column)
     data = LOWER[data]
     begin, end = word_bounds(data)
-    ends = np.searchsorted(begin, offsets[1:], side="left")
-    symbols = word_symbols(data, begin, end)
+    return word_symbols(data, begin, end), np.searchsorted(begin, offsets[1:], side="left")
+
+
+def shingles(column: pa.Array, words: int) -> list[np.ndarray]:
+    """The hashes of each text's distinct shingles."""
+    return distinct_shingles(*worded(column), words)
+
+
+def distinct_shingles(symbols: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
     full = mix(grams(symbols, words) + salt_of(words))
     out, at = [], 0
     for stop in ends.tolist():
@@ -73,10 +81,28 @@ def shingles(column: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def ranked(hashes: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """The shingles in order, each as a number: how common its slot of the sketch is, then its hash."""
-    level = sketch[(hashes >> np.uint64(44)).astype(np.int64)].astype(np.uint64)
-    return np.sort((level << np.uint64(58)) | (hashes >> np.uint64(6)))
+def slot_of(symbols: np.ndarray) -> np.ndarray:
+    return (symbols >> np.uint64(44)).astype(np.int64)
+
+
+def ranked_shingles(column: pa.Array, words: int, level: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Of each text the smallest hash and the distinct shingles in order, each as a number: how common its words are, then its hash."""
+    symbols, ends = worded(column)
+    full = mix(grams(symbols, words) + salt_of(words))
+    common = np.concatenate([[0], np.cumsum(level[slot_of(symbols)], dtype=np.int64)])
+    out, at = [], 0
+    for stop in ends.tolist():
+        n = stop - at
+        if not n:
+            out.append((0, np.zeros(0, dtype=np.uint64)))
+            continue
+        k = min(n, words)
+        own = np.unique(full[at : stop - words + 1], return_index=True) if n >= words else (mix(grams(symbols[at:stop], n) + salt_of(n)), np.zeros(1, dtype=np.int64))
+        place = own[1] + at
+        rank = np.minimum((common[place + k] - common[place]) // k, 255).astype(np.uint64)
+        out.append((int(own[0][0]), np.sort((rank << np.uint64(56)) | (own[0] >> np.uint64(8)))))
+        at = stop
+    return out
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -114,10 +140,9 @@ def survey(docs: DataFrame, words: int) -> tuple[np.ndarray, dict[int, int]]:
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                sets = [s for s in shingles(batch.slice(at, SLICE_ROWS)["text"], words) if len(s)]
-                if sets:
-                    total += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-                    smallest += [int(s.min()) for s in sets]
+                symbols, ends = worded(batch.slice(at, SLICE_ROWS)["text"])
+                np.add.at(total, slot_of(symbols), np.uint32(1))
+                smallest += [int(s[0]) for s in distinct_shingles(symbols, ends, words) if len(s)]
             if len(smallest) > 200_000:
                 yield keys()
                 smallest.clear()
@@ -132,7 +157,7 @@ def survey(docs: DataFrame, words: int) -> tuple[np.ndarray, dict[int, int]]:
         total = np.zeros(BLOCK, dtype=np.uint64)
         for blob in table["blob"]:
             total += np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.uint32)
-        level = np.ceil(np.log2(total + np.uint64(1))).clip(max=62).astype(np.uint8)
+        level = np.rint(6 * np.log2(total + np.uint64(1))).clip(max=255).astype(np.uint8)
         return pa.table({"key": table["key"][:1], "level": pa.array([level.tobytes()], pa.binary())})
 
     seen = checkpointed(keyed(docs).select("text").mapInArrow(count, "kind int, key long, n long, blob binary"))
@@ -185,13 +210,11 @@ def clustered(docs: DataFrame, level: np.ndarray, salts: dict[int, int], buckets
         by_set: dict[bytes, int] = {}
         keys: dict[int, list[int]] = {}
         for at in range(0, table.num_rows, SLICE_ROWS):
-            for i, s in enumerate(shingles(table["text"].slice(at, SLICE_ROWS).combine_chunks(), words), at):
+            for i, (smallest, s) in enumerate(ranked_shingles(table["text"].slice(at, SLICE_ROWS).combine_chunks(), words, level), at):
                 node = int(nodes[i])
                 rows.append((0, None, node, ids[i], len(s), None, None))
                 if not len(s):
                     continue
-                smallest = int(s.min())
-                s = ranked(s, level)
                 whole = s.tobytes() if len(s) < 8 else np.array([len(s), mix(s).sum(dtype=np.uint64), mix(s * ODD).sum(dtype=np.uint64)], dtype=np.uint64).tobytes()
                 head = by_set.setdefault(whole, node)
                 if head != node:
@@ -246,7 +269,11 @@ def noded(docs: DataFrame) -> DataFrame:
 
 
 def shared_prefixes(sent: DataFrame) -> DataFrame:
-    """(shingle, head, rep, n, pos) of every prefix shingle that two clusters have."""
+    """(shingle, head, rep, n, pos, ...) of every prefix shingle that two clusters have; all entries of a shingle are in one bucket.
+
+    lead: the entry stands for its cluster at this shingle; m: how many clusters have it; hub, hub_n, hub_pos: the first of
+    them, on the leading entries of the others.
+    """
 
     def read(table: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[] for _ in range(5)]
@@ -255,41 +282,50 @@ def shared_prefixes(sent: DataFrame) -> DataFrame:
             for i, (kind, width, at) in enumerate((("u8", 8, 0), ("i8", 8, 8), ("i8", 8, 16), ("i4", 4, 24), ("i4", 4, 28))):
                 parts[i].append(np.frombuffer(raw, dtype=kind, count=n, offset=at * n))
         o, h, r, n, p = (np.concatenate(x) for x in parts)
-        order = np.argsort(o, kind="stable")
+        order = np.lexsort((h, r, o))
         o, h, r, n, p = (x[order] for x in (o, h, r, n, p))
-        start = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-        which = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(o)]])))
-        several = np.minimum.reduceat(r, start) != np.maximum.reduceat(r, start)
-        keep = several[which]
-        return pa.table({"shingle": pa.array(o[keep].view(np.int64)), "head": pa.array(h[keep]), "rep": pa.array(r[keep]), "n": pa.array(n[keep]), "pos": pa.array(p[keep])})
-
-    return sent.where("kind = 2").select("key", "n", "blob").groupBy("key").applyInArrow(read, "shingle long, head long, rep long, n int, pos int")
-
-
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose documents reach the threshold."""
-    slots = pairs.select(F.explode(F.array("a", "b")).alias("x")).select(F.pmod("x", F.lit(FILTER)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()  # at most FILTER numbers
-    wanted = np.zeros(FILTER, dtype=bool)
-    wanted[slots] = True
-    bits = np.packbits(wanted)
-
-    def only(batches):
-        mask = np.unpackbits(bits).astype(bool)
-        for batch in batches:
-            keep = np.flatnonzero(mask[batch["node"].to_numpy() % FILTER])
-            if len(keep):
-                yield batch.take(pa.array(keep))
-
-    def check(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                left, right = shingles(part["ta"], words), shingles(part["tb"], words)
-                yield part.select(["a", "b"]).take(pa.array([i for i, (x, y) in enumerate(zip(left, right, strict=True)) if similar(x, y, percent)], pa.int64()))
-
-    texts = noded(docs).select("node", "text").mapInArrow(only, "node long, text string").dropDuplicates(["node"])
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+        new = np.concatenate([[True], o[1:] != o[:-1]])
+        lead = new | np.concatenate([[True], r[1:] != r[:-1]])
+        start = np.flatnonzero(new)
+        which = np.cumsum(new) - 1
+        clusters = np.add.reduceat(lead.astype(np.int64), start)
+        keep = np.flatnonzero(clusters[which] > 1)
+        hub = start[which[keep]]
+        other = pa.array(~(lead[keep] & ~new[keep]))  # where there is no hub to name
+        names = {"shingle": o.view(np.int64), "head": h, "rep": r, "n": n, "pos": p}
+        columns = {c: pa.array(x[keep]) for c, x in names.items()} | {"lead": pa.array(lead[keep]), "m": pa.array(clusters[which[keep]].astype(np.int32))}
+        columns |= {c: pa.array(x[hub], mask=np.asarray(other)) for c, x in (("hub", h), ("hub_n", n), ("hub_pos", p))}
+        return pa.table(columns)
+
+    return sent.where("kind = 2").select("key", "n", "blob").groupBy("key").applyInArrow(read, "shingle long, head long, rep long, n int, pos int, lead boolean, m int, hub long, hub_n int, hub_pos int")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose documents reach the threshold.
+
+    A pair goes to the bucket of its end with more pairs, so that a text is sent once to all that it is held against there;
+    an end with many pairs has several buckets.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("k"))
+    many = pairs.join(ends.select(F.col("x").alias("a"), F.col("k").alias("ka")), "a").join(ends.select(F.col("x").alias("b"), F.col("k").alias("kb")), "b")
+    hub, spoke = F.when(F.col("ka") >= F.col("kb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("ka") >= F.col("kb"), F.col("b")).otherwise(F.col("a"))
+    salt = F.pmod(F.xxhash64(spoke), F.ceil(F.greatest("ka", "kb") / FAN))
+    dealt = checkpointed(many.select("a", "b", F.pmod(F.xxhash64(hub, salt), F.lit(buckets)).alias("bucket")))
+    needed = dealt.select(F.col("bucket").alias("place"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    if needed.count() <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)  # of a size just checked; larger ones are joined by shuffling
+    texts = noded(docs).select("node", "text").join(needed, "node").select("place", "node", "text")
+
+    def check(pairs_here: pa.Table, texts_here: pa.Table) -> pa.Table:
+        node, first = np.unique(texts_here["node"].to_numpy(), return_index=True)
+        sets: list[np.ndarray] = []
+        for at in range(0, len(first), SLICE_ROWS):
+            sets += shingles(texts_here["text"].take(pa.array(first[at : at + SLICE_ROWS])).combine_chunks(), words)
+        a, b = (np.searchsorted(node, pairs_here[c].to_numpy()) for c in "ab")
+        good = [i for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if similar(sets[x], sets[y], percent)]
+        return pairs_here.select(["a", "b"]).take(pa.array(good, pa.int64()))
+
+    return dealt.groupBy("bucket").cogroup(texts.groupBy("place")).applyInArrow(check, "a long, b long")
 
 
 def fits(percent: int, places: bool = True, y: str = "y") -> F.Column:
@@ -317,9 +353,7 @@ def ringed(shared: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     A ring is a part of a shingle's clusters, dealt by hash, so that no task holds all of a frequent shingle.
     """
-    each = shared.groupBy("shingle", "rep").agg(F.min(F.struct("head", "n")).alias("e")).select("shingle", "rep", "e.*")
-    crowded = each.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") >= CROWD)
-    each = each.join(crowded, "shingle").join(sketches, "head", "left").withColumn("place", F.xxhash64("rep", "shingle"))
+    each = shared.where(F.col("lead") & (F.col("m") >= CROWD)).select("shingle", "rep", "head", "n", "m").join(sketches, "head", "left").withColumn("place", F.xxhash64("rep", "shingle"))
     order = Window.partitionBy("shingle", F.pmod("place", F.ceil(F.col("m") / RING))).orderBy("place")
     entry = F.struct("head", "n", "bits", "slack")
     near = each.select(entry.alias("x"), *(F.lag(entry, i).over(order).alias(f"y{i}") for i in range(1, LAGS + 1)))
@@ -349,14 +383,12 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = rows.where("kind = 1").select("a", "b")
     shared = checkpointed(shared_prefixes(rows))
 
-    entry = F.struct("rep", "head", "n", "pos")
-    x, y = shared.groupBy("shingle").agg(F.min(entry).alias("e")).select("shingle", "e.*").alias("x"), shared.groupBy("shingle", "rep").agg(F.min(entry).alias("e")).select("shingle", "e.*").alias("y")
-    star = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & fits(percent))
+    entries = shared.where("hub IS NOT NULL").select(F.struct(F.col("hub").alias("head"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")).alias("x"), F.struct("head", "n", "pos").alias("y"))
     # a hub may not be the same for all shingles, so half of what a similar pair shares is asked for; step 4 needs no luck
-    starred = star.groupBy(F.col("x.head").alias("a"), F.col("y.head").alias("b")).agg(F.count("*").alias("n"), F.min(least_shared(percent)).alias("least")).where("2 * n >= least").select("a", "b")
+    starred = entries.where(fits(percent)).groupBy(F.col("x.head").alias("a"), F.col("y.head").alias("b")).agg(F.count("*").alias("n"), F.min(least_shared(percent)).alias("least")).where("2 * n >= least").select("a", "b")
     sketches = rows.where("kind = 4").select(F.col("a").alias("head"), "bits", F.col("n").alias("slack"))
     bridges = checkpointed(starred.union(ringed(shared, sketches, percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    bridged = checkpointed(verified(docs, bridges, words, percent))
+    bridged = checkpointed(verified(docs, bridges, words, percent, buckets))
     known = checkpointed(components(links.union(bridged)))
 
     place = shared.join(known, shared["rep"] == known["id"], "left").select("shingle", "head", "n", "pos", F.coalesce("component", "rep").alias("component"))
@@ -376,7 +408,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     members = rows.where("kind = 3").select(F.col("a").alias("head"), F.col("b").alias("node"))
     expanded = groups.join(members.select(F.col("head").alias("p"), F.col("node").alias("a")), "p").join(members.select(F.col("head").alias("q"), F.col("node").alias("b")), "q").select("a", "b").distinct()
     expanded = checkpointed(expanded)
-    joined = checkpointed(verified(docs, expanded, words, percent))
+    joined = checkpointed(verified(docs, expanded, words, percent, buckets))
     classes = components(links.union(bridged).union(joined))
 
     nodes = rows.where("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("doc_id"), F.col("n").alias("n_shingles"))
@@ -386,9 +418,14 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component (and every document without shingles), with its columns."""
-    kept = linked(docs, words, percent).where("first OR n_shingles = 0").select(F.col("node").alias("__node")).distinct()
+    """One document of each component (and every document without shingles), with its columns.
+
+    Cases: rows without shingles (null and empty texts) all stay; of rows with one doc_id and text one stays; a null doc_id is
+    the smallest, so such a row is the one kept of its component; columns of any name are passed on; an empty table gives no rows.
+    """
+    kept = linked(docs, words, percent).where("first OR n_shingles = 0").select("node", (F.col("n_shingles") == 0).alias("bare")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed_docs = docs.withColumn("__node", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text)))
-    only = keyed_docs.join(kept, "__node", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__node").orderBy(F.lit(0))))
-    return only.where((F.col("__n") == 1) | (F.length(F.trim(F.coalesce(F.col("text"), F.lit("")))) == 0)).select(*docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("node"))
+    only = whole.join(kept, "node")
+    once = only.where("NOT bare").groupBy("node").agg(F.first("row").alias("row"))
+    return once.select("row").union(only.where("bare").select("row")).select("row.*")
