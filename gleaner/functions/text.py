@@ -1,176 +1,181 @@
-"""Text functions that SQL cannot express; spans are offsets in code points."""
+"""Text functions that SQL cannot express; spans are offsets in code points.
+
+Where pieces join their neighbours (short sentences, short clauses, marks, quotations) the rule is written as one
+classification of all pieces, and the joined ones are read off as groups.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate, groupby
+
 import regex
 
 from gleaner.plans import values as V
 
 Span = tuple[int, int]
-FOOTNOTE = r"(?:\[[^\[\]\n]{1,30}\])*"
-STOP = regex.compile(r"(?P<mark>[.!?…。！？؟۔।॥]+)[)\]\"'”’»›」』）】]*(?P<notes>" + FOOTNOTE + ")")
-ENDS = regex.compile(r"[.!?…。！？][\"'”’»)\]]*" + FOOTNOTE + r"\s*$")
-LEAD_IN = regex.compile(":" + FOOTNOTE + r"\s*$")
-OPENER = regex.compile(r"[\p{Lu}\p{N}\"'“‘«‹(\[「『（]")
-WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{N}])+(?:['’]\p{L}+)?")
-NOTE_BEHIND = regex.compile(r"(?<=\S)\[[^\[\]\n]{1,30}\]")
+
+
+def any_of(characters: str) -> str:
+    return "[" + "".join(regex.escape(c) for c in characters) + "]"
+
+
+#: A place where a sentence may begin: marks, what closes the sentence, white space (none needed behind full-width marks), an opener.
+BOUNDARY = regex.compile(
+    rf"(?P<marks>{any_of(V.SENTENCE_MARKS)}+){any_of(V.CLOSERS)}*(?P<notes>{V.FOOTNOTES})(?:(?<={any_of(V.FLUSH_MARKS)}(?:{any_of(V.CLOSERS)}|\[[^\[\]\n]{{1,30}}\])*)\s*|\s+)(?=(?P<opener>[\p{{Lu}}\p{{N}}]|{any_of(V.OPENERS)}|\p{{L}}))"
+)
+LINE = regex.compile(r"[^\n\r]+")
+ENDS = regex.compile(V.ENDS_SENTENCE)
+LEAD_IN = regex.compile(V.LEAD_IN)
+CASED = regex.compile(r"[\p{Ll}\p{Lt}]")
 TOKEN = regex.compile(r"[\p{L}\p{N}.]+$")
-ASKED = regex.compile(r"[$€£¥]?[\p{L}\p{N}][\p{L}\p{N}'’.,-]*%?")
-SHORT = frozenset(V.ABBREVIATIONS) | {a.lower() for a in V.ABBREVIATIONS} | frozenset(V.ABBREVIATIONS_AS_WRITTEN)
-SHORT_WORDS, TAIL_WORDS = 3, 3
+INITIAL = regex.compile(r"(?<![\p{L}\p{N}])\p{L}$|\.$")
+LIST_NUMBER = regex.compile(rf"(?:^\s*|{any_of(V.BEFORE_ENUMERATOR)}\s+|(?!\.){any_of(V.BEFORE_ENUMERATOR)})\d{{1,2}}$")
+BY_CHARACTER = r"[\p{Han}\p{Hiragana}\p{Katakana}]"
+WORD = regex.compile(rf"{BY_CHARACTER}|(?:(?!{BY_CHARACTER})[\p{{L}}\p{{N}}])+(?:['’]\p{{L}}+)?")
+NOTE_BEHIND = regex.compile(r"(?<=\S)\[[^\[\]\n]{1,30}\]")
+ASKED = regex.compile(V.ASKED_WORD)
+BREAK = regex.compile(V.STITCH_BREAK)
+CUT = regex.compile(V.CLAUSE_CUT)
+EDGE = regex.compile(rf"^{V.CLAUSE_EDGE}+|{V.CLAUSE_EDGE}+$")
+QUOTE = regex.compile(r'["“”„«»]')
+AS_WRITTEN = frozenset(V.ABBREVIATIONS)
+IN_ANY_CASE = frozenset(a.lower() for a in V.ABBREVIATIONS if a not in V.ABBREVIATIONS_AS_WRITTEN)
 
 
 def count_words(text: str) -> int:
     """Words; a character of a script without spaces is a word, a footnote mark behind a word is none."""
-    return sum(1 for _ in WORD.finditer(NOTE_BEHIND.sub(" ", text)))
+    return len(WORD.findall(NOTE_BEHIND.sub(" ", text) if "[" in text else text))
 
 
-def is_short_form(token: str) -> bool:
-    return token in SHORT or token.lower() in SHORT and token.lower() not in {a.lower() for a in V.ABBREVIATIONS_AS_WRITTEN}
+def abbreviated(token: str) -> bool:
+    return token in AS_WRITTEN or token.lower() in IN_ANY_CASE
 
 
-def full_stop(line: str, at: int, noted: bool) -> bool:
-    """Whether the period at ``at`` ends a sentence, judged by the token before it."""
-    found = TOKEN.search(line, 0, at)
-    if not found:
-        return True
-    token = found.group()
-    last = token.rpartition(".")[2]
-    if is_short_form(token) or is_short_form(last):
+def period_is_inside(before: str, noted: bool) -> bool:
+    """Whether a period behind ``before`` belongs to an abbreviation, an initial or a list number; a footnote rules out the last two."""
+    token = TOKEN.search(before)
+    if not token:
         return False
-    if noted:
+    if abbreviated(token[0]) or abbreviated(token[0].rpartition(".")[2]):
         return True
-    if len(last) < 2 and (last.isalpha() or not last):
-        return False
-    if token.isdigit() and len(token) <= 2:
-        before = line[: found.start()].rstrip()
-        return bool(before) and before[-1] not in ".!?…:;([•·–—-"
-    return True
+    return not noted and bool(INITIAL.search(before) or LIST_NUMBER.search(before))
 
 
-def line_starts(line: str) -> list[int]:
+def openings(line: str) -> list[int]:
     """Where sentences begin inside a line, beyond its first."""
-    starts, at = [], 0
-    while stop := STOP.search(line, at):
-        at = stop.end()
-        rest = line[at:]
-        ahead = at + len(rest) - len(rest.lstrip())
-        if ahead >= len(line):
-            break
-        flush = any(c in "。！？" for c in stop["mark"])
-        first = line[ahead]
-        caseless = first.isalpha() and first.lower() == first.upper()
-        if ahead == at and not flush or not (OPENER.match(first) or caseless):
+    found = []
+    for m in BOUNDARY.finditer(line):
+        opener = m["opener"]
+        if opener.isalpha() and opener.lower() != opener.upper() and CASED.match(opener):
             continue
-        if stop["mark"] == "." and not full_stop(line, stop.start(), bool(stop["notes"])):
+        if m["marks"] == "." and period_is_inside(line[: m.start()], bool(m["notes"])):
             continue
-        starts.append(ahead)
-        at = ahead
-    return starts
+        found.append(m.end())
+    return found
 
 
-def trimmed(text: str, a: int, b: int) -> Span | None:
+def stripped(text: str, a: int, b: int) -> Span:
     piece = text[a:b]
-    a, b = a + len(piece) - len(piece.lstrip()), b - len(piece) + len(piece.rstrip())
-    return (a, b) if a < b else None
+    return a + len(piece) - len(piece.lstrip()), a + len(piece.rstrip())
+
+
+def hulls(spans: list[Span], groups: list[int]) -> list[Span]:
+    """From the first start to the last end of each group of neighbours."""
+    joined = ([s for s, _ in part] for _, part in groupby(zip(spans, groups, strict=True), key=lambda x: x[1]))
+    return [(part[0][0], part[-1][1]) for part in joined]
 
 
 def split_sentences(text: str) -> list[Span]:
     """Sentences as spans: a line break always ends one, short pieces join a neighbour, a short unfinished tail is dropped."""
-    cuts, at = [0], 0
-    for line in regex.split(r"(?<=[\n\r])", text):
-        cuts += [at + x for x in line_starts(line)] + [at + len(line)]
-        at += len(line)
-    pieces = [s for a, b in zip(cuts, cuts[1:], strict=False) if (s := trimmed(text, a, b))]
-    out: list[list[int]] = []
-    waiting = None
-    for number, (a, b) in enumerate(pieces):
-        n = count_words(text[a:b])
-        if out and number == len(pieces) - 1 and n <= TAIL_WORDS and not ENDS.search(text[a:b]):
-            break
-        if n >= SHORT_WORDS:
-            out.append([a if waiting is None else waiting, b])
-            waiting = None
-        elif out:
-            out[-1][1] = b
-        elif waiting is None:
-            waiting = a
-    if not out and waiting is not None:
-        out.append([waiting, pieces[-1][1]])
-    return [(a, b) for a, b in out]
+    pieces: list[Span] = []
+    for line in LINE.finditer(text):
+        cuts = [line.start(), *(line.start() + x for x in openings(line[0])), line.end()]
+        pieces += [s for a, b in zip(cuts, cuts[1:], strict=False) if (s := stripped(text, a, b))[0] < s[1]]
+    size = [count_words(text[a:b]) for a, b in pieces]
+    long = [n >= V.MIN_WORDS for n in size]
+    if pieces and any(long[:-1]) and size[-1] <= V.TAIL_WORDS and not ENDS.search(text[slice(*pieces[-1])]):
+        del pieces[-1], long[-1]
+    # a long piece opens a group and short ones stay in it; those before the first long one belong to its group
+    return hulls(pieces, [max(1, n) for n in accumulate(map(int, long))])
 
 
 def quotations(text: str) -> list[Span]:
-    """Paired double quotation marks, nested where they are directed; unpaired ones are ignored."""
-    closing = {"”": "“„", "»": "«", "“": "„"}
-    stack: list[tuple[str, int]] = []
+    """Double quotation marks paired as they nest; a straight one closes what is open, else opens; unpaired ones are ignored."""
+    open_: list[int] = []
     found = []
-    for i, c in enumerate(text):
-        if c == '"':
-            if stack:
-                found.append((stack.pop()[1], i + 1))
-            else:
-                stack.append((c, i))
-        elif stack and stack[-1][0] in closing.get(c, ""):
-            found.append((stack.pop()[1], i + 1))
-        elif c in "“«„":
-            stack.append((c, i))
+    for m in QUOTE.finditer(text):
+        closes = m[0] in "”»" or m[0] == '"' and open_
+        if not closes:
+            open_.append(m.start())
+        elif open_:
+            found.append((open_.pop(), m.end()))
     return sorted(found)
 
 
 def quote_groups(sentences: list[Span], quotes: list[Span]) -> list[int]:
-    """For each sentence the first of those that quotations tie it to, or -1."""
-    first = list(range(len(sentences)))
-    for a, b in quotes:
-        touched = [i for i, (s, e) in enumerate(sentences) if s < b and a < e]
-        if len(touched) > 1:
-            low = min(first[i] for i in touched)
-            joined = {first[i] for i in touched}
-            first = [low if f in joined else f for f in first]
-    return [f if first.count(f) > 1 else -1 for f in first]
+    """For each sentence the first of those that quotations tie it to, or -1.
+
+    A quotation touches a stretch of neighbouring sentences; stretches that share a sentence merge.
+    """
+    starts, ends = [s for s, _ in sentences], [e for _, e in sentences]
+    touched = sorted((bisect_right(ends, a), bisect_left(starts, b) - 1) for a, b in quotes)
+    group = [-1] * len(sentences)
+    first = last = -1
+    for low, high in touched:
+        if low >= high:
+            continue
+        first, last = (first, max(last, high)) if low <= last else (low, high)
+        group[first : last + 1] = [first] * (last + 1 - first)
+    return group
 
 
 def asked_words(text: str) -> list[tuple[int, int, str]]:
     """The words worth asking about."""
-    out = []
-    for m in ASKED.finditer(text):
-        word = m.group().rstrip(".,'’-")
-        if (len(word) >= 2 or word.isnumeric()) and word.lower() not in V.STOP_WORDS:
-            out.append((m.start(), m.start() + len(word), word))
-    return out
+    words = ((m.start(), m[0].rstrip(".,'’-")) for m in ASKED.finditer(text))
+    return [(at, at + len(w), w) for at, w in words if (len(w) > 1 or w.isnumeric()) and w.lower() not in V.STOP_WORDS]
 
 
 def stitch(text: str, marked: list[Span], asked: list[tuple[int, int, str]]) -> list[Span]:
     """Marks become one stretch if little, no punctuation and no refused word is between them."""
-    out: list[list[int]] = []
-    for a, b in sorted(marked):
-        if out:
-            end = out[-1][1]
-            gap = text[end:a]
-            open_ = len(gap) <= V.STITCH_GAP and not regex.search(r"[.,;:!?()\[\]\"«»]", gap) and not any(end <= s and e <= a for s, e, _ in asked)
-            if a < end or open_:
-                out[-1][1] = max(end, b)
-                continue
-        out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def clauses(text: str, least: int = 20, merge: int = 5) -> list[Span]:
-    """The clauses of a long sentence; short ones join the one before, a short first one the next."""
-    if len(text.split()) <= least:
+    spans = sorted(marked)
+    reach = list(accumulate((b for _, b in spans), max))
+    begins = [a for a, _, _ in asked]
+
+    def apart(end: int, start: int) -> bool:
+        if start < end:
+            return False
+        next_asked = bisect_left(begins, end)
+        refused = next_asked < len(asked) and asked[next_asked][1] <= start
+        return refused or start - end > V.STITCH_GAP or bool(BREAK.search(text, end, start))
+
+    opens = [i == 0 or apart(reach[i - 1], a) for i, (a, _) in enumerate(spans)]
+    return hulls([(a, r) for (a, _), r in zip(spans, reach, strict=True)], list(accumulate(map(int, opens))))
+
+
+def clauses(text: str, least: int = V.CLAUSE_WHOLE_WORDS, merge: int = V.CLAUSE_MERGE_WORDS) -> list[Span]:
+    """The clauses of a long sentence: short ones join the one before; what is short at the head joins the next."""
+
+    def words(a: int, b: int) -> int:
+        return len(text[a:b].split())
+
+    if words(0, len(text)) <= least:
         return [(0, len(text))]
-    cuts = [0, *(m.end() for m in regex.finditer(r"(?:[;:,]|\s[–—])\s+", text)), len(text)]
-    parts: list[list[int]] = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if parts and len(text[a:b].split()) < merge:
-            parts[-1][1] = b
-        else:
-            parts.append([a, b])
-    if len(parts) > 1 and len(text[slice(*parts[0])].split()) < merge:
-        first = parts.pop(0)
-        parts[0][0] = first[0]
-    edge = " \t\n\r,;:–—"
-    return [(a + len(text[a:b]) - len(text[a:b].lstrip(edge)), b - len(text[a:b]) + len(text[a:b].rstrip(edge))) for a, b in parts]
+    cuts = [0, *(m.end() for m in CUT.finditer(text)), len(text)]
+    pieces = list(zip(cuts, cuts[1:], strict=False))
+    groups = list(accumulate(int(words(a, b) >= merge) for a, b in pieces))
+    head = groups.count(0)
+    if head and words(0, pieces[head - 1][1]) < merge:
+        groups = [max(1, g) for g in groups]
+    return [core(text, a, b) for a, b in hulls(pieces, groups)]
+
+
+def core(text: str, a: int, b: int) -> Span:
+    """A clause without the white space and punctuation at its edges."""
+    trims = {m.start(): len(m[0]) for m in EDGE.finditer(text[a:b])}
+    lead = trims.get(0, 0)
+    tail = sum(n for at, n in trims.items() if at)
+    return a + lead, max(a + lead, b - tail)
 
 
 def hash_text(text: str) -> str:
@@ -183,7 +188,7 @@ def hash_text(text: str) -> str:
 
 
 def iban_valid(text: str) -> bool:
-    compact = text.replace(" ", "").replace(" ", "")
+    compact = "".join(text.replace(" ", " ").split(" "))
     return 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
@@ -193,11 +198,13 @@ def luhn_valid(text: str) -> bool:
     return 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0
 
 
-IBAN = regex.compile(r"\b[A-Z]{2}\d{2}(?:[  ]?[A-Z0-9]{4}){2,7}(?:[  ]?[A-Z0-9]{1,4})?\b")
-CARD = regex.compile(r"(?<![\d-])[2-6]\d{3}(?:[ -]?\d{2,6}){2,4}(?![\d-])")
-TAX_CODE = regex.compile(r"\b[A-Z]{6}\d{2}[A-EHLMPRST]\d{2}[A-Z]\d{3}[A-Z]\b")
-SSN = regex.compile(r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])")
+IBAN, CARD = regex.compile(V.IBAN), regex.compile(V.CARD)
+OTHER_NUMBERS = regex.compile(f"{V.ITALIAN_TAX_CODE}|{V.US_SSN}")
+DIGIT = regex.compile(r"\d")
 
 
 def carries_account_number(text: str) -> bool:
-    return any(map(iban_valid, IBAN.findall(text))) or any(map(luhn_valid, CARD.findall(text))) or bool(TAX_CODE.search(text) or SSN.search(text))
+    if not DIGIT.search(text):
+        return False
+    valid = any(iban_valid(m[0]) for m in IBAN.finditer(text)) or any(luhn_valid(m[0]) for m in CARD.finditer(text))
+    return valid or bool(OTHER_NUMBERS.search(text))

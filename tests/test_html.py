@@ -9,7 +9,7 @@ PAGE = """<html lang="it"><head><title> A  page </title><script type="applicatio
 
 
 def test_main_text_only():
-    assert [t for _, _, t in H.sentences(PAGE)] == ["The kettle was on the stove all day.", "It never boiled over at all.", "Nobody came to look after it, said the cook.", "two cups of cold water"]
+    assert [t for _, _, t in H.sentences(PAGE)] == ["The kettle was on the stove all day.", "It never boiled over at all.", "Nobody came to look after it, said the cook.", "Buy the very best kettle in town now.", "two cups of cold water"]
 
 
 def test_meta():
@@ -21,3 +21,63 @@ def test_meta():
 def test_cap_falls_between_blocks():
     page = "<article>" + "<p>One sentence stands here now. Another sentence stands here too.</p>" * 5 + "</article>"
     assert len(H.sentences(page, cap=3)) == 4
+
+
+def texts(html):
+    return [t for _, _, t in H.sentences(html)]
+
+
+PROSE = "<p>The first mill was built beside the river in spring.</p><p>Its wheel turned day and night for forty years.</p><p>Then the flood came and took the dam away.</p>"
+
+
+def test_names_count_only_without_a_container_and_for_few_words():
+    assert len(texts(f'<body><div class="page-header">{PROSE}</div></body>')) == 3
+    assert texts(f'<body><section>{PROSE}</section><div class="cookie"><p>We bake cookies for all of our visitors.</p></div></body>')[-1].startswith("Then")
+    readers = '<div class="comments"><p>I would have built it on the hill.</p></div>'
+    assert len(texts(f"<article>{PROSE}{readers}</article>")) == 3
+    assert len(texts('<article><div itemtype="https://schema.org/Review"><p>Nice mill, I would visit it again.</p></div>' + PROSE + "</article>")) == 3
+
+
+def test_container_is_the_inner_one_that_holds_the_prose():
+    menu = "".join(f'<div><a href="/{i}">A link with many words in it</a></div>' for i in range(30))
+    page = f'<body><div id="all"><div>{menu}</div><div id="text">{PROSE}</div></div></body>'
+    found = H.Page(page)
+    assert found.attr(H.main_container(found), "id") == "text"
+    page = f"<body><main><div>{PROSE}</div></main></body>"
+    found = H.Page(page)
+    assert found.tag[H.main_container(found)] == "main"
+
+
+def test_layout_blocks_with_blocks_inside_are_dropped():
+    page = f"<article>{PROSE}<div>These ten words stand around a block in a layout element.<p>The block inside is prose and stays on.</p></div><div>Eight words of text in a div, no block.</div></article>"
+    assert texts(page)[3:] == ["The block inside is prose and stays on.", "Eight words of text in a div, no block."]
+
+
+def test_labels_stay_in_the_text_and_out_of_the_mark():
+    page = H.Page(f"<article>{PROSE}<p><b>Milk:</b> No pancake is complete without it, they say.</p><ul><li>Flour: sift it twice before you begin</li></ul></article>")
+    rows = H.page_sentences(page)
+    assert [(t[at:], at) for _, _, t, at, _ in rows[3:]] == [("No pancake is complete without it, they say.", 6), ("sift it twice before you begin", 7)]
+
+
+def test_items_behind_a_colon_are_its_rest():
+    page = f"<article>{PROSE}<p>The mill needed three things every year:</p><ul><li>a new belt of good leather</li><li>A carpenter came in May to look at it.</li></ul></article>"
+    assert texts(page)[3:] == ["A carpenter came in May to look at it."]
+
+
+def test_quotations_tie_sentences():
+    rows = H.page_sentences(H.Page(f"<article>{PROSE}<p>He said: “We will build it again. It will stand higher.” Nobody spoke for a while.</p></article>"))
+    assert [q for *_, q in rows] == [None, None, None, 3, 3, None]
+
+
+def test_pages_of_any_depth():
+    assert len(texts("<div>" * 5000 + PROSE + "</div>" * 5000)) == 3
+    assert H.json_types("[" * 5000) == set()
+
+
+def test_private_pages():
+    fields = "".join(f'<input autocomplete="{x}">' for x in ("given-name", "street-address", "section-a tel"))
+    m = H.meta(f'<meta name="robots" content="noindex, follow"><form>{fields}</form><a href="/user/logout?x=1">bye</a>')
+    assert m["personal_form"] and m["unlisted"] and m["signed_in"] and not m["never"]
+    assert H.meta('<input autocomplete="cc-number">')["never"] and not H.meta("<a>Log outside</a>")["signed_in"]
+    assert H.meta("<div contenteditable>" + "x" * 201 + "</div>")["app_like"] and H.meta("<body>" + "<input type=text>" * 31)["app_like"]
+    assert not H.meta("<body>" + "<input type=checkbox>" * 31)["app_like"]
