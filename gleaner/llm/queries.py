@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gleaner.llm import fingerprint, hamming, jaccard, licenses, mixing, packing, pii, suffix_dedup, toxicity, tree_dedup
 from gleaner.llm.common import documents
@@ -31,7 +30,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replaced(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY).select("doc_id", "text", F.col("n_replaced").cast("long").alias("n_replaced"))
+    return pii.replaced(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY, "n_replaced")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
