@@ -7,7 +7,8 @@ are sorted and exchanged: for each the part of the text that its own windows cov
 
 Three steps, on chunks of documents:
 
-1. ``cores``: each chunk sends the hash of each of its cores once; a bucket answers which occur more than once.
+1. ``repeated_cores``: each chunk sends the hash of each of its cores once; a bucket answers which occur more than once, and
+   which so often that their suffixes are too many for one group.
 2. ``owned``: a chunk lists the anchors whose core repeats, folds equal ones (same text around the same anchor) and
    sends one of each, so a passage found in a third of all documents costs a chunk one suffix.
 3. The operator's own merge decides on windows; its answer goes back to the chunk.
@@ -15,6 +16,7 @@ Three steps, on chunks of documents:
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from gleaner.llm.common import grams, mix, ordered
 
 SLICE = 1 << 18
+#: Suffixes with one core from which on it counts as crowded.
+CROWDED = 4096
 
 
 @dataclass(frozen=True)
@@ -91,53 +95,58 @@ def find(symbols: np.ndarray, ends: np.ndarray, window: Window, whole: bool) ->
 
 
 def distinct_cores(core: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The chunk's distinct cores ordered by bucket, whether each occurs twice in the chunk, and where buckets begin."""
+    """The chunk's distinct cores ordered by bucket, how often each occurs in the chunk, and where buckets begin."""
     values, counts = np.unique(core, return_counts=True)
     bucket = (values % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return values[order], counts[order] > 1, edges
+    return values[order], counts[order], edges
 
 
-def repeated_cores(docs: DataFrame, load, window: Window, buckets: int) -> DataFrame:
-    """(chunk, bucket, flags): a bit for each distinct core that the chunk has in the bucket, set if it occurs again anywhere."""
+def repeated_cores(docs: DataFrame, load, window: Window, buckets: int, crowded: int = CROWDED) -> DataFrame:
+    """(chunk, bucket, flags): two bits for each distinct core that the chunk has in the bucket: does it occur again anywhere, is it crowded."""
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
         symbols, ends = load(ordered(table))[:2]
         found = find(symbols, ends, window, False)
-        values, twice, edges = distinct_cores(found.core, buckets)
-        packed = (values & ~np.uint64(1)) | twice.astype(np.uint64)
+        values, counts, edges = distinct_cores(found.core, buckets)
+        counts = np.minimum(counts, 65535).astype(np.uint16)
         used = np.flatnonzero(edges[1:] > edges[:-1])
-        return pa.table({"bucket": pa.array(used, pa.int32()), "chunk": pa.array([chunk] * len(used), pa.int32()), "cores": pa.array([packed[edges[i] : edges[i + 1]].tobytes() for i in used], pa.binary())})
+        blobs = [values[edges[i] : edges[i + 1]].tobytes() + zlib.compress(counts[edges[i] : edges[i + 1]].tobytes(), 1) for i in used]
+        sizes = edges[used + 1] - edges[used]
+        return pa.table({"bucket": pa.array(used, pa.int32()), "chunk": pa.array([chunk] * len(used), pa.int32()), "n": pa.array(sizes, pa.int32()), "cores": pa.array(blobs, pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
-        runs = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table["cores"]]
-        every = np.concatenate(runs)
-        values, place, counts = np.unique(every >> np.uint64(1), return_inverse=True, return_counts=True)
-        again = counts > 1
-        again[place[(every & np.uint64(1)) == 1]] = True
-        flags, at, out = again[place], 0, []
-        for run in runs:
-            out.append(np.packbits(flags[at : at + len(run)]).tobytes())
-            at += len(run)
+        sizes = table["n"].to_pylist()
+        blobs = [x.as_py() for x in table["cores"]]
+        every = np.concatenate([np.frombuffer(x, dtype=np.uint64, count=n) for x, n in zip(blobs, sizes, strict=True)])
+        counts = np.concatenate([np.frombuffer(zlib.decompress(x[8 * n :]), dtype=np.uint16) for x, n in zip(blobs, sizes, strict=True)])
+        values, place = np.unique(every, return_inverse=True)
+        total = np.bincount(place, counts, minlength=len(values))[place]
+        flags, at, out = np.stack([total > 1, total > crowded], axis=1), 0, []
+        for n in sizes:
+            out.append(np.packbits(flags[at : at + n].ravel()).tobytes())
+            at += n
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "flags": pa.array(out, pa.binary())})
 
-    sent = docs.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, cores binary")
+    sent = docs.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, n int, cores binary")
     return sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, flags binary")
 
 
-def owned(found: Anchors, answers: pa.Table, buckets: int) -> np.ndarray:
-    """Numbers of the anchors whose core occurs more than once anywhere."""
+def owned(found: Anchors, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the anchors whose core occurs more than once anywhere, and whether it is crowded."""
     if not len(found.core):
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
     values, _, edges = distinct_cores(found.core, buckets)
-    again = np.zeros(len(values), dtype=bool)
-    for bucket, flags in zip(answers["bucket"].to_pylist(), answers["flags"].to_pylist(), strict=True):
+    flags = np.zeros((len(values), 2), dtype=bool)
+    for bucket, bits in zip(answers["bucket"].to_pylist(), answers["flags"].to_pylist(), strict=True):
         a, b = edges[bucket], edges[bucket + 1]
-        again[a:b] = np.unpackbits(np.frombuffer(flags, dtype=np.uint8), count=b - a).astype(bool)
+        flags[a:b] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=2 * (b - a)).astype(bool).reshape(-1, 2)
     order = np.argsort(values)
-    return np.flatnonzero(again[order][np.searchsorted(values[order], found.core)])
+    of = flags[order][np.searchsorted(values[order], found.core)]
+    pick = np.flatnonzero(of[:, 0])
+    return pick, of[pick, 1]
 
 
 def runs_of(starts: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -141,7 +141,7 @@ def marked(docs: DataFrame, window: A.Window, chunks: int) -> DataFrame:
         symbols, ends, data, offsets = load(docs_here)
         found = A.find(symbols, ends, window, True)
         del symbols
-        pick = A.owned(found, right, chunks)
+        pick, _ = A.owned(found, right, chunks)
         rows: list[tuple] = []
         if len(pick):
             _, first, inverse = np.unique(found.whole[pick], return_index=True, return_inverse=True)

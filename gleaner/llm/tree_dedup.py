@@ -1,11 +1,13 @@
-"""Operator 8: repeated word passages by suffix trees, split by prefix.
+"""Operator 8: repeated word passages by suffix trees, split by prefixes of variable length.
 
-Words are symbols. Suffixes that can matter (see ``anchors``) go to the bucket of their first ``core`` words; there are
-as many buckets as memory-sized chunks. A bucket builds its subtrees from the top: the prefix of a group grows word by
-word as long as the group has two suffixes or more, so prefixes are as long as they need to be and a suffix that is
-alone is dropped. A group whose prefix has t words is the tree's node at depth t. A window that has d words on the left
-of its anchor is repeated if the node at depth ``length - d`` has two leaves with equal d words on the left: these are
-the deep nodes whose leaves are maximal repeats.
+Words are symbols. Suffixes that can matter (see ``anchors``) are grouped by their first ``core`` words, and a group goes to
+one of as many buckets as there are memory-sized chunks. A group that is too large for one task is split by longer prefixes:
+the suffixes begin further left then, where their windows do, and each window is the prefix, so what meets is equal over
+its whole length and groups have at most one suffix of each chunk. A bucket builds its subtrees from the top: the prefix of
+a group grows word by word as long as the group has two suffixes or more, so prefixes are as long as they need to be and a
+suffix that is alone is dropped. A group whose prefix has t words is the tree's node at depth t. A window that has d words
+on the left of its anchor is repeated if the node at depth ``length - d`` has two leaves with equal d words on the left: these
+are the deep nodes whose leaves are maximal repeats.
 
 Cases: null and empty texts have no words; a text below ``length`` words keeps all; an empty table gives no rows; all
 occurrences of a repeated window go, the first too; a row listed twice doesn't repeat itself; extra columns are ignored.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gleaner.llm import anchors as A
-from gleaner.llm.common import BASE, NULL_ID, chunk_count, chunked, documents_words, mix, ordered, ordered_ids, ragged, word_symbols
+from gleaner.llm.common import BASE, NULL_ID, chunk_count, chunked, documents_words, grams, mix, ordered, ordered_ids, ragged, word_symbols
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 FULL = SCHEMA + ", kept string"
@@ -80,9 +82,17 @@ def deep_nodes(words: np.ndarray, size: np.ndarray, most: np.ndarray, least: np.
     return np.concatenate(found_row or none), np.concatenate(found_d or none)
 
 
-def marked(docs: DataFrame, window: A.Window, chunks: int) -> DataFrame:
+def whole_windows(symbols: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows from first to last: hashes of the different ones, the start of each, how often it occurs, and starts that repeat another's."""
+    starts = np.unique(ragged(first, last - first + 1))
+    hashed = mix(grams(symbols, length)[starts])
+    values, at, which, counts = np.unique(hashed, return_index=True, return_inverse=True, return_counts=True)
+    return values, starts[at], counts, starts[counts[which] > 1]
+
+
+def marked(docs: DataFrame, window: A.Window, chunks: int, crowded: int = A.CROWDED) -> DataFrame:
     """(chunk, spans): packed (document number in the chunk, begin, end), in words, of what occurs elsewhere too."""
-    answers = A.repeated_cores(docs, load, window, chunks)
+    answers = A.repeated_cores(docs, load, window, chunks, crowded)
 
     def runs(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("run", pa.binary())])
@@ -92,8 +102,22 @@ def marked(docs: DataFrame, window: A.Window, chunks: int) -> DataFrame:
         symbols, ends = load(ordered(left))
         begin = np.concatenate([[0], ends])
         found = A.find(symbols, ends, window, True)
-        pick = A.owned(found, right, chunks)
+        pick, many = A.owned(found, right, chunks)
         rows: list[tuple] = []
+        if many.any():
+            values, start, count, again = whole_windows(symbols, found.first[pick[many]], found.last[pick[many]], window.length)
+            if len(again):
+                d = np.searchsorted(ends, again, side="right")
+                rows.append((chunk % chunks, chunk, 1, A.pack(*A.runs_of(again - begin[d], d, window.length))))
+            d = np.searchsorted(ends, start, side="right")
+            place = np.where(count > 1, -1, start - begin[d])  # those that repeat here are known to; they are sent for others
+            bucket = (values % np.uint64(chunks)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            values, d, place, bucket = values[order], d[order], place[order], bucket[order]
+            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                rows.append((int(bucket[i]), chunk, 2, b"".join([values[i:j].tobytes(), A.pack(d[i:j], place[i:j])])))
+        pick = pick[~many]
         if len(pick):
             _, first, inverse, count = np.unique(found.whole[pick], return_index=True, return_inverse=True, return_counts=True)
             doc = np.searchsorted(ends, found.place[pick], side="right")
@@ -131,13 +155,26 @@ def marked(docs: DataFrame, window: A.Window, chunks: int) -> DataFrame:
                 m = order[i:j]
                 out_chunk.append(int(target[m[0]]))
                 out.append(A.pack(doc[o[m]], s[m], e[m]))
+        which = np.flatnonzero(kind == 2)
+        if len(which):
+            blobs = [table["run"][int(i)].as_py() for i in which]
+            n = [len(x) // 16 for x in blobs]
+            values = np.concatenate([np.frombuffer(x, dtype=np.uint64, count=k) for x, k in zip(blobs, n, strict=True)])
+            doc, place = A.unpack([x[8 * k :] for x, k in zip(blobs, n, strict=True)], 2)
+            _, node, count = np.unique(values, return_inverse=True, return_counts=True)
+            hit = np.flatnonzero((count[node] > 1) & (place >= 0))
+            owner = np.repeat(chunk[which], n)[hit]
+            for c in np.unique(owner):
+                mine = hit[owner == c]
+                out_chunk.append(int(c))
+                out.append(A.pack(*A.runs_of(place[mine], doc[mine], window.length)))
         return pa.table({"chunk": pa.array(out_chunk, pa.int32()), "spans": pa.array(out, pa.binary())})
 
     sent = A.answered(docs, answers, runs, "bucket int, chunk int, kind int, run binary")
     return sent.groupBy("bucket").applyInArrow(decide, "chunk int, spans binary")
 
 
-def remove_passages(docs: DataFrame, length: int = 35, core: int = 8, keep_text: bool = False) -> DataFrame:
+def remove_passages(docs: DataFrame, length: int = 35, core: int = 8, keep_text: bool = False, crowded: int = A.CROWDED) -> DataFrame:
     """Per row of ``docs``: its words, how many go, a digest of what is left and, if asked for, what is left."""
     window = A.Window(length, core)
     chunks = chunk_count(docs)
@@ -166,4 +203,4 @@ def remove_passages(docs: DataFrame, length: int = 35, core: int = 8, keep_text:
         table = pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
         return table if keep_text else table.drop_columns(["kept"])
 
-    return A.answered(parts, marked(parts, window, chunks), cut, FULL if keep_text else SCHEMA)
+    return A.answered(parts, marked(parts, window, chunks, crowded), cut, FULL if keep_text else SCHEMA)

@@ -100,7 +100,8 @@ def test_tree_dedup(docs, rows, none):
             if count[tuple(w[i : i + 35])] > 1:
                 gone[i : i + 35] = [True] * 35
         expected[d] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in tree_dedup.remove_passages(docs).collect()} == expected
+    for crowded in (4096, 3, 0):  # at 0 every prefix that repeats is lengthened
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in tree_dedup.remove_passages(docs, crowded=crowded).collect()} == expected
     assert tree_dedup.remove_passages(none).count() == 0
 
 
