@@ -6,8 +6,9 @@ fingerprint is the sum of its paragraphs' vectors modulo 2**16: the order does n
 vector and removing it subtracts it. The squared length of a difference estimates how many paragraphs two texts do not
 share, so fingerprints of texts that differ also tell how alike they are.
 
-The text that follows (ascending doc_id) sits in the same bucket of doc_ids; the first document of each bucket is sent
-to the bucket before as well.
+The text that follows (ascending doc_id) sits in the same range of documents; the first document of each range is sent
+to the range before as well. A range is sorted by the engine, which spills, and read as a stream, so ranges may be large and
+their bounds are few; documents that share one doc_id are spread over ranges by a hash of their text.
 
 Cases: a null or empty text has no paragraphs (the zero vector; two of them are alike, 1.0); the last document is
 followed by the first, a single one by itself; an empty table gives no rows; rows with one doc_id are ordered by a hash of
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import NULL_ID, chunk_count, documents_words, keyed, mix, ordered, ordered_ids, power, powers, word_symbols
+from gleaner.llm.common import NULL_ID, chunk_count, documents_words, keyed, mix, power, powers, word_symbols
 
 WIDTH = 128
 GRAIN = 4
+#: Bytes of text in a range, about, and texts that are worked on at once.
+RANGE_BYTES, TOGETHER = 128 << 20, 128
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -78,57 +81,92 @@ def subtract(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x - y).astype(np.uint16)
 
 
+def bounds(rows: DataFrame, count: int) -> np.ndarray:
+    """(doc_id, sub) where ranges begin, beyond the first: one pair a range. An id that fills several ranges is cut by sub, a uniform hash."""
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)] or [0.5], max(10_000, 20 * count))).first()[0] if count > 1 else None
+    values, times = np.unique(np.array(cuts or [], dtype=np.int64), return_counts=True)
+    out = []
+    for v, k in zip(values.tolist(), times.tolist(), strict=True):
+        out += [(v, -(2**63) + (2**64 // k) * i) for i in range(k)]
+        if k > 1 and v < 2**63 - 1:
+            out.append((v + 1, -(2**63)))
+    return np.array(sorted(set(out)), dtype=[("doc_id", np.int64), ("sub", np.int64)])
+
+
+def range_of(cuts: np.ndarray):
+    """For ids and subs the range of each. Cuts of one id are few or evenly spaced, so a search by id is finished by a search by sub."""
+    ids = cuts["doc_id"]
+
+    def find(doc_id: np.ndarray, sub: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(ids, doc_id, side="left"), np.searchsorted(ids, doc_id, side="right")
+        out = high.copy()
+        for i in np.flatnonzero(high > low).tolist():
+            out[i] = low[i] + np.searchsorted(cuts["sub"][low[i] : high[i]], sub[i], side="right")
+        return out
+
+    return find
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: fingerprints of the text and of its edited form, and the likeness to it and to the next document's."""
-    count = chunk_count(docs)
     rows = keyed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    # one number a bucket reaches the driver: where buckets begin, then the smallest doc_id that each has
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)] or [0.5], 20_000)).first()[0]
-    cuts = np.unique(np.array(cuts if cuts is not None else [], dtype=np.int64)) if count > 1 else np.zeros(0, dtype=np.int64)
+    cuts = bounds(rows, chunk_count(docs, RANGE_BYTES))
+    find = range_of(cuts)
 
-    @F.pandas_udf("long")
-    def bucket_of(ids):
+    @F.pandas_udf("int")
+    def range_no(ids, subs):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="right"))
+        return pd.Series(find(ids.to_numpy(), subs.to_numpy()).astype(np.int32))
 
-    firsts = sorted((r["bucket"], r["first"]) for r in rows.select("doc_id").groupBy(bucket_of("doc_id").alias("bucket")).agg(F.min("doc_id").alias("first")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # the first bucket's first follows the last bucket
+    least = rows.select(range_no("doc_id", "sub").alias("range"), F.struct("doc_id", "sub").alias("key")).groupBy("range").agg(F.min("key").alias("first"))
+    firsts = sorted((r["range"], r["first"]["doc_id"], r["first"]["sub"]) for r in least.collect())  # one row a range
+    before = {first[1:]: firsts[i - 1][0] for i, first in enumerate(firsts)}  # the first range's first follows the last range
 
-    @F.pandas_udf("array<long>")
-    def buckets_of(ids):
+    @F.pandas_udf("array<int>")
+    def ranges_of(ids, subs):
         import pandas as pd
 
-        at = np.searchsorted(cuts, ids.to_numpy(), side="right")
-        return pd.Series([[b] if i not in before else [b, -1 - before[i]] for i, b in zip(ids.tolist(), at.tolist(), strict=True)])
-
-    dealt = rows.withColumn("to", F.explode(buckets_of("doc_id")))
-    dealt = dealt.select(F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("bucket"), (F.col("to") < 0).alias("ahead"), "doc_id", "sub", "text")
-
-    def work(table: pa.Table) -> pa.Table:
-        flag = np.asarray(table["ahead"])
-        own, ahead = table.take(np.flatnonzero(~flag)), ordered(table.take(np.flatnonzero(flag)))
-        here = ordered(own)
-        texts = here["text"].to_pylist()
-        n = len(texts)
-        follow = texts[1:] + [ahead["text"][0].as_py()] if ahead.num_rows else texts[1:] + texts[:1]
-        fp, edited_fp, digest, near_edited, near_next = [], [], [], [], []
-        for at in range(0, n, 128):
-            part, nexts = texts[at : at + 128], follow[at : at + 128]
-            edited = []
-            for t, f in zip(part, nexts, strict=True):
-                k = len(t) // 4
-                edited.append(t[: len(t) - k] + f[:k])
-            v = vectors([*part, nexts[-1]])
-            e = vectors(edited)
-            fp += [x.tobytes().hex() for x in v[:-1].astype(">u2")]
-            edited_fp += [x.tobytes().hex() for x in e.astype(">u2")]
-            digest += [hashlib.sha256(x.encode()).hexdigest() for x in edited]
-            near_edited += near(v[:-1], e).tolist()
-            near_next += near(v[:-1], v[1:]).tolist()
-        number = {key: i for i, key in enumerate(zip(*(x.tolist() for x in ordered_ids(here)), strict=True))}
-        pick = [number[key] for key in zip(*(x.tolist() for x in ordered_ids(own)), strict=True)]
-        ids = [None if i == NULL_ID else i for i in own["doc_id"].to_pylist()]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array([len(texts[i]) for i in pick], pa.int64()), "edited_sha256": pa.array([digest[i] for i in pick], pa.string()), "fingerprint": pa.array([fp[i] for i in pick], pa.string()), "edited_fingerprint": pa.array([edited_fp[i] for i in pick], pa.string()), "near_edited": pa.array([near_edited[i] for i in pick], pa.float64()), "near_next": pa.array([near_next[i] for i in pick], pa.float64())})
-
-    return dealt.groupBy("bucket").applyInArrow(work, SCHEMA)
+        own = find(ids.to_numpy(), subs.to_numpy())
+        return pd.Series([[r] if (key := (i, s)) not in before else [r, -1 - before[key]] for i, s, r in zip(ids.tolist(), subs.tolist(), own.tolist(), strict=True)])
+
+    dealt = rows.withColumn("to", F.explode(ranges_of("doc_id", "sub")))
+    dealt = dealt.select(F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("range"), (F.col("to") < 0).alias("ahead"), "doc_id", "sub", "text")
+    return dealt.repartitionById(len(cuts) + 1, "range").sortWithinPartitions("range", "ahead", "doc_id", "sub").mapInArrow(streamed, SCHEMA)
+
+
+def streamed(batches):
+    """Results of sorted ranges: a document waits until the one that follows it is known."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    ready: list[list] = []  # doc_id, how often it is listed, text, text that follows
+    waiting: list = []  # range, doc_id, sub, how often, text
+
+    def work(part: list[list]) -> pa.RecordBatch:
+        texts, follow = [x[2] for x in part], [x[3] for x in part]
+        edited = [t[: len(t) - len(t) // 4] + f[: len(t) // 4] for t, f in zip(texts, follow, strict=True)]
+        v, e, f = vectors(texts), vectors(edited), vectors(follow)
+        columns = [
+            [None if x[0] == NULL_ID else x[0] for x in part],
+            [len(t) for t in texts],
+            [hashlib.sha256(x.encode()).hexdigest() for x in edited],
+            [x.tobytes().hex() for x in v.astype(">u2")],
+            [x.tobytes().hex() for x in e.astype(">u2")],
+            near(v, e),
+            near(v, f),
+        ]
+        again = np.repeat(np.arange(len(part)), [x[1] for x in part])
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema).take(pa.array(again))
+
+    for batch in batches:
+        for at, ahead, doc_id, sub, text in zip(*(batch[c].to_pylist() for c in ("range", "ahead", "doc_id", "sub", "text")), strict=True):
+            if waiting and waiting[0] == at:
+                if not ahead and waiting[1:3] == [doc_id, sub]:
+                    waiting[3] += 1
+                    continue
+                ready.append([waiting[1], waiting[3], waiting[4], text])
+            waiting = [] if ahead else [at, doc_id, sub, 1, text]
+            if len(ready) >= TOGETHER:
+                yield work(ready)
+                ready = []
+    if ready:
+        yield work(ready)

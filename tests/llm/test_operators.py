@@ -149,6 +149,25 @@ def test_fingerprints(docs, rows, none):
     assert fingerprint.fingerprints(none).count() == 0
 
 
+def test_fingerprints_of_documents_that_share_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"none {i} has an id of its own") for i in range(40)] + [(5, f"five {i % 7}") for i in range(30)] + [(i, f"{i} alone") for i in (1, 9, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint.fingerprints(docs).collect()]
+    subs = {r.text: r.sub for r in docs.select("text", F.xxhash64("text").alias("sub")).collect()}
+    order = sorted(set(rows), key=lambda x: (-(2**63) if x[0] is None else x[0], subs[x[1]]))
+    follow = dict(zip(order, order[1:] + order[:1], strict=True))
+
+    def expected(d, t):
+        k = len(t) // 4
+        return d, len(t), hashlib.sha256((t[: len(t) - k] + follow[d, t][1][:k]).encode()).hexdigest()
+
+    assert collections.Counter(got) == collections.Counter(expected(*r) for r in rows)
+    one = fingerprint.fingerprints(spark.createDataFrame([(3, "abcdefgh")], "doc_id long, text string")).collect()
+    assert one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
+
+
 def test_fingerprints_add_up():
     a, b, both, turned = fingerprint.vectors(["one two\nthree four", "five six seven", "one two\nthree four\nfive six seven", "five six seven\nthree four\none two"])
     assert (fingerprint.add(a, b) == both).all() and (both == turned).all() and (fingerprint.subtract(both, b) == a).all()
