@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from gleaner.llm import anchors as A
 from gleaner.llm.common import BASE, BYTE_SYMBOL, NULL_ID, chunk_count, chunked, mix, ordered, ordered_ids, ragged, text_buffer
 
+#: Suffixes whose bytes are gathered at once.
+BLOCK = 1 << 14
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 FULL = SCHEMA + ", kept binary"
 
@@ -157,7 +159,10 @@ def marked(docs: DataFrame, window: A.Window, chunks: int) -> DataFrame:
             size = b + window.length - p
             reach = np.arange(window.length)
             # bytes moved up by one (255 is in no UTF-8 text), so that 0 stands for the end
-            text = np.where(reach[None, :] < size[:, None], data[np.minimum(p[:, None] + reach[None, :], len(data) - 1)] + np.uint8(1), np.uint8(0)).astype(np.uint8)
+            text = np.zeros((len(p), window.length), dtype=np.uint8)
+            for at in range(0, len(p), BLOCK):
+                s = slice(at, at + BLOCK)
+                text[s] = np.where(reach[None, :] < size[s, None], data[np.minimum(p[s, None] + reach[None, :], len(data) - 1)] + np.uint8(1), np.uint8(0))
             bucket = (found.core[keep] % np.uint64(chunks)).astype(np.int64)
             order = np.argsort(text.view(f"S{window.length}").ravel(), kind="stable")
             order = order[np.argsort(bucket[order], kind="stable")]

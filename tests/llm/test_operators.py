@@ -360,13 +360,16 @@ def test_search(spark):
     v = rng.normal(size=(400, 64)).round(3)
     v[50:90] = v[3]
     rows = [(i, [float(x) for x in v[i]]) for i in range(400)] + [(7, [float(x) for x in v[7]]), (None, [1.0]), (401, None), (402, [])]
-    got = hamming.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=10).toPandas()
     bits = v > 0
-    for q in range(0, 400, 50):
-        dist = (bits != bits[q]).sum(axis=1)
-        expected = [(d, i) for d, i in sorted(zip(dist.tolist(), range(400), strict=True)) if i != q][:10]
-        mine = got[got.query_id == q].sort_values("rank")
-        assert list(zip(mine.distance, mine.neighbor_id, strict=True)) == expected
+    for more in ({}, {"segments": 3, "bucket_entries": 16}):  # few entries a bucket: first bits tell buckets, and full ones have parts
+        got = hamming.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=10, **more).toPandas()
+        for q in range(0, 400, 50):
+            dist = (bits != bits[q]).sum(axis=1)
+            expected = [(d, i) for d, i in sorted(zip(dist.tolist(), range(400), strict=True)) if i != q][:10]
+            mine = got[got.query_id == q].sort_values("rank")
+            assert list(zip(mine.distance, mine.neighbor_id, strict=True)) == expected
+    few = hamming.search(spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>"), k=10).toPandas()
+    assert sorted(few.neighbor_id) == [1, 2, 3]
     assert hamming.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
