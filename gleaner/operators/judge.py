@@ -1,42 +1,70 @@
-"""The judge: whatever gives a probability for a question about a text.
+"""The judge: whatever answers questions about a text.
 
-``StubJudge`` is deterministic and says nothing about quality; ``ReplayJudge`` answers from a table; ``HttpJudge`` asks a
-service that the caller names, with retries. A judge answers batches of rows (request_id, key, state, question) with
-(request_id, key, p, error).
+A request has a state (the text that its questions are about) and questions: ``noul`` asks for a probability, ``choice`` for
+one of some labels. ``StubJudge`` is deterministic and says nothing about quality; ``ReplayJudge`` answers from a table;
+``HttpJudge`` asks a service that the caller names, several requests at a time, with retries.
+
+A judge answers a list of requests {request_id, state, questions: [{key, type, text, options}]} with as many replies
+{answers: {key: {p} or {label, confidence}}, error, tokens}; an answer that is missing is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-ANSWER = "request_id string, key string, p double, error string"
+REPLY = "answers array<struct<key: string, p: double, label: string, confidence: double>>, error string, tokens long"
+#: Rows that a Python function gets at once.
+ROWS = 256
+#: Requests in flight at once.
+CONCURRENT = 6
 
 
 class Judge(Protocol):
-    def answer(self, batch: pd.DataFrame) -> pd.DataFrame: ...
+    def reply(self, requests: list[dict]) -> list[dict]: ...
+
+
+def stub_p(text: str) -> float:
+    """The first 16 bits of the text's MD5 as a probability."""
+    return int(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:4], 16) / 65535
 
 
 class StubJudge:
-    def answer(self, batch: pd.DataFrame) -> pd.DataFrame:
-        p = [int(hashlib.md5(q.encode()).hexdigest()[:4], 16) / 65535 for q in batch["question"]]
-        return pd.DataFrame({"request_id": batch["request_id"], "key": batch["key"], "p": p, "error": None})
+    def reply(self, requests: list[dict]) -> list[dict]:
+        return [{"answers": {q["key"]: self.answer(q) for q in r["questions"]}, "error": None, "tokens": tokens_of(r)} for r in requests]
+
+    def answer(self, question: dict) -> dict:
+        p = stub_p(question["text"])
+        if question["type"] == "noul":
+            return {"p": p}
+        options = list(question["options"])
+        return {"label": options[min(int(p * len(options)), len(options) - 1)], "confidence": p}
 
 
 class ReplayJudge:
-    def __init__(self, known: dict[tuple[str, str], float]):
+    """known: answers by (request id, key)."""
+
+    def __init__(self, known: dict[tuple[str, str], dict]):
         self.known = known
 
-    def answer(self, batch: pd.DataFrame) -> pd.DataFrame:
-        p = [self.known.get((r, k)) for r, k in zip(batch["request_id"], batch["key"], strict=True)]
-        return pd.DataFrame({"request_id": batch["request_id"], "key": batch["key"], "p": p, "error": [None if x is not None else "missing" for x in p]})
+    def reply(self, requests: list[dict]) -> list[dict]:
+        return [{"answers": {q["key"]: self.known[r["request_id"], q["key"]] for q in r["questions"] if (r["request_id"], q["key"]) in self.known}, "error": None, "tokens": tokens_of(r)} for r in requests]
+
+
+def tokens_of(request: dict) -> int:
+    """A count of about four characters a token, for judges that don't tell."""
+    return math.ceil((len(request["state"] or "") + sum(len(q["text"]) for q in request["questions"])) / 4)
 
 
 class Refused(Exception):
@@ -44,46 +72,98 @@ class Refused(Exception):
 
 
 class HttpJudge:
-    """One request for each request_id; transient errors are retried with growing pauses, others make that request's error."""
-
-    def __init__(self, send: Callable[[dict], tuple[int, str]], retries: int = 3, pause: float = 0.4, sleep: Callable[[float], None] = time.sleep):
-        self.send, self.retries, self.pause, self.sleep = send, retries, pause, sleep
-
-    def ask(self, body: dict) -> dict:
+    """``send(body, timeout)`` gives (status, text). Transient errors are retried with growing pauses; what remains is that request's error.
+
+    A refused key ends everything: requests that have not begun are not sent.
+    """
+
+    def __init__(self, send: Callable[[dict, float], tuple[int, str]], retries: int = 3, pause: float = 0.4, timeout: float = 20.0, sleep: Callable[[float], None] = time.sleep, concurrent: int = CONCURRENT):
+        self.send, self.retries, self.pause, self.timeout, self.sleep, self.concurrent = send, retries, pause, timeout, sleep, concurrent
+
+    def attempt(self, body: dict) -> tuple[dict | None, str | None, bool]:
+        """(reply, error, whether another attempt may help)."""
+        try:
+            status, text = self.send(body, self.timeout)
+        except OSError as e:
+            return None, "timeout" if isinstance(e, TimeoutError) else "network", True
+        if status == 401:
+            raise Refused("the key is refused")
+        if status != 200:
+            return None, f"status {status}", status >= 500 or status in (408, 429)
+        try:
+            reply = json.loads(text)
+            return (reply, None, False) if isinstance(reply.get("answers"), dict) else (None, "malformed", True)
+        except (ValueError, AttributeError):
+            return None, "malformed", True
+
+    def ask(self, body: dict) -> tuple[dict | None, str | None]:
         for k in range(self.retries + 1):
+            reply, error, again = self.attempt(body)
+            if reply or not again or k == self.retries:
+                return reply, error
+            self.sleep(self.pause * 2**k + random.random() * 0.2)
+        return None, error
+
+    def one(self, request: dict) -> dict:
+        body = {"state": request["state"], "questions": {q["key"]: {"type": q["type"], "instructions": q["text"], "criteria": q["options"]} for q in request["questions"]}}
+        reply, error = self.ask(body)
+        given = (reply or {}).get("answers", {})
+        answers = {q["key"]: a for q in request["questions"] if (a := usable(given.get(q["key"])))}
+        tokens = ((reply or {}).get("usage") or {}).get("input_tokens")
+        return {"answers": answers, "error": error, "tokens": tokens if isinstance(tokens, int) else 0}
+
+    def reply(self, requests: list[dict]) -> list[dict]:
+        with ThreadPoolExecutor(max(1, min(self.concurrent, len(requests)))) as pool:
+            work = [pool.submit(self.one, r) for r in requests]
             try:
-                status, text = self.send(body)
-                if status == 401:
-                    raise Refused("the key is refused")
-                if status == 200:
-                    return json.loads(text)["answers"]
-                if status < 500 and status not in (408, 429):
-                    return {"error": f"status {status}"}
-                error = f"status {status}"
-            except (OSError, ValueError, KeyError) as e:
-                error = type(e).__name__
-            if k < self.retries:
-                self.sleep(self.pause * 2**k + random.random() * 0.2)
-        return {"error": error}
-
-    def answer(self, batch: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for request, rows in batch.groupby("request_id", sort=False):
-            got = self.ask({"state": rows["state"].iloc[0], "questions": dict(zip(rows["key"], rows["question"], strict=True))})
-            error = got.get("error") if isinstance(got.get("error"), str) else None
-            for key in rows["key"]:
-                p = got.get(key)
-                good = isinstance(p, int | float) and p == p
-                out.append((request, key, min(1.0, max(0.0, float(p))) if good else None, None if good else error or "missing"))
-        return pd.DataFrame(out, columns=["request_id", "key", "p", "error"])
-
-
-def ask(questions: DataFrame, judge: Judge) -> DataFrame:
-    """Answers to (request_id, key, state, question); equal questions of a request are asked once."""
-    once = questions.select("request_id", "key", "state", "question").dropDuplicates(["request_id", "key"])
-
-    def work(batches):
+                return [w.result() for w in work]
+            except Refused:
+                for w in work:
+                    w.cancel()
+                raise
+
+    def healthcheck(self) -> tuple[bool, str | None]:
+        """Whether one tiny request, sent once, is answered, and else why not."""
+        try:
+            reply, error, _ = self.attempt({"state": "ok", "questions": {"check": {"type": "noul", "instructions": "Does this text say ok?", "criteria": None}}})
+        except Refused as e:
+            return False, str(e)
+        return reply is not None, error
+
+
+def number(x: object) -> float | None:
+    return min(1.0, max(0.0, float(x))) if isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x) else None
+
+
+def usable(answer: object) -> dict | None:
+    """What of a service's answer can be used: probabilities within bounds, or a label with its confidence (0 if it has none)."""
+    if not isinstance(answer, dict):
+        return None
+    p = number(answer.get("noul"))
+    if p is not None:
+        return {"p": p}
+    return {"label": answer["choice"], "confidence": number(answer.get("confidence")) or 0.0} if isinstance(answer.get("choice"), str) else None
+
+
+def ask(requests: DataFrame, judge: Judge) -> DataFrame:
+    """``requests`` (request_id, state, questions and any other columns) with the reply: answers, error, tokens."""
+
+    def work(rows: list[dict]) -> list[dict]:
+        replies = judge.reply(rows)
+        empty = {"p": None, "label": None, "confidence": None}
+        return [row | {"answers": [{"key": k} | empty | a for k, a in r["answers"].items()], "error": r["error"], "tokens": r["tokens"]} for row, r in zip(rows, replies, strict=True)]
+
+    return by_rows(requests, work, StructType([*requests.schema.fields, *_parse_datatype_string(REPLY).fields]))
+
+
+def by_rows(df: DataFrame, work: Callable[[list[dict]], list[dict]], schema: StructType | str) -> DataFrame:
+    """Batches of rows through a Python function, by Arrow."""
+    schema = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+
+    def batches_of(batches):
         for batch in batches:
-            yield judge.answer(batch)[["request_id", "key", "p", "error"]]
+            for at in range(0, batch.num_rows, ROWS):
+                yield pa.RecordBatch.from_pylist(work(batch.slice(at, ROWS).to_pylist()), schema=arrow)
 
-    return once.mapInPandas(work, ANSWER)
+    return df.mapInArrow(batches_of, schema)

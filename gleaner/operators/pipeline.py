@@ -1,148 +1,214 @@
-"""Pages to judged sentences: what needs the tree, the splitter or the judge, around SQL for the rest."""
+"""Pages to judged sentences.
+
+One row a page until its sentences are cut into requests, one row a request until its answers are read: guards, chunks,
+states, questions and answers are expressions on arrays, so that a page passes from the scan to its judgment without a shuffle.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as Types
+from pyspark.sql.types import BooleanType, StringType
 
 from gleaner.functions import html as H
 from gleaner.functions import text as T
-from gleaner.operators.judge import Judge, StubJudge, ask
+from gleaner.operators import guards, highlights
+from gleaner.operators.judge import Judge, StubJudge, ask, by_rows
+from gleaner.operators.settings import distinct_rules
 from gleaner.plans import values as V
-from gleaner.sources.pages import pages
+from gleaner.sources.pages import content_hash, pages, parsed
+
+KEEP = "Would a reader miss this sentence? "
+KIND = "Why could a reader skip this sentence? "
+PAGE_KIND = "What kind of page is this?"
+#: What counts as substance on a kind of page, added to the question.
+PACK_HINTS = {
+    "recipe": "Amounts, times and steps count.",
+    "legal": "Duties, rights, limits and dates count.",
+    "corporate": "What changed, for whom and when counts.",
+    "product": "Properties, prices and limits count.",
+    "docs": "Usage, parameters and results count.",
+    "paper": "Claims, methods, figures and results count.",
+    "article": "Facts, figures and statements of people count.",
+    "social": "What is told counts, calls to react do not.",
+}
 
-SPANS = Types.ArrayType(Types.StructType([Types.StructField("start", Types.IntegerType()), Types.StructField("end", Types.IntegerType())]))
 
+def question(key: Column, kind: str, text: Column, options: list[str] | None = None) -> Column:
+    allowed = guards.strings(options) if options else F.lit(None).cast("array<string>")
+    return F.struct(key.alias("key"), F.lit(kind).alias("type"), text.alias("text"), allowed.alias("options"))
 
-@F.pandas_udf(SPANS)
-def sentence_spans(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start": a, "end": b} for a, b in T.split_sentences(t or "")])
 
+def chunks(sentences: Column, size: int) -> Column:
+    """Balanced contiguous chunks: an array of (chunk, sentences), larger chunks first, none without sentences."""
+    n = F.size(sentences)
+    count = F.ceil(n / size).cast("int")
+    base, extra = F.floor(n / count).cast("int"), n % count
 
-@F.pandas_udf(SPANS)
-def clause_spans(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start": a, "end": b} for a, b in T.clauses(t or "")])
+    def one(k: Column) -> Column:
+        return F.struct(k.alias("chunk"), F.slice(sentences, k * base + F.least(k, extra) + 1, base + (k < extra).cast("int")).alias("part"))
 
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), one))
 
-@F.pandas_udf(Types.StringType())
-def hash_text(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: T.hash_text(t or ""))
 
+def requests(found: DataFrame, size: int = V.PER_REQUEST, name: str = "r") -> DataFrame:
+    """``found`` (pages with ``sentences`` and ``pack``) by request: chunk, part (its sentences), request_id and state.
 
-@F.pandas_udf(Types.BooleanType())
-def carries_account_number(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: T.carries_account_number(t or ""))
+    Withheld sentences and the page's address are in no request; a page without sendable sentences keeps one row without any.
+    """
+    sendable = F.filter("sentences", lambda s: ~s["withheld"])
+    cut = found.withColumn("sendable", sendable).select("*", F.explode_outer(chunks(F.col("sendable"), size)).alias("cut")).drop("sendable", "sentences")
+    text = F.array_join(F.transform("cut.part", lambda s: s["text"]), " ")
+    state = F.to_json(F.struct(F.col("pack").alias("page_kind_hint"), "title", F.col("lang").alias("language"), text.alias("text")))
+    request_id = F.concat_ws("/", F.lit(name), "page_id", "cut.chunk")
+    return cut.select("*", F.col("cut.chunk").alias("chunk"), F.coalesce("cut.part", F.array().cast(dict(cut.dtypes)["cut"].partition("part:")[2][:-1])).alias("part"), request_id.alias("request_id"), state.alias("state")).drop("cut")
 
 
-def page_sentences(scanned: DataFrame) -> DataFrame:
-    """(page_id, sent_id, block_id, text, withheld) of each page's main text; each page is parsed once."""
+def answer(key: Column) -> Column:
+    """The answer to a question of a request, or null."""
+    return F.get(F.filter("answers", lambda a: a["key"] == key), 0)
 
-    def cut(batches):
-        for batch in batches:
-            out = [(p, s, b, t, T.carries_account_number(t)) for p, h in zip(batch["page_id"], batch["html"], strict=True) for s, b, t in H.sentences(h or "", V.MAX_SENTENCES)]
-            yield pd.DataFrame(out, columns=["page_id", "sent_id", "block_id", "text", "withheld"])
 
-    return scanned.select("page_id", "html").mapInPandas(cut, "page_id long, sent_id int, block_id int, text string, withheld boolean")
+def keyed(prefix: str, sent_id: Column) -> Column:
+    return F.concat(F.lit(prefix), sent_id.cast("string"))
 
 
-def requests(sentences: DataFrame, per_request: int = V.PER_REQUEST) -> DataFrame:
-    """(page_id, sent_id, request_id, key, state, question): balanced chunks; withheld sentences and addresses are in no request."""
-    sendable = sentences.where("NOT withheld")
-    page = Window.partitionBy("page_id")
-    r, n = F.row_number().over(page.orderBy("sent_id")) - 1, F.count("*").over(page)
-    counted = sendable.withColumn("r", r).withColumn("n", n).withColumn("c", F.ceil(F.col("n") / per_request))
-    counted = counted.withColumn("b", F.floor(F.col("n") / F.col("c"))).withColumn("e", F.col("n") % F.col("c"))
-    chunk = F.when(F.col("r") < F.col("e") * (F.col("b") + 1), F.floor(F.col("r") / (F.col("b") + 1))).otherwise(F.col("e") + F.floor((F.col("r") - F.col("e") * (F.col("b") + 1)) / F.col("b")))
-    chunked = counted.withColumn("chunk", chunk)
-    state = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_id", "text")).over(Window.partitionBy("page_id", "chunk"))), lambda x: x["text"]), " ")
-    return chunked.select("page_id", "sent_id", F.concat_ws("/", "page_id", "chunk").alias("request_id"), F.concat(F.lit("keep_"), "sent_id").alias("key"), state.alias("state"), F.col("text").alias("question"))
+def judged(found: DataFrame, judge: Judge, size: int = V.PER_REQUEST) -> DataFrame:
+    """By request: judgments (sent_id, keep, kind, kind_conf, failed) of its sentences, page_kind and its confidence (first request), error, tokens.
 
+    A sentence needs both its answers, else it has failed; a probability is cut to 0..1.
+    """
+    hint = F.try_element_at(F.create_map(*[F.lit(x) for pair in PACK_HINTS.items() for x in pair]), F.col("pack"))
+    asked = requests(found, size)
+    each = F.transform("part", lambda s: F.array(question(keyed("keep_", s["sent_id"]), "noul", F.concat_ws(" ", F.lit(KEEP.strip()), hint, s["text"])), question(keyed("kind_", s["sent_id"]), "choice", F.concat(F.lit(KIND), s["text"]), V.KINDS)))
+    about_page = F.when(F.col("chunk") == 0, F.array(question(F.lit("page_kind"), "choice", F.concat(F.lit(PAGE_KIND + " "), F.col("state")), V.PAGE_KINDS))).otherwise(F.slice(F.flatten(each), 1, 0))
+    got = ask(asked.withColumn("questions", F.concat(F.flatten(each), about_page)), judge)
 
-def judge_pages(sentences: DataFrame, judge: Judge) -> DataFrame:
-    """(page_id, sent_id, keep, failed): every sendable sentence; a question without an answer fails that sentence only."""
-    asked = requests(sentences)
-    got = ask(asked, judge)
-    return asked.join(got, ["request_id", "key"], "left").select("page_id", "sent_id", F.col("p").alias("keep"), F.col("p").isNull().alias("failed"))
+    def judgment(s: Column) -> Column:
+        keep, kind = answer(keyed("keep_", s["sent_id"]))["p"], answer(keyed("kind_", s["sent_id"]))
+        good = keep.isNotNull() & ~F.isnan(keep) & F.coalesce(kind["label"].isin(V.KINDS), F.lit(False))
+        keep = F.greatest(F.lit(0.0), F.least(F.lit(1.0), keep))
+        return F.struct(s["sent_id"].alias("sent_id"), F.when(good, keep).alias("keep"), F.when(good, kind["label"]).alias("kind"), F.when(good, F.coalesce(kind["confidence"], F.lit(0.0))).alias("kind_conf"), F.coalesce(~good, F.lit(True)).alias("failed"))
 
+    page = answer(F.lit("page_kind"))
+    known = F.coalesce(page["label"].isin(V.PAGE_KINDS), F.lit(False))
+    kind = F.when(F.col("chunk") == 0, F.when(known, page["label"]).otherwise(F.col("pack")))
+    return got.select("*", F.transform("part", judgment).alias("judgments"), kind.alias("page_kind"), F.when(F.col("chunk") == 0, F.when(known, F.coalesce(page["confidence"], F.lit(0.0))).otherwise(0.0)).alias("page_kind_conf")).drop("answers", "questions", "part", "state")
 
-def judge_rules(sentences: DataFrame, rules: DataFrame, judge: Judge) -> DataFrame:
-    """(page_id, sent_id, rule, rule_order, p) for rules (rule, rule_order), which are few."""
-    asked = requests(sentences).join(F.broadcast(rules.limit(8)), how="cross")
-    asked = asked.select("page_id", "sent_id", "rule", "rule_order", "request_id", F.concat_ws("_", F.lit("rule"), "rule_order", "sent_id").alias("key"), "state", F.concat_ws("\u001f", "rule", "question").alias("question"))
-    return asked.join(ask(asked, judge), ["request_id", "key"]).select("page_id", "sent_id", "rule", "rule_order", "p").where("p IS NOT NULL")
 
+def guarded(scanned: DataFrame, **rules) -> DataFrame:
+    """Parsed pages with status, reason and pack; only pages with the status 'judging' keep their sentences."""
+    status, reason = guards.status(**rules)
+    found = parsed(scanned).withColumn("status", status).withColumn("reason", reason).withColumn("pack", guards.routed())
+    count = F.size("sentences")
+    kept = F.when(F.col("status") == "judging", F.col("sentences")).otherwise(F.slice("sentences", 1, 0))
+    return found.withColumn("n_sentences", count).withColumn("capped", count >= V.MAX_SENTENCES).withColumn("sentences", kept)
 
-def judge_highlights(sentences: DataFrame, terms: DataFrame, judge: Judge) -> DataFrame:
-    """(page_id, sent_id, term, start, end): what of a sentence says a term, in two rounds: which sentences, then where."""
-    gate = judge_rules(sentences, terms.select(F.col("term").alias("rule"), F.col("term_order").alias("rule_order")), judge)
-    first = Window.partitionBy("page_id", "rule").orderBy("sent_id")
-    hits = gate.where(F.col("p") >= V.MARK_AT).withColumn("n", F.row_number().over(first)).where(F.col("n") <= V.SENTENCES_PER_TERM)
-    work = hits.select("page_id", "sent_id", F.col("rule").alias("term")).join(sentences.select("page_id", "sent_id", "text"), ["page_id", "sent_id"])
 
-    def locate(batches):
-        for batch in batches:
-            out = []
-            for page, sent, term, text in zip(batch["page_id"], batch["sent_id"], batch["term"], batch["text"], strict=True):
-                out += [(page, sent, term, a, b) for a, b in marks(text, term, judge)]
-            yield pd.DataFrame(out, columns=["page_id", "sent_id", "term", "start", "end"])
+def judge_pages(found: DataFrame, judge: Judge, size: int = V.PER_REQUEST) -> DataFrame:
+    """(page_id, sent_id, keep, kind, kind_conf, failed) of every sendable sentence."""
+    return judged(found, judge, size).select("page_id", F.explode("judgments").alias("j")).select("page_id", "j.*")
+
+
+def page_reports(found: DataFrame, judge: Judge, threshold: float = V.KEEP_AT, size: int = V.PER_REQUEST) -> DataFrame:
+    """One row a page: its status and reason, its kind, and how many sentences are kept, faded and failed."""
+    j = judged(found, judge, size)
 
-    return work.mapInPandas(locate, "page_id long, sent_id int, term string, start int, end int")
+    def count(test) -> Column:
+        return F.sum(F.size(F.filter("judgments", test)))
 
+    out = j.groupBy("page_id").agg(
+        F.first("status").alias("status"), F.first("reason").alias("reason"), F.first("pack").alias("pack"), F.max("page_kind").alias("page_kind"), F.max("page_kind_conf").alias("page_kind_conf"),
+        count(lambda x: ~x["failed"]).alias("total"), count(lambda x: ~x["failed"] & (x["keep"] >= threshold)).alias("kept"), count(lambda x: ~x["failed"] & (x["keep"] < threshold)).alias("faded"),
+        count(lambda x: x["failed"]).alias("failed"), F.sum("tokens").alias("tokens"), F.first("error", ignorenulls=True).alias("error"), F.first("capped").alias("capped"),
+    )
+    # all requests failed: the page shows the error; a page that was not asked about has no kind
+    broken = (F.col("status") == "judging") & (F.col("total") == 0)
+    status = F.when(broken, "error").when(F.col("status") == "judging", "done").otherwise(F.col("status"))
+    reason = F.when(broken, F.when(F.col("error") == "timeout", "network").otherwise(F.coalesce("error", F.lit("no answers")))).otherwise(F.col("reason"))
+    return out.withColumn("reason", reason).withColumn("status", status).withColumn("page_kind", F.when(F.col("status") == "done", F.col("page_kind"))).drop("error")
 
-def chosen(p: list[float], always_best: bool) -> list[bool]:
-    best = max(p, default=0.0)
-    return [x >= V.MARK_AT or always_best and x == best or x >= V.MARK_FLOOR and x >= V.STANDOUT * best for x in p]
 
+def rule_chunk_size(rules: int, size: int = V.PER_REQUEST) -> int:
+    """So many sentences that a request has about as many questions as one about keeping."""
+    return max(1, min(size, 2 * size // max(1, rules)))
 
-def marks(text: str, term: str, judge: Judge) -> list[T.Span]:
-    """The stretches to mark: words in batches, or clauses if the sentence states the term."""
 
-    def scores(parts: list[str]) -> list[float]:
-        batch = pd.DataFrame({"request_id": "r", "key": [str(i) for i in range(len(parts))], "state": text, "question": [f"{term}\u001e{x}" for x in parts]})
-        return judge.answer(batch)["p"].fillna(0.0).tolist()
+def judge_rules(found: DataFrame, rules: list[str], judge: Judge, size: int = V.PER_REQUEST) -> DataFrame:
+    """(page_id, sent_id, rule, rule_order, p) for the user's rules (normalised: distinct, the first few that count).
 
-    if scores(["", text])[1] >= V.STATED_AT:
-        spans = T.clauses(text)
-        keep = [s for s, c in zip(spans, chosen(scores([text[a:b] for a, b in spans]), True), strict=True) if c]
-        out: list[list[int]] = []
-        for a, b in keep:
-            if out and not text[out[-1][1] : a].strip(" ,;:–—"):
-                out[-1][1] = b
-            else:
-                out.append([a, b])
-        return [(a, b) for a, b in out]
-    asked = T.asked_words(text)
-    found: list[T.Span] = []
-    for i in range(0, len(asked), V.WORDS_PER_REQUEST):
-        part = asked[i : i + V.WORDS_PER_REQUEST]
-        found += [(a, b) for (a, b, _), c in zip(part, chosen(scores([w for _, _, w in part]), False), strict=True) if c]
-    return T.stitch(text, found, asked)
+    A missing answer leaves its pair out; a sentence without any answer is told by one row with a null rule.
+    """
+    asked = distinct_rules(rules, V.MAX_RULES)
+    return scored(found, asked, judge, rule_chunk_size(len(asked), size), "Is this about {}? ").select("page_id", "sent_id", F.col("item").alias("rule"), F.col("item_order").alias("rule_order"), "p")
+
+
+def scored(found: DataFrame, items: list[str], judge: Judge, size: int, wording: str) -> DataFrame:
+    """(page_id, title, lang, pack, sent_id, text, item, item_order, p): a probability for each item and sentence."""
+    numbered = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(x).alias("item"), F.lit(wording.format(x)).alias("head")) for i, x in enumerate(items)])
+    if not items:
+        found = found.limit(0)
+        numbered = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("item"), F.lit("").alias("head")))
+
+    def key(n: Column, s: Column) -> Column:
+        return F.concat_ws("_", F.lit("rule"), n, s["sent_id"])
+
+    each = F.flatten(F.transform(numbered, lambda x: F.transform("part", lambda s: question(key(x["n"], s), "noul", F.concat(x["head"], s["text"])))))
+    got = ask(requests(found, size).withColumn("questions", each), judge)
+    pairs = F.flatten(F.transform("part", lambda s: F.transform(numbered, lambda x: F.struct(s["sent_id"].alias("sent_id"), s["text"].alias("text"), x["n"].alias("n"), x["item"].alias("item"), answer(key(x["n"], s))["p"].alias("p")))))
+    answered = F.filter(pairs, lambda x: x["p"].isNotNull())
+    silent = F.filter("part", lambda s: ~F.exists(answered, lambda x: x["sent_id"] == s["sent_id"]))
+    none = F.transform(silent, lambda s: F.struct(s["sent_id"].alias("sent_id"), s["text"].alias("text"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("item"), F.lit(None).cast("double").alias("p")))
+    rows = got.select("page_id", "title", "lang", "pack", F.explode(F.concat(answered, none)).alias("x"))
+    return rows.select("page_id", "title", "lang", "pack", "x.sent_id", "x.text", "x.item", F.col("x.n").alias("item_order"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "x.p")).alias("p"))
+
+
+def judge_highlights(found: DataFrame, terms: list[str], judge: Judge, units: dict[str, str] | None = None, size: int = V.PER_REQUEST) -> DataFrame:
+    """(page_id, sent_id, term, start, end): what of a sentence says a term, in two rounds: which sentences, then where."""
+    asked = distinct_rules(terms, V.MAX_HIGHLIGHTS)
+    known = dict(units or {})
+    known |= highlights.learned_units(found.sparkSession, [t for t in asked if t not in known], judge)
+    gate = scored(found, asked, judge, rule_chunk_size(len(asked), size), "Does this say anything of {}? ")
+    return highlights.located(gate, known, judge)
 
 
 def q_page_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_sentences(pages(spark, sf_dir))
+    return parsed(pages(spark, sf_dir)).select("page_id", F.explode("sentences").alias("s")).select("page_id", "s.*")
+
+
+def q_page_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guarded(pages(spark, sf_dir)).select("page_id", "status", "reason", "pack", "n_sentences", "capped", "json_ld_types", "og_type")
 
 
 def q_judge_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_pages(q_page_sentences(spark, sf_dir), StubJudge())
+    return judge_pages(guarded(pages(spark, sf_dir)), StubJudge())
 
 
 def q_page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = q_judge_page(spark, sf_dir).where("NOT failed")
-    counts = scored.groupBy("page_id").agg(F.count("*").alias("total"), F.count_if(F.col("keep") >= V.KEEP_AT).alias("kept"), F.count_if(F.col("keep") < V.KEEP_AT).alias("faded"))
-    return counts.where(F.col("total") >= V.MIN_SENTENCES)
+    return page_reports(guarded(pages(spark, sf_dir)), StubJudge())
 
 
 def q_judge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame([("prices", 0), ("dates", 1)], "rule string, rule_order int")
-    return judge_rules(q_page_sentences(spark, sf_dir), rules, StubJudge())
+    return judge_rules(guarded(pages(spark, sf_dir)), ["prices", "dates"], StubJudge())
 
 
 def q_judge_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = spark.createDataFrame([("costs", 0), ("names", 1)], "term string, term_order int")
-    return judge_highlights(q_page_sentences(spark, sf_dir), terms, StubJudge())
+    return judge_highlights(guarded(pages(spark, sf_dir)), ["costs", "names"], StubJudge())
+
+
+def q_page_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_hash(parsed(pages(spark, sf_dir))).select("page_id", "content_hash")
+
+
+@F.udf(StringType(), useArrow=True)
+def hash_text(text: str) -> str:
+    return T.hash_text(text or "")
+
+
+@F.udf(BooleanType(), useArrow=True)
+def carries_account_number(text: str) -> bool:
+    return T.carries_account_number(text or "")
 
 
 def q_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,9 +216,19 @@ def q_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sentences; the texts leave Python cut, so no later step searches a long text again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    cut = docs.select("doc_id", "text", F.posexplode(sentence_spans(F.col("text"))).alias("sent_id", "span"))
-    return cut.select("doc_id", "sent_id", F.expr("substring(text, span.start + 1, span.end - span.start)").alias("sentence"))
+    schema = pa.schema([("doc_id", pa.int64()), ("sent_id", pa.int32()), ("sentence", pa.string())])
+
+    def cut(batches):
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                text = text or ""
+                found = [text[a:b] for a, b in T.split_sentences(text)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], schema=schema)
+
+    return docs.mapInArrow(cut, "doc_id long, sent_id int, sentence string")
 
 
 def q_document_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,15 +237,28 @@ def q_document_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sentence_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_page_sentences(spark, sf_dir).select("page_id", F.to_json(F.struct("sent_id", "block_id", "text")).alias("line"))
+    """One JSON line a sentence, with its block and the heading that it stands under."""
+
+    def work(rows: list[dict]) -> list[dict]:
+        out = []
+        for row in rows:
+            page = H.Page(row["html"] or "")
+            heads = H.headings(page, H.blocks(page))
+            out += [{"page_id": row["page_id"], "sent_id": s[0], "block_id": s[1], "heading": heads[s[1]], "text": s[2]} for s in H.page_sentences(page)]
+        return out
+
+    found = by_rows(pages(spark, sf_dir).select("page_id", "html"), work, "page_id long, sent_id int, block_id int, heading string, text string")
+    return found.select("page_id", F.to_json(F.struct("sent_id", "block_id", "heading", "text")).alias("line"))
 
 
 QUERIES = {
     "page_sentences": q_page_sentences,
+    "page_guards": q_page_guards,
     "judge_page": q_judge_page,
     "page_report": q_page_report,
     "judge_rules": q_judge_rules,
     "judge_highlights": q_judge_highlights,
+    "page_content_hash": q_page_content_hash,
     "content_hash": q_content_hash,
     "document_sentences": q_document_sentences,
     "document_accounts": q_document_accounts,

@@ -1,11 +1,58 @@
-"""Where pages come from."""
+"""Where pages come from, and what is known of each after one parse."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions import html as H
+from gleaner.functions import text as T
+from gleaner.operators.judge import by_rows
+from gleaner.plans import values as V
+
+SENTENCE = "struct<sent_id: int, block_id: int, text: string, wrap_start: int, quote_id: int, withheld: boolean>"
+PARSED = f"page_id long, url string, title string, lang string, json_ld_types array<string>, og_type string, unlisted boolean, signed_in boolean, personal_form boolean, never boolean, app_like boolean, sentences array<{SENTENCE}>"
+
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a web address; the filter reaches the scan before any page is parsed."""
     return spark.read.parquet(f"{sf_dir}/pages.parquet").where(F.col("url").startswith("http:") | F.col("url").startswith("https:"))
+
+
+def parsed(scanned: DataFrame) -> DataFrame:
+    """One row a page: its meta data, the signs of pages that are not to be read, and its sentences. Each page is parsed once."""
+
+    def work(rows: list[dict]) -> list[dict]:
+        out = []
+        for row in rows:
+            page = H.Page(row["html"] or "")
+            found = [dict(zip(("sent_id", "block_id", "text", "wrap_start", "quote_id"), s, strict=True)) | {"withheld": T.carries_account_number(s[2])} for s in H.page_sentences(page)]
+            out.append({"page_id": row["page_id"], "url": row["url"]} | H.meta(page) | {"sentences": found})
+        return out
+
+    return by_rows(scanned.select("page_id", "url", "html"), work, PARSED)
+
+
+def host_of(url: Column) -> Column:
+    host = F.lower(F.regexp_extract(url, r"^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)", 1))
+    return F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r"[\[\]]", "")
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
+
+
+def sample_of(sentences: Column) -> Column:
+    """The beginning of a page's sentences."""
+    return F.substring(F.array_join(F.transform(sentences, lambda s: s["text"]), "\n"), 1, V.SAMPLE_CHARS)
+
+
+def content_hash(df: DataFrame, sentences: str = "sentences") -> DataFrame:
+    """``df`` with the hash of its sentences' texts, joined by line breaks."""
+    from pyspark.sql.types import StringType
+
+    @F.udf(StringType(), useArrow=True)
+    def hashed(text: str) -> str:
+        return T.hash_text(text)
+
+    return df.withColumn("content_hash", hashed(F.array_join(F.transform(sentences, lambda s: s["text"]), "\n")))

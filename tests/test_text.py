@@ -5,8 +5,8 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from gleaner.functions import text as T
-from gleaner.operators.judge import HttpJudge, Refused, StubJudge
-from gleaner.operators.pipeline import chosen, marks
+from gleaner.operators.highlights import chosen, marks
+from gleaner.operators.judge import HttpJudge, Refused
 
 
 def cut(text):
@@ -82,12 +82,43 @@ def test_account_numbers():
     assert T.carries_account_number("Her number is 123-45-6789.") and not T.carries_account_number("Part 000-45-6789.")
 
 
-def test_judges():
+def test_marks_by_words_clauses_and_failures():
     assert chosen([0.1, 0.4, 0.5], False) == [False, True, True] and chosen([0.1, 0.2], True) == [False, True]
-    assert all(0 <= a < b for a, b in marks("The bank raised its rates again in spring.", "costs", StubJudge()))
-    replies = iter([(503, ""), (200, '{"answers": {"keep_1": 1.7}}')])
+    text = "The bank raised its rates again in spring."
+    assert [text[a:b] for a, b in marks(text, "words", [({"w0": 0.9, "w3": 0.1, "w4": 0.2}, None)])] == ["bank"]
+    assert marks(text, "words", [({"stated": 0.6, "w0": 0.9}, None)]) == [(0, len(text))]
+    assert marks(text, "sentence", [({}, "network")]) == [(0, len(text))] and marks(text, "words", [({}, "network")]) == []
+    long = "The council voted late on Monday night to close the bridge for repairs, and the mayor who had asked for it thanked everyone present."
+    assert [long[a:b] for a, b in marks(long, "sentence", [({"c0": 0.2, "c1": 0.3}, None)])] == ["and the mayor who had asked for it thanked everyone present."]
+    words = " ".join(f"word{i}" for i in range(45))
+    found = marks(words, "words", [({"w3": 0.4}, None), ({"w41": 0.36, "w42": 0.9}, None)])  # the best counts within its own request
+    assert [words[a:b] for a, b in found] == ["word3", "word42"]
+
+
+def test_http_judge():
+    replies = iter([(503, ""), (200, '{"answers": {"keep_1": {"noul": 1.7}, "kind_1": {"choice": "promo"}, "x": {"noul": "no"}}, "usage": {"input_tokens": 7}}')])
     waits = []
-    judge = HttpJudge(lambda body: next(replies), sleep=waits.append)
-    assert judge.ask({})["keep_1"] == 1.7 and len(waits) == 1
+    request = {"request_id": "r", "state": "s", "questions": [{"key": k, "type": "noul", "text": "t", "options": None} for k in ("keep_1", "kind_1", "x")]}
+    judge = HttpJudge(lambda body, timeout: next(replies), sleep=waits.append)
+    assert judge.reply([request]) == [{"answers": {"keep_1": {"p": 1.0}, "kind_1": {"label": "promo", "confidence": 0.0}}, "error": None, "tokens": 7}] and len(waits) == 1
     with pytest.raises(Refused):
-        HttpJudge(lambda body: (401, ""), sleep=waits.append).ask({})
+        HttpJudge(lambda body, timeout: (401, ""), sleep=waits.append).reply([request])
+
+    def late(body, timeout):
+        raise TimeoutError
+
+    failed = HttpJudge(late, sleep=waits.append)
+    assert failed.reply([request])[0]["error"] == "timeout" and len(waits) == 4 and failed.healthcheck() == (False, "timeout")
+    assert HttpJudge(lambda body, timeout: (422, "")).reply([request])[0] == {"answers": {}, "error": "status 422", "tokens": 0}
+    assert HttpJudge(lambda body, timeout: (200, '{"answers": {}}')).healthcheck() == (True, None)
+
+
+def test_settings():
+    from gleaner.operators.settings import Hosts, distinct_rules, find_rule
+
+    assert distinct_rules(["  Prices  of bread ", "prices of BREAD", "", "x" * 90], 8) == ["Prices of bread", "x" * 80]
+    assert find_rule(["Prices"], "prices ") == "Prices" and find_rule([], "a") is None
+    hosts = Hosts()
+    assert hosts.switch("www.News.org", False).switch("news.org", True) == hosts and not hosts.enabled("gist.github.com")
+    assert hosts.switch("github.com", True).allowed == ("github.com",) and hosts.keep_always("a.org", True).always("b.a.org")
+    assert hosts.keep_always("a.org", True).keep_always("a.org", False) == hosts and not hosts.enabled("")
