@@ -68,6 +68,9 @@ class Spark:
     def locate(self, part: str, whole: str) -> str:
         return f"locate({part}, {whole})"
 
+    def has(self, array: str, x: str) -> str:
+        return f"array_contains({array}, {x})"
+
     def contains(self, whole: str, part: str) -> str:
         return f"contains({whole}, {part})"
 
@@ -127,3 +130,6 @@ class Duck(Spark):
 
     def locate(self, part: str, whole: str) -> str:
         return f"CAST(strpos({whole}, {part}) AS INT)"
+
+    def has(self, array: str, x: str) -> str:
+        return f"list_contains({array}, {x})"

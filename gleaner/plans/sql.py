@@ -98,12 +98,14 @@ def private_host(d):
 
 
 def paths(d) -> str:
-    return f"SELECT page_id, url, lower({d.extract('url', '^https?://[^/?#]+([^?#]*)', 1)}) AS path FROM (SELECT page_id, url FROM pages UNION ALL SELECT id, u FROM (VALUES {rows((-1, 'https://shop.com/Cart/view.html'), (-2, 'https://shop.com/login.php?x=1'), (-3, 'https://shop.com/cartoon'))}) AS e(id, u)) a"
+    return f"SELECT page_id, url, lower({d.extract('url', '^https?://[^/?#]+([^?#]*)', 1)}) AS path FROM (SELECT page_id, url FROM pages UNION ALL SELECT id, u FROM (VALUES {rows((-1, 'https://shop.com/Cart/view.html'), (-2, 'https://shop.com/login.php?x=1'), (-3, 'https://shop.com/cartoon'), (-4, 'https://shop.com/Settings.aspx/billing/'))}) AS e(id, u)) a"
 
 
 def private_path(d):
     hit = d.unnest(d.split("path", "/"), f"({paths(d)}) p", "page_id", "segment")
-    return f"SELECT p.page_id, h.segment FROM ({paths(d)}) p LEFT JOIN (SELECT page_id, min(segment) AS segment FROM (SELECT page_id, {d.replace('segment', '[.][a-z0-9]+$', '')} AS segment FROM ({hit}) q) r WHERE segment IN ({', '.join(quoted(x) for x in V.PRIVATE_SEGMENTS)}) GROUP BY page_id) h ON p.page_id = h.page_id"
+    bare = d.replace("segment", "[.](html?|php|aspx?|jsp)$", "")
+    named = f"SELECT page_id, segment, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS r FROM (SELECT page_id, pos, {bare} AS segment FROM ({hit}) q) n WHERE segment IN ({', '.join(quoted(x) for x in V.PRIVATE_SEGMENTS)})"
+    return f"SELECT p.page_id, h.segment FROM ({paths(d)}) p LEFT JOIN ({named}) h ON p.page_id = h.page_id AND h.r = 1"
 
 
 def privacy_level(d):
@@ -175,26 +177,41 @@ def pack_signals(d) -> str:
     return "(VALUES " + ", ".join(f"({o}, {quoted(n)}, {quoted(k)}, {qtext(d, x)})" for o, n, k, x in out) + ") AS signals(pack_order, pack, kind, pattern)"
 
 
+#: Pages (id, host, html) that show the signals which the tables' pages don't have: types of structured data, with a tie, and og:type.
+SIGNAL_PAGES = [
+    (-1, "a.org", '<script type="application/ld+json">{"@type": "Recipe"}</script>'),
+    (-2, "b.org", '<script type="application/ld+json">{"@graph": [{"@type":"Product"}, {"@type" : "NewsArticle"}]}</script>'),
+    (-3, "c.org", '<meta property="og:type" content="Article">'),
+    (-4, "d.org", '<script type="application/ld+json">{"@type": "Organization"}</script>'),
+]
+
+
 def pack_hits(d) -> str:
     title, host = d.extract("html", "<title>([^<]*)</title>", 1), norm(d, d.extract("url", "^https?://([^/?#:]+)", 1))
     stripped = d.replace("html", "<[^>]*>", " ")
     path = d.extract("url", "^https?://[^/?#]+([^?#]*)", 1)
-    meta = f"SELECT page_id, {host} AS host, concat('/', {d.replace(f'lower({path})', '^/+|/+$', '')}, '/') AS path, lower(concat({title}, ' ', substr({stripped}, 1, 600))) AS hay FROM pages"
+    quote = d.literal(r'"@type"\s*:\s*"([^"]+)"')
+    types = d.found("lower(html)", quote, 1)
+    og = d.extract("lower(html)", '<meta property="og:type" content="([^"]*)"', 1)
+    more = " UNION ALL ".join(f"SELECT {i}, 'https://{host}/', {quoted(html)}" for i, host, html in SIGNAL_PAGES)
+    source = f"SELECT page_id, url, html FROM pages UNION ALL {more}"
+    meta = f"SELECT page_id, {host} AS host, {types} AS types, {og} AS og, concat('/', {d.replace(f'lower({path})', '^/+|/+$', '')}, '/') AS path, lower(concat({title}, ' ', substr({stripped}, 1, 600))) AS hay FROM ({source}) p"
     host_hit = "(CASE WHEN pattern LIKE '%.' THEN starts_with(host, pattern) ELSE host = pattern OR ends_with(host, concat('.', pattern)) END)"
     if d.name == "spark":
         host_hit = host_hit.replace("starts_with", "startswith").replace("ends_with", "endswith")
-    test = f"CASE kind WHEN 'path' THEN {d.contains('path', 'concat(concat(chr(47), pattern), chr(47))')} WHEN 'host' THEN {host_hit} WHEN 'cue' THEN {d.contains('hay', 'pattern')} ELSE false END"
+    test = f"CASE kind WHEN 'path' THEN {d.contains('path', 'concat(concat(chr(47), pattern), chr(47))')} WHEN 'host' THEN {host_hit} WHEN 'cue' THEN {d.contains('hay', 'pattern')} WHEN 'jsonld' THEN {d.has('types', 'pattern')} ELSE og = pattern END"
     return f"SELECT page_id, pack_order, pack, kind, count(*) AS hits FROM (SELECT m.page_id, s.pack_order, s.pack, s.kind, {test} AS hit FROM ({meta}) m CROSS JOIN {pack_signals(d)[:-len('signals(pack_order, pack, kind, pattern)')]}s(pack_order, pack, kind, pattern)) h WHERE hit GROUP BY page_id, pack_order, pack, kind"
 
 
 def pack_score(d):
-    total = f"sum(CASE kind WHEN 'path' THEN {V.WEIGHTS['path']} WHEN 'host' THEN {V.WEIGHTS['host']} WHEN 'cue' THEN least({V.CUE_CAP}, hits * {V.WEIGHTS['cue']}) ELSE 0 END)"
+    once = " ".join(f"WHEN '{kind}' THEN {V.WEIGHTS[kind]}" for kind in ("jsonld", "og", "path", "host"))
+    total = f"sum(CASE kind {once} ELSE least({V.CUE_CAP}, hits * {V.WEIGHTS['cue']}) END)"
     return f"SELECT page_id, pack_order, pack, round(least(CAST(1 AS DOUBLE), CAST({total} AS DOUBLE)), 6) AS score FROM ({pack_hits(d)}) x GROUP BY page_id, pack_order, pack"
 
 
 def pack_route(d):
     best = f"SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pack_order) AS r FROM ({pack_score(d)}) s"
-    return f"SELECT p.page_id, CASE WHEN b.score >= {V.ROUTE_AT} THEN b.pack ELSE 'other' END AS page_kind, coalesce(b.score, CAST(0 AS DOUBLE)) AS score FROM pages p LEFT JOIN ({best}) b ON p.page_id = b.page_id AND b.r = 1"
+    return f"SELECT p.page_id, CASE WHEN b.score >= {V.ROUTE_AT} THEN b.pack ELSE 'other' END AS page_kind, coalesce(b.score, CAST(0 AS DOUBLE)) AS score FROM (SELECT page_id FROM pages UNION ALL SELECT id FROM (VALUES {rows(*[(i,) for i, _, _ in SIGNAL_PAGES])}) AS m(id)) p LEFT JOIN ({best}) b ON p.page_id = b.page_id AND b.r = 1"
 
 
 def chunks(d, size: str = str(V.PER_REQUEST)) -> str:
@@ -354,7 +371,7 @@ def rule_hits(d):
 
 
 def mark_hits(d):
-    return f"SELECT page_id, term, count(*) AS spans, count(DISTINCT sent_id) AS sentences FROM ({gated(d)}) g GROUP BY page_id, term"
+    return f"SELECT p.page_id, t.term, count(g.sent_id) AS spans, count(DISTINCT g.sent_id) AS sentences FROM (SELECT doc_id AS page_id FROM documents) p CROSS JOIN (VALUES {TERMS}) AS t(term_order, term) LEFT JOIN ({gated(d)}) g ON g.page_id = p.page_id AND g.term = t.term GROUP BY p.page_id, t.term"
 
 
 def judgment_upsert(d):
@@ -378,8 +395,14 @@ def lru_keep(d):
 
 
 def lru_stack_distance(d):
-    """How often a page comes again soon: the number of accesses since its last, which bounds the stack distance from above."""
-    return f"SELECT tick, hash, tick - lag(tick) OVER (PARTITION BY hash ORDER BY tick) - 1 AS between, coalesce(tick - lag(tick) OVER (PARTITION BY hash ORDER BY tick) - 1 < {V.CACHE_PAGES}, false) AS sure_hit FROM ({accesses(d)}) a"
+    """How many other pages of a user came between two visits of a page: an LRU cache of more pages has it still.
+
+    Each access is held against the last visit of each page of its user, so the work is accesses times pages of a user.
+    """
+    a = "SELECT event_id AS tick, user_id, event_type AS hash FROM events"
+    last = f"SELECT a.tick, a.user_id, a.hash, k.hash AS other, max(CASE WHEN a.hash = k.hash THEN a.tick END) OVER (PARTITION BY a.user_id, k.hash ORDER BY a.tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ({a}) a JOIN (SELECT DISTINCT user_id, hash FROM ({a}) b) k ON a.user_id = k.user_id"
+    own = f"SELECT *, max(CASE WHEN hash = other THEN seen END) OVER (PARTITION BY tick) AS before FROM ({last}) l"
+    return f"SELECT tick, user_id, hash, CASE WHEN max(before) IS NOT NULL THEN count(CASE WHEN other <> hash AND seen > before THEN 1 END) END AS between, coalesce(CASE WHEN max(before) IS NOT NULL THEN count(CASE WHEN other <> hash AND seen > before THEN 1 END) END < {V.CACHE_PAGES}, false) AS hit FROM ({own}) o GROUP BY tick, user_id, hash"
 
 
 def versioned_merge(d):
@@ -422,7 +445,7 @@ def normalize_rule(d):
 
 
 def distinct_first_spelling(d):
-    r = f"SELECT page_id, sent_id, {normalize(d, 'substr(text, 1, 6)')} AS rule FROM ({d.lines()}) s"
+    r = f"SELECT page_id, sent_id, {normalize(d, 'text')} AS rule FROM ({d.lines()}) s"
     first = f"SELECT *, row_number() OVER (PARTITION BY page_id, lower(rule) ORDER BY sent_id) AS r FROM ({r}) x WHERE rule <> ''"
     return f"SELECT page_id, sent_id, rule FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY sent_id) AS k FROM ({first}) f WHERE r = 1) y WHERE k <= 8"
 
@@ -496,6 +519,24 @@ def context_window(d):
     return f"SELECT conv_id, turn, md5(concat_ws(' ', {', '.join(before)})) AS context_md5 FROM conversations"
 
 
+def state_variants(d):
+    """The state of each chunk under five of the variants: no text, the chunk shifted by half, five sentences before it, the chunk, the page."""
+    by = f"SELECT page_id, chunk, min(sent_id) AS first_id, {d.joined('text', ' ', 'sent_id')} AS text FROM ({chunks(d)}) c GROUP BY page_id, chunk"
+    page = f"SELECT page_id, substr({d.joined('text', ' ', 'sent_id')}, 1, 80000) AS text FROM ({d.lines()}) s GROUP BY page_id"
+    numbered = f"SELECT page_id, sent_id, text, row_number() OVER (PARTITION BY page_id ORDER BY sent_id) - 1 AS r FROM ({d.lines()}) s"
+    shifted = f"SELECT page_id, (r + {V.PER_REQUEST // 2}) {d.hex_div()} {V.PER_REQUEST} AS chunk, {d.joined('text', ' ', 'sent_id')} AS text FROM ({numbered}) n GROUP BY page_id, (r + {V.PER_REQUEST // 2}) {d.hex_div()} {V.PER_REQUEST}"
+    before = ", ".join(f"lag(text, {i}) OVER (PARTITION BY page_id ORDER BY sent_id)" for i in range(5, 0, -1))
+    five = f"SELECT page_id, sent_id, concat_ws(' ', {before}) AS before FROM ({d.lines()}) s"
+    parts = [
+        f"SELECT page_id, chunk, 'none' AS variant, '' AS state FROM ({by}) a",
+        f"SELECT page_id, CAST(chunk AS BIGINT) AS chunk, 'shift' AS variant, text AS state FROM ({shifted}) b",
+        f"SELECT c.page_id, c.chunk, 'window' AS variant, concat_ws(' | ', f.before, c.text) AS state FROM ({by}) c JOIN ({five}) f ON c.page_id = f.page_id AND c.first_id = f.sent_id",
+        f"SELECT page_id, chunk, 'chunk' AS variant, text AS state FROM ({by}) e",
+        f"SELECT c.page_id, c.chunk, 'page' AS variant, p.text AS state FROM ({by}) c JOIN ({page}) p ON c.page_id = p.page_id",
+    ]
+    return f"SELECT page_id, chunk, variant, length(state) AS chars, md5(state) AS state_md5 FROM ({' UNION ALL '.join(parts)}) v"
+
+
 def review_buckets(d):
     soft = f"SELECT page_id, sent_id, keep, kind FROM ({parse_answers(d)}) a WHERE NOT failed"
     named = f"SELECT *, CASE WHEN keep < {V.KEEP_AT} THEN 'faded' WHEN kind IN ('story', 'opinion', 'promo') THEN 'soft' WHEN keep < 0.75 THEN 'borderline' ELSE 'kept' END AS bucket FROM ({soft}) s"
@@ -510,9 +551,18 @@ def debounce_sessions(d):
 
 
 def rate_limited_batches(d):
-    slot = f"CAST(floor({d.micros('ts')} / CAST(5000000 AS DOUBLE)) AS BIGINT)"
-    batches = f"SELECT user_id, {slot} AS slot, count(*) AS pooled FROM events GROUP BY user_id, {slot}"
-    return f"SELECT user_id, slot, pooled FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slot) AS r FROM ({batches}) b) x WHERE r <= 12"
+    """Requests of a user at least five seconds apart: what comes earlier waits and goes out together, beyond the budget it is dropped.
+
+    One pass over each user's times in order; a request is known by when it goes out, which later arrivals do not change.
+    """
+    wait, budget = V.REQUEST_INTERVAL_MS * 1000, V.REQUEST_BUDGET
+    times = f"SELECT user_id, array_sort(collect_list({d.micros('ts')})) AS times FROM events GROUP BY user_id"
+    start = "CAST(array() AS ARRAY<STRUCT<at: BIGINT, pooled: BIGINT>>)"
+    last = "element_at(sends, -1)"
+    joined = f"concat(slice(sends, 1, size(sends) - 1), array(named_struct('at', {last}.at, 'pooled', {last}.pooled + 1)))"
+    opened = f"concat(sends, array(named_struct('at', CASE WHEN size(sends) = 0 THEN t ELSE greatest(t, {last}.at + {wait}) END, 'pooled', 1L)))"
+    step = f"CASE WHEN size(sends) > 0 AND t <= {last}.at THEN {joined} WHEN size(sends) < {budget} THEN {opened} ELSE sends END"
+    return f"SELECT user_id, CAST(pos + 1 AS BIGINT) AS number, send.at AS at_micros, send.pooled AS pooled FROM (SELECT user_id, posexplode(aggregate(times, {start}, (sends, t) -> {step})) AS (pos, send) FROM ({times}) e) x"
 
 
 def latest_state(d):
@@ -531,4 +581,4 @@ def normalize_colour(d):
     return f"SELECT c, CASE WHEN {d.matches('c', '^#[0-9a-fA-F]{6}$')} THEN lower(c) WHEN {d.matches('c', '^#[0-9a-fA-F]{3}$')} THEN lower({d.replace('c', '^#(.)(.)(.)$', '#$1$1$2$2$3$3')}) ELSE '#ffe066' END AS colour FROM (VALUES ('#abc'), ('#A1B2C3'), ('red'), ('#12345')) AS x(c)"
 
 
-PLANS = {f.__name__: f for f in (page_scan, page_meta, host_normalize, host_deny, host_enabled, host_parse, private_host, private_path, privacy_level, min_sentences, account_numbers, statement_pages, lead_in_filter, word_count, clean_text, quote_islands, page_cap, page_sample, pack_score, pack_route, balanced_chunks, rule_chunk_size, request_bodies, rule_questions, parse_answers, parse_rule_answers, highlight_cap, content_words, word_batches, pick_words, pick_clauses, stated_override, stitch_spans, span_align, threshold_counts, rule_keep, mark_keep, quote_keep, pin_override, page_counts, badge, rule_hits, mark_hits, judgment_upsert, cache_lookup, lru_keep, lru_stack_distance, versioned_merge, missing_rules, cache_admission, unit_memo, usage_stats, usage_cost, normalize_rule, distinct_first_spelling, validate_settings, threshold_migration, auc, auc_by_group, threshold_sweep, score_profile, score_rollup, repeat_stability, variant_drift, variant_flips, context_window, review_buckets, debounce_sessions, rate_limited_batches, latest_state, reason_word, error_relay, normalize_colour)}
+PLANS = {f.__name__: f for f in (page_scan, page_meta, host_normalize, host_deny, host_enabled, host_parse, private_host, private_path, privacy_level, min_sentences, account_numbers, statement_pages, lead_in_filter, word_count, clean_text, quote_islands, page_cap, page_sample, pack_score, pack_route, balanced_chunks, rule_chunk_size, request_bodies, rule_questions, parse_answers, parse_rule_answers, highlight_cap, content_words, word_batches, pick_words, pick_clauses, stated_override, stitch_spans, span_align, threshold_counts, rule_keep, mark_keep, quote_keep, pin_override, page_counts, badge, rule_hits, mark_hits, judgment_upsert, cache_lookup, lru_keep, lru_stack_distance, versioned_merge, missing_rules, cache_admission, unit_memo, usage_stats, usage_cost, normalize_rule, distinct_first_spelling, validate_settings, threshold_migration, auc, auc_by_group, threshold_sweep, score_profile, score_rollup, repeat_stability, variant_drift, variant_flips, context_window, state_variants, review_buckets, debounce_sessions, rate_limited_batches, latest_state, reason_word, error_relay, normalize_colour)}
