@@ -31,10 +31,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where none is named, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only in local mode, where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
     return context.getCheckpointDir()
 
 

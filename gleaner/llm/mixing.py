@@ -113,18 +113,29 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken (a cut one with the words that are taken), columns as in ``docs``."""
+    """The mix itself: each document as often as it is taken, columns as in ``docs``; a cut one has the words that are taken, as they stand in its text.
+
+    Cases: null and empty texts have no words, so they are in no mix; rows that agree in doc_id and text are interchangeable, what
+    is taken of them is pooled; a null doc_id is an id like any other; columns of any name are passed on; an empty table gives no rows.
+    """
     placed, _, takes = schedule(docs)
     spans = takes.groupBy("row", "pass").agg(F.min("from").alias("from"), F.max("to").alias("to"))
-    # rows that agree in doc_id and text are interchangeable: what is taken of them is pooled and given out once
-    rows = placed.join(spans, "row").groupBy("doc_id", "sub").agg(F.collect_list(F.struct("from", "to")).alias("__spans"), F.first("size").alias("__size"))
-    rows = rows.select(F.xxhash64("doc_id", "sub").alias("__key"), "__spans", "__size")
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    joined = keyed.join(rows, "__key").withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))).where("__n = 1")
-    joined = joined.withColumn("__span", F.explode("__spans"))
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), (F.col("__span.from") + 1).cast("int"), (F.col("__span.to") - F.col("__span.from")).cast("int")), " ")
-    whole = (F.col("__span.from") == 0) & (F.col("__span.to") == F.col("__size"))
-    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    taken = placed.join(spans, "row").groupBy("doc_id", "sub").agg(F.collect_list(F.struct("from", "to")).alias("spans"), F.first("size").alias("size"))
+    taken = taken.select(F.xxhash64("doc_id", "sub").alias("key"), "spans", "size")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    once = whole.join(taken, "key").groupBy("key").agg(F.first("row").alias("row"), F.first("spans").alias("spans"), F.first("size").alias("size"))
+    each = once.select("row", "size", F.explode("spans").alias("span"))
+    first, n = F.col("span.from").cast("int") + 1, (F.col("span.to") - F.col("span.from")).cast("int")
+    words, gaps = F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), first, n), F.slice(F.split("row.text", WORD, -1), first, n)
+    part = F.expr("substring(part, length(element_at(gaps, 1)) + 1)")
+    cut = each.withColumn("gaps", gaps).withColumn("part", F.array_join(F.zip_with("gaps", words, lambda gap, word: F.concat(gap, word)), ""))
+    text = F.when((F.col("span.from") == 0) & (F.col("span.to") == F.col("size")), F.col("row.text")).otherwise(part)
+    out = cut.select("row", text.alias("text"))
+
+    def column(c: str):
+        if c == "n_chars":
+            return F.length("text").cast(docs.schema[c].dataType).alias(c)
+        return F.col("text") if c == "text" else F.col(f"row.`{c}`")
+
+    return out.select(*(column(c) for c in docs.columns))

@@ -190,9 +190,10 @@ class Model:
         return out
 
     def evidence(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Log p(word | before, toxic) - log p(word | before, ordinary) of every word."""
+        """Log p(word | before, toxic) - log p(word | before, ordinary) of every word; a word that neither class knows tells nothing."""
         ordinary, toxic = (np.log(np.maximum(x, 1e-30)) for x in self.likelihoods(words, before))
-        return toxic - ordinary
+        known = np.searchsorted(self.words, words).clip(max=max(len(self.words) - 1, 0))
+        return np.where(self.words[known] == words, toxic - ordinary, 0.0) if len(self.words) else np.zeros(len(words))
 
     def features(self, column: pa.Array) -> np.ndarray:
         words, ends = words_of(column)
