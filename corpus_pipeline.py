@@ -1,4 +1,9 @@
-"""From documents to packed training sequences: five stages, each written as Parquet and read by the next."""
+"""From documents to packed training sequences: five stages, each written as Parquet and read by the next.
+
+Cases, for every stage: null and empty texts pass the filters (no evidence of toxicity, no shingles) and are taken by no mix,
+as they have no words; rows listed twice count as copies, of which one stays; rows of one doc_id with different texts are
+different documents; further columns, of any name, are passed on up to the last stage; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -39,9 +44,15 @@ STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_copies), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces. Each stage's output is removed once the next one is written; the last stays, as the result reads it."""
     docs = documents(spark, sf_dir)
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        now = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(now)
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        docs, before = spark.read.parquet(now), now
     return docs
