@@ -46,6 +46,8 @@ CROWD, RING, LAGS = 16, 1024, 6
 #: Slots of a parity sketch, and the largest set that has one: of larger ones most slots are odd or even by chance.
 SKETCH = 1 << 10
 SKETCHED = 2 * SKETCH
+#: Parts in which the rows of a component look up its smallest document.
+SPREAD = 16
 ROW = "kind int, key long, a long, b long, n int, blob binary, bits array<long>"
 
 
@@ -412,9 +414,14 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = components(links.union(bridged).union(joined))
 
     nodes = rows.where("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("doc_id"), F.col("n").alias("n_shingles"))
-    placed = nodes.join(classes, nodes["node"] == classes["id"], "left").select("doc_id", "node", "n_shingles", F.coalesce("component", "node").alias("class"))
-    smallest = placed.groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("o"), "doc_id", "node")).alias("least"))
-    return placed.join(smallest, "class").select("doc_id", "node", F.col("n_shingles").cast("long").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first"))
+    placed = checkpointed(nodes.join(classes, nodes["node"] == classes["id"], "left").select("doc_id", "node", "n_shingles", "component"))
+    # a component may hold a third of all rows, so it is joined in SPREAD parts; rows without links need no join
+    together = placed.where("component IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("node", "doc_id"), F.lit(SPREAD)))
+    smallest = together.groupBy("component", "part").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("o"), "doc_id", "node")).alias("least")).groupBy("component").agg(F.min("least").alias("least"))
+    smallest = smallest.select("component", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("part"))
+    found = together.join(smallest, ["component", "part"]).select("doc_id", "node", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first"))
+    alone = placed.where("component IS NULL").select("doc_id", "node", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return found.unionByName(alone).withColumn("n_shingles", F.col("n_shingles").cast("long"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
