@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import fingerprint, hamming, jaccard, licenses, mixing, packing, pii, suffix_dedup, toxicity, tree_dedup
+from gleaner.llm import fingerprint, hamming, jaccard, licenses, mixing, oracles, packing, pii, suffix_dedup, toxicity, tree_dedup
 from gleaner.llm.common import documents
 
 #: Secret of the surrogates; a caller in production passes its own.
@@ -65,4 +65,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_scan": licenses.oracle()}
+    """Operators that SQL expresses; the others are held against brute force in tests (models, keyed draws, sketches, tokenizer)."""
+    return {"op7_license_scan": licenses.oracle(), **oracles.all_of_them()}
