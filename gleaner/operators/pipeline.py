@@ -14,6 +14,7 @@ from pyspark.sql.types import BooleanType, StringType
 from gleaner.functions import html as H
 from gleaner.functions import text as T
 from gleaner.operators import guards, highlights
+from gleaner.operators.evaluate import variant_states
 from gleaner.operators.judge import Judge, StubJudge, ask, by_rows
 from gleaner.operators.settings import distinct_rules
 from gleaner.plans import values as V
@@ -251,6 +252,10 @@ def q_sentence_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.to_json(F.struct("sent_id", "block_id", "heading", "text")).alias("line"))
 
 
+def q_variant_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_states(pages(spark, sf_dir)).select("page_id", "variant", "chunk", F.to_json("state").alias("state"))
+
+
 QUERIES = {
     "page_sentences": q_page_sentences,
     "page_guards": q_page_guards,
@@ -263,6 +268,7 @@ QUERIES = {
     "document_sentences": q_document_sentences,
     "document_accounts": q_document_accounts,
     "sentence_dump": q_sentence_dump,
+    "variant_states": q_variant_states,
 }
 STEP = "CAST(xor(h, c) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT AS UHUGEINT)"
 ORACLES = {

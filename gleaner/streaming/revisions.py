@@ -10,11 +10,13 @@ import json
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gleaner.functions import html as H
 from gleaner.functions.text import carries_account_number, hash_text
+from gleaner.operators.judge import by_rows
 from gleaner.plans import values as V
 
 #: A settled revision: its blocks in order with their sentences, characters inside and outside the container, whether it is hidden.
@@ -25,9 +27,35 @@ QUIET_MS = 3_600_000
 
 
 def debounced(revisions: DataFrame, gap: str = f"{V.DEBOUNCE_MS} milliseconds", late: str = "10 seconds") -> DataFrame:
-    """(page_id, generation, html): the last revision of each burst of changes; late ones of an older burst are dropped."""
+    """(page_id, generation, at, html, changes, ...): the last revision of each burst of changes; late ones of an older burst are dropped."""
     bursts = revisions.withWatermark("rev_ts", late).groupBy("page_id", "generation", F.session_window("rev_ts", gap).alias("burst"))
-    return bursts.agg(F.max_by("html", "rev_ts").alias("html"), F.count("*").alias("changes")).select("page_id", "generation", F.col("burst.end").alias("at"), "html", "changes")
+    more = [c for c in revisions.columns if c not in ("page_id", "generation", "rev_ts", "html")]
+    last = bursts.agg(F.max_by("html", "rev_ts").alias("html"), F.count("*").alias("changes"), *(F.max_by(c, "rev_ts").alias(c) for c in more))
+    return last.select("page_id", "generation", F.col("burst.end").alias("at"), "html", "changes", *more)
+
+
+def change_source(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
+    """Revisions of pages as they arrive in a folder: (page_id, generation, rev_ts, url, html)."""
+    return spark.readStream.schema("page_id long, generation int, rev_ts timestamp, url string, html string").option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def settled(bursts: DataFrame) -> DataFrame:
+    """REVISION rows for settled pages (page_id, at, url, html): the blocks of the main container with their sentences."""
+
+    def work(rows: list[dict]) -> list[dict]:
+        out = []
+        for r in rows:
+            page = H.Page(r["html"] or "")
+            top = H.main_container(page)
+            blocks: dict[int, list[str]] = {}
+            for _, block, text, *_ in H.page_sentences(page):
+                blocks.setdefault(block, []).append(text)
+            inside = page.size(top)
+            hidden = any(page.hidden(i) for i in (top, *page.above(top)))
+            out.append({"page_id": r["page_id"], "at": r["at"], "url": r["url"], "blocks": [{"block_id": b, "sentences": s} for b, s in blocks.items()], "inside_chars": inside, "outside_chars": page.size(0) - inside, "hidden": hidden})
+        return out
+
+    return by_rows(bursts.select("page_id", "at", "url", "html"), work, REVISION)
 
 
 def without_fragment(url: str) -> str:

@@ -81,3 +81,18 @@ def test_private_pages():
     assert H.meta('<input autocomplete="cc-number">')["never"] and not H.meta("<a>Log outside</a>")["signed_in"]
     assert H.meta("<div contenteditable>" + "x" * 201 + "</div>")["app_like"] and H.meta("<body>" + "<input type=text>" * 31)["app_like"]
     assert not H.meta("<body>" + "<input type=checkbox>" * 31)["app_like"]
+
+
+def test_states_of_the_variants():
+    from gleaner.operators import evaluate as E
+
+    page = H.Page("<article><h2>One</h2>" + "".join(f"<p>Sentence {i} belongs to the first part.</p>" for i in range(4)) + "<h2>Two</h2><p>The fifth one stands below another heading.</p></article>")
+    found = E.headed(page)
+    assert [h for _, _, h in found] == ["One"] * 4 + ["Two"]
+    by = {v: E.states(found, v, 2) for v in E.VARIANTS}
+    assert [s["text"].count("Sentence") for _, s in by["chunk"]] == [2, 2, 0] and by["none"][0][1] == {}
+    assert "text_just_before" not in by["window"][0][1] and by["window"][2][1]["text_just_before"].count("Sentence") == 4
+    assert all(s["text"].count("Sentence") == 4 for _, s in by["page"]) and by["full"][0][1]["text"].startswith("## One") and "## Two" in by["full"][0][1]["text"]
+    assert by["outline"][2][1]["headings"] == "One | Two" and by["outline"][2][1]["text"].startswith("## Two")
+    assert sum(len(s["text"].split(".")) - 1 for _, s in by["shift"]) == 5 and len(by["shift"]) == 4
+    assert E.around([10] * 9, slice(4, 5), 30) == slice(3, 6)

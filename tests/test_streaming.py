@@ -102,3 +102,12 @@ def test_progress_fence_and_merge(spark, tmp_path):
     columns = "page_id long, rule string, sent_id int, p double"
     merged = R.merged_rules(spark.createDataFrame([(1, "a", 0, 0.1), (1, "a", 1, 0.2)], columns), spark.createDataFrame([(1, "a", 1, 0.9), (1, "a", 2, 0.3)], columns))
     assert sorted((r.sent_id, r.p) for r in merged.collect()) == [(0, 0.1), (1, 0.9), (2, 0.3)]
+
+
+def test_from_a_folder_of_revisions_to_settled_blocks(spark, tmp_path):
+    prose = "".join(f"<p>Sentence number {i} of this page stands on its own here.</p>" for i in range(3))
+    rows = [(1, 1, at(0), "https://a.org/", "<p>old</p>"), (1, 1, at(200), "https://a.org/#x", f"<body><article>{prose}</article><div>Outside text.</div></body>"), (2, 1, at(60_000), "https://b.org/", "")]
+    spark.createDataFrame(rows, "page_id long, generation int, rev_ts timestamp, url string, html string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    run(R.debounced(R.change_source(spark, str(tmp_path / "in"))), "calm", "append", tmp_path)
+    got = R.settled(spark.table("calm")).collect()
+    assert [(r.page_id, r.url, [len(b.sentences) for b in r.blocks], r.outside_chars) for r in got] == [(1, "https://a.org/#x", [1, 1, 1], 12)]
