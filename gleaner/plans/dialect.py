@@ -47,6 +47,10 @@ class Spark:
         """A pattern with backslashes as it stands inside quotes."""
         return pattern.replace(chr(92), chr(92) * 2)
 
+    def script(self, name: str) -> str:
+        """A script as part of a class of characters."""
+        return rf"\p{{Is{name}}}"
+
     def newline(self) -> str:
         return "'\\n'"
 
@@ -112,6 +116,9 @@ class Duck(Spark):
     def literal(self, pattern: str) -> str:
         return pattern
 
+    def script(self, name: str) -> str:
+        return rf"\p{{{name}}}"
+
     def newline(self) -> str:
         return "chr(10)"
 

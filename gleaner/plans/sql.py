@@ -137,13 +137,26 @@ def lead_in_filter(d):
     return f"SELECT page_id, sent_id, length(text) AS chars FROM ({d.lines()}) s WHERE NOT {d.matches('text', lead)}"
 
 
+#: All that counts as white space in text from the web.
+SPACE = r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
+def count_words(d, x: str) -> str:
+    """Words; a character of a script without spaces is one, footnote marks glued to a word are none."""
+    bare = d.replace(x, d.literal(r"(\S)(?:\[[^\[\]\n]{1,30}\])+"), "$1 ")
+    one = "[" + "".join(d.script(s) for s in ("Han", "Hiragana", "Katakana")) + "]"
+    rest = d.replace(bare, d.literal(one), " ")
+    return f"({d.size(d.found(bare, d.literal(one)))} + {d.size(d.found(rest, d.literal('[\\p{L}\\p{N}]+(?:[\\x{27}’]\\p{L}+)?')))})"
+
+
 def word_count(d):
-    return f"SELECT doc_id, {d.size(d.found('text', '[A-Za-z0-9]+'))} AS words FROM documents"
+    extra = rows((-1, "The rise [1] of fads.[2][3] It’s d’accord"), (-2, "彼は昨日来た Tōkyō へ"), (-3, ""))
+    return f"SELECT doc_id, {count_words(d, 'text')} AS words FROM (SELECT doc_id, text FROM documents UNION ALL SELECT id, t FROM (VALUES {extra}) AS e(id, t)) x"
 
 
 def clean_text(d):
-    space = d.literal(r"[ \t\n\r]+")
-    return f"SELECT doc_id, md5(trim({d.replace('text', space, ' ')})) AS clean_md5 FROM documents"
+    extra = "SELECT -1 AS doc_id, ' a\u00a0\t\u202fb ' AS text"
+    return f"SELECT doc_id, md5(trim({d.replace('text', d.literal(SPACE), ' ')})) AS clean_md5 FROM (SELECT doc_id, text FROM documents UNION ALL {extra}) x"
 
 
 def quote_intervals(d) -> str:
@@ -265,8 +278,10 @@ def highlight_cap(d):
 
 
 def words(d) -> str:
-    found = d.unnest(d.found("text", "[A-Za-z0-9]+(?:[.,-][A-Za-z0-9]+)*%?"), f"({d.lines()}) s", "page_id, sent_id", "word")
-    return f"SELECT page_id, sent_id, pos, word FROM ({found}) w WHERE (length(word) >= 2 OR {d.matches('word', '^[0-9]$')}) AND lower(word) NOT IN ({', '.join(quoted(x) for x in V.STOP_WORDS)})"
+    """The words asked about: with a sign of money or per cent, without punctuation behind, no function words."""
+    found = d.unnest(d.found("text", d.literal(V.ASKED_WORD.replace("'", r"\x{27}"))), f"({d.lines()}) s", "page_id, sent_id", "raw")
+    bare = d.replace("raw", d.literal(r"[.,\x{27}’-]+$"), "")
+    return f"SELECT page_id, sent_id, pos, word FROM (SELECT page_id, sent_id, pos, {bare} AS word FROM ({found}) f) w WHERE (length(word) >= 2 OR {d.matches('word', d.literal(chr(94) + chr(92) + 'p{N}$'))}) AND lower(word) NOT IN ({', '.join(quoted(x) for x in V.STOP_WORDS)})"
 
 
 def content_words(d):
@@ -437,7 +452,7 @@ def usage_cost(d):
 
 
 def normalize(d, x: str) -> str:
-    return f"trim(substr(trim({d.replace(x, '[ ]+', ' ')}), 1, 80))"
+    return f"trim(substr(trim({d.replace(x, d.literal(SPACE), ' ')}), 1, {V.RULE_CHARS}))"
 
 
 def normalize_rule(d):
