@@ -8,6 +8,7 @@ dropped before anything is shuffled, so extra columns cannot clash.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -20,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = -(2**63)
 #: Text bytes that one chunk of documents holds, about.
 CHUNK_BYTES = 4 << 20
+#: Edges that a task of a round of components has, about, beyond the first few tasks.
+EDGES_PER_TASK = 200_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +57,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def chunk_count(docs: DataFrame, target: int = CHUNK_BYTES) -> int:
-    """So many chunks that each has about ``target`` bytes of text; a column-pruned scan, one number to the driver."""
+    """So many chunks that each has about ``target`` bytes of text; a column-pruned scan, one number to the driver.
+
+    Beyond a gigabyte chunks grow with the root of the input, up to four times, so that what chunks send to buckets stays in larger pieces.
+    """
     total = docs.agg(F.sum(F.octet_length(F.col("text"))).alias("n")).first()["n"] or 0
-    return max(shuffle_partitions(docs.sparkSession), -(-total // target))
+    size = int(target * min(4.0, max(1.0, (total / (1 << 30)) ** 0.5)))
+    return max(shuffle_partitions(docs.sparkSession), -(-total // size))
 
 
 def chunked(docs: DataFrame, chunks: int) -> DataFrame:
@@ -158,31 +165,45 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the engine remove shuffles and checkpoints that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of an edge (a, b): component is the smallest id that edges reach.
 
     Alternating large and small stars; minima are aggregated before the shuffle and joined back, so a hub with many
-    edges is split by the engine as any skewed join. Each round cuts its lineage with a checkpoint.
+    edges is split by the engine as any skewed join. Each round cuts its lineage with a checkpoint, has as many tasks as its
+    edges need, and lets go of what the round before left on disk.
     """
+    spark = edges.sparkSession
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, tasks: int) -> DataFrame:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        both = both.coalesce(tasks)
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         joined = both.join(low, "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.where("a <> m").select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        return out.where("a <> b").coalesce(tasks).distinct()
 
     pairs = checkpointed(edges.select("a", "b").where("a <> b").distinct())
-    before = None
-    while True:
-        pairs = checkpointed(star(star(pairs, True), False))
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
-            return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).union(pairs.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
-        before = now
+    before, now = None, state_of(pairs)
+    while now != before:
+        tasks = max(8, now[0] // EDGES_PER_TASK)
+        pairs = checkpointed(star(star(pairs, True, tasks), False, tasks).coalesce(tasks))
+        before, now = now, state_of(pairs)
+        release(spark)
+    return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).union(pairs.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+
+
+def state_of(pairs: DataFrame) -> tuple:
+    """The number of pairs and a sum over them: equal for equal sets."""
+    return tuple(pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first())
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

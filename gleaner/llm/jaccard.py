@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import LOWER, NULL_ID, ODD, checkpointed, chunk_count, components, grams, keyed, mix, spaced_buffer, word_bounds, word_symbols
+from gleaner.llm.common import LOWER, NULL_ID, ODD, checkpointed, chunk_count, components, grams, keyed, mix, release, spaced_buffer, word_bounds, word_symbols
 
 SLOTS = 1 << 20
 BLOCK = 1 << 14
@@ -46,6 +46,8 @@ CROWD, RING, LAGS = 16, 1024, 6
 #: Slots of a parity sketch, and the largest set that has one: of larger ones most slots are odd or even by chance.
 SKETCH = 1 << 10
 SKETCHED = 2 * SKETCH
+#: Groups of one shingle in a block; each pair of blocks is compared by a task of its own.
+BLOCK_ROWS = 4096
 #: Parts in which the rows of a component look up its smallest document.
 SPREAD = 16
 ROW = "kind int, key long, a long, b long, n int, blob binary, bits array<long>"
@@ -392,6 +394,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     bridges = checkpointed(starred.union(ringed(shared, sketches, percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     bridged = checkpointed(verified(docs, bridges, words, percent, buckets))
     known = checkpointed(components(links.union(bridged)))
+    release(docs.sparkSession)
 
     place = shared.join(known, shared["rep"] == known["id"], "left").select("shingle", "head", "n", "pos", F.coalesce("component", "rep").alias("component"))
     mixed = place.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high").select("shingle", "m")
@@ -405,12 +408,16 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     # few groups make few pairs, so only the groups of crowded shingles carry their sketches along
     crowded = place.where(F.col("m") >= CROWD).join(sketches, "head", "left")
-    groups = meet(place.where(F.col("m") < CROWD)).union(meet(crowded, sketches_fit(percent)))
+    # groups of a very frequent shingle are dealt to blocks, and each pair of blocks meets in a task of its own
+    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    crowded = crowded.withColumn("own", F.pmod(F.xxhash64("head"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    groups = meet(place.where(F.col("m") < CROWD)).union(meet(crowded, F.col("x.own") == F.col("y.other"), F.col("x.other") == F.col("y.own"), sketches_fit(percent)))
     groups = groups.groupBy("p", "q").agg(F.count("*").alias("n"), F.min("least").alias("least"), F.max("fits").alias("fits")).where("n >= least AND fits").select("p", "q")
     members = rows.where("kind = 3").select(F.col("a").alias("head"), F.col("b").alias("node"))
     expanded = groups.join(members.select(F.col("head").alias("p"), F.col("node").alias("a")), "p").join(members.select(F.col("head").alias("q"), F.col("node").alias("b")), "q").select("a", "b").distinct()
     expanded = checkpointed(expanded)
     joined = checkpointed(verified(docs, expanded, words, percent, buckets))
+    release(docs.sparkSession)
     classes = components(links.union(bridged).union(joined))
 
     nodes = rows.where("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("doc_id"), F.col("n").alias("n_shingles"))

@@ -122,6 +122,13 @@ def brute_components(rows, words, percent):
     return {d: (len(sets[d]), label[d]) for d in sets}
 
 
+def test_jaccard_in_small_blocks(docs, rows, monkeypatch):
+    for name, value in (("CROWD", 2), ("BLOCK_ROWS", 2), ("FAN", 1), ("BROADCAST_ROWS", 0), ("RING", 3), ("HOT", 10)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(docs, 3, 60).collect()}
+    assert got == brute_components(rows, 3, 60)
+
+
 def test_jaccard(docs, rows, none, spark):
     for words, percent in ((3, 90), (5, 80)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(docs, words, percent).collect()}
