@@ -18,7 +18,7 @@ from gleaner.operators.evaluate import variant_states
 from gleaner.operators.judge import Judge, StubJudge, ask, by_rows
 from gleaner.operators.settings import distinct_rules
 from gleaner.plans import values as V
-from gleaner.sources.pages import content_hash, pages, parsed
+from gleaner.sources.pages import content_hash, pages, parsed, spread
 
 KEEP = "Would a reader miss this sentence? "
 KIND = "Why could a reader skip this sentence? "
@@ -218,7 +218,7 @@ def q_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sentences; the texts leave Python cut, so no later step searches a long text again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     schema = pa.schema([("doc_id", pa.int64()), ("sent_id", pa.int32()), ("sentence", pa.string())])
 
     def cut(batches):

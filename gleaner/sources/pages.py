@@ -16,7 +16,13 @@ PARSED = f"page_id long, url string, title string, lang string, json_ld_types ar
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a web address; the filter reaches the scan before any page is parsed."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").where(F.col("url").startswith("http:") | F.col("url").startswith("https:"))
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").where(F.col("url").startswith("http:") | F.col("url").startswith("https:")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores, for work that costs far more than the shuffle; a table with as many partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def parsed(scanned: DataFrame) -> DataFrame:
