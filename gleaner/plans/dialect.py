@@ -66,6 +66,10 @@ class Spark:
     def luhn(self, digits: str) -> str:
         return f"luhn_check({digits})"
 
+    def mod97(self, x: str) -> str:
+        """The remainder by 97 of a number whose letters stand for 10 to 35."""
+        return f"aggregate(split({x}, ''), 0, (a, c) -> CASE WHEN c RLIKE '[A-Z]' THEN (a * 100 + ascii(c) - 55) % 97 ELSE (a * 10 + coalesce(try_cast(c AS INT), 0)) % 97 END)"
+
     def json_number(self, x: str, key: str) -> str:
         return f"try_cast(get_json_object({x}, '$.{key}') AS DOUBLE)"
 
@@ -132,6 +136,11 @@ class Duck(Spark):
         doubled = f"list_transform(range(len({digits})), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN CAST(substr({digits}, len({digits}) - i, 1) AS INT) > 4 THEN CAST(substr({digits}, len({digits}) - i, 1) AS INT) * 2 - 9 ELSE CAST(substr({digits}, len({digits}) - i, 1) AS INT) * 2 END ELSE CAST(substr({digits}, len({digits}) - i, 1) AS INT) END)"
         return f"(list_sum({doubled}) % 10 = 0)"
 
+    def mod97(self, x: str) -> str:
+        # in pieces that fit a number: letters become two digits first
+        digits = f"array_to_string(list_transform(string_split({x}, ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), '')"
+        return f"CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split({digits}, ''), lambda c: CAST(c AS BIGINT))), lambda a, c: (a * 10 + c) % 97) AS INT)"
+
     def json_number(self, x: str, key: str) -> str:
         return f"try_cast(json_extract_string({x}, '$.{key}') AS DOUBLE)"
 

@@ -117,19 +117,35 @@ def min_sentences(d):
     return f"SELECT page_id, count(*) AS sentences FROM ({d.lines()}) s GROUP BY page_id HAVING count(*) >= {V.MIN_SENTENCES}"
 
 
+#: Lines (page_id, text) that show numbers which the tables don't have.
+ACCOUNT_LINES = [
+    (-1, "Pay to GB82 WEST 1234 5698 7654 32 today."), (-1, "Or to DE89370400440532013000, please."), (-1, "GB82 WEST 1234 5698 7654 33 is none."), (-1, "Her number is 123-45-6789."),
+    (-2, "Part 000-45-6789 and 900-12-3456 are none, nor is 666-12-3456."), (-2, "RSSMRA85T10A562S is a tax code, XRSSMRA85T10A562S is none."), (-2, "Card 4111-1111-1111-1111."), (-2, "Card 4111 1111 1111 1112 is none."),
+]
+
+
 def account(d) -> str:
+    """Whether a text has a card or IBAN with the right check digits, an Italian tax code or a US social security number."""
     digits = d.found("text", "(?:^|[^0-9-])([2-6][0-9]{3}(?:[ -]?[0-9]{2,6}){2,4})(?:[^0-9-]|$)", 1)
     clean = d.replace("x", "[ -]", "")
-    ok = f"length({clean}) >= 13 AND length({clean}) <= 19 AND {d.luhn(clean)}"
-    return f"({d.filter_len(digits, 'x', ok)} > 0)"
+    card = d.filter_len(digits, "x", f"length({clean}) >= 13 AND length({clean}) <= 19 AND {d.luhn(clean)}")
+    space = d.literal(r"[ \x{A0}]")
+    ibans = d.found("text", d.literal(r"(?:^|[^0-9A-Za-z_])([A-Z]{2}[0-9]{2}(?:[ \x{A0}]?[A-Z0-9]{4}){2,7}(?:[ \x{A0}]?[A-Z0-9]{1,4})?)(?:[^0-9A-Za-z_]|$)"), 1)
+    compact = d.replace("x", space, "")
+    iban = d.filter_len(ibans, "x", f"length({compact}) >= 15 AND length({compact}) <= 34 AND {d.mod97(f'concat(substr({compact}, 5), substr({compact}, 1, 4))')} = 1")
+    code = d.matches("text", "(^|[^0-9A-Za-z_])[A-Z]{6}[0-9]{2}[A-EHLMPRST][0-9]{2}[A-Z][0-9]{3}[A-Z]([^0-9A-Za-z_]|$)")
+    area = "(00[1-9]|0[1-9][0-9]|[1-578][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])"
+    ssn = d.matches("text", f"(^|[^0-9-]){area}-(0[1-9]|[1-9][0-9])-(000[1-9]|00[1-9][0-9]|0[1-9][0-9]{{2}}|[1-9][0-9]{{3}})([^0-9-]|$)")
+    return f"({card} > 0 OR {iban} > 0 OR {code} OR {ssn})"
 
 
 def account_numbers(d):
-    return f"SELECT page_id, sent_id FROM ({d.lines()}) s WHERE {account(d)}"
+    more = " UNION ALL ".join(f"SELECT {i}, {k}, {quoted(t)}" for k, (i, t) in enumerate(ACCOUNT_LINES))
+    return f"SELECT page_id, sent_id FROM ({d.lines()} UNION ALL {more}) s WHERE {account(d)}"
 
 
 def statement_pages(d):
-    return f"SELECT page_id, count(*) AS withheld, count(*) >= 3 AS held FROM ({account_numbers(d)}) a GROUP BY page_id"
+    return f"SELECT page_id, count(*) AS withheld, count(*) >= {V.STATEMENT_NUMBERS} AS held FROM ({account_numbers(d)}) a GROUP BY page_id"
 
 
 def lead_in_filter(d):
