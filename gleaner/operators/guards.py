@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.plans import values as V
-from gleaner.sources.pages import host_of, path_of, sample_of
 
 
 def strings(items: list[str]) -> Column:
@@ -40,7 +39,7 @@ def private_segment(path: Column) -> Column:
 
 def privacy() -> tuple[Column, Column]:
     """(level, reason): never, ask or null; the first sign that holds."""
-    host, segment = host_of(F.col("url")), private_segment(path_of(F.col("url")))
+    host, segment = F.col("host"), private_segment(F.col("path"))
     signs = [
         (F.col("never"), "never", F.lit("sign-in or payment page")),
         (private_host(host), "ask", F.lit("private-host")),
@@ -60,7 +59,7 @@ def status(mode: str = "auto", asked: bool = False, allowed: list[str] = (), den
     asked: the user asked for this page; then run mode, privacy and account numbers hold nothing back, except pages that are
     never read.
     """
-    host = host_of(F.col("url"))
+    host = F.col("host")
     level, reason = privacy()
     held = F.lit(not asked)
     sentences = F.size("sentences")
@@ -82,9 +81,9 @@ def status(mode: str = "auto", asked: bool = False, allowed: list[str] = (), den
 
 def pack_scores() -> Column:
     """An array of (score, order, pack) with the score of each kind of page, by the signals of a parsed page."""
-    host = host_of(F.col("url"))
-    path = F.concat(F.lit("/"), F.regexp_replace(F.lower(path_of(F.col("url"))), "^/+|/+$", ""), F.lit("/"))
-    hay = F.lower(F.concat_ws("\n", "title", sample_of(F.col("sentences"))))
+    host = F.col("host")
+    path = F.concat(F.lit("/"), F.trim(F.lower("path"), F.lit("/")), F.lit("/"))
+    hay = F.lower(F.concat_ws("\n", "title", "sample"))
 
     def tests(kind: str, patterns: list[str]) -> Column:
         if kind == "jsonld":

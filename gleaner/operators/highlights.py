@@ -23,7 +23,7 @@ def learned_units(spark: SparkSession, terms: list[str], judge: Judge) -> dict[s
     one = spark.range(1).select(F.lit("units").alias("request_id"), F.lit("").alias("state"))
     asked = by_rows(one, lambda rows: [r | {"questions": questions} for r in rows], "request_id string, state string, questions array<struct<key: string, type: string, text: string, options: array<string>>>")
     reply = ask(asked, judge).select("answers").first()  # one row
-    p = {a["key"]: a["p"] for a in reply["answers"] or []}
+    p = {a["key"]: a["p"] for a in reply["answers"] if a}
     found = [p.get(q["key"]) for q in questions]
     return {} if None in found else {t: "sentence" if x >= V.UNIT_AT else "words" for t, x in zip(terms, found, strict=True)}
 
@@ -98,7 +98,7 @@ def located(gate: DataFrame, units: dict[str, str], judge: Judge) -> DataFrame:
     def mark(rows: list[dict]) -> list[dict]:
         out = []
         for r in rows:
-            replies = [({a["key"]: a["p"] for a in x["answers"] if a["p"] is not None}, x["error"]) for x in r["replies"]]
+            replies = [({a["key"]: a["p"] for a in x["answers"] if a and a["p"] is not None}, x["error"]) for x in r["replies"]]
             out += [{"page_id": r["page_id"], "sent_id": r["sent_id"], "term": r["term"], "start": a, "end": b} for a, b in marks(r["text"], r["unit"], replies)]
         return out
 

@@ -146,14 +146,25 @@ def usable(answer: object) -> dict | None:
 
 
 def ask(requests: DataFrame, judge: Judge) -> DataFrame:
-    """``requests`` (request_id, state, questions and any other columns) with the reply: answers, error, tokens."""
+    """``requests`` (request_id, state, questions and any other columns) with the reply: answers, error, tokens.
 
-    def work(rows: list[dict]) -> list[dict]:
-        replies = judge.reply(rows)
-        empty = {"p": None, "label": None, "confidence": None}
-        return [row | {"answers": [{"key": k} | empty | a for k, a in r["answers"].items()], "error": r["error"], "tokens": r["tokens"]} for row, r in zip(rows, replies, strict=True)]
+    Answers are in the order of the questions, null where one is missing. Only what the judge needs becomes Python objects; other columns pass as they are.
+    """
+    reply = _parse_datatype_string(REPLY)
+    types = to_arrow_schema(reply)
+    empty = {"p": None, "label": None, "confidence": None}
 
-    return by_rows(requests, work, StructType([*requests.schema.fields, *_parse_datatype_string(REPLY).fields]))
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                rows = part.select(["request_id", "state", "questions"]).to_pylist()
+                replies = judge.reply(rows)
+                answers = [[{"key": q["key"]} | empty | r["answers"][q["key"]] if q["key"] in r["answers"] else None for q in row["questions"]] for row, r in zip(rows, replies, strict=True)]
+                columns = [answers, [r["error"] for r in replies], [r["tokens"] for r in replies]]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, f.type) for c, f in zip(columns, types, strict=True))], names=[*part.schema.names, *types.names])
+
+    return requests.mapInArrow(work, StructType([*requests.schema.fields, *reply.fields]))
 
 
 def by_rows(df: DataFrame, work: Callable[[list[dict]], list[dict]], schema: StructType | str) -> DataFrame:

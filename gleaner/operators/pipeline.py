@@ -66,9 +66,9 @@ def requests(found: DataFrame, size: int = V.PER_REQUEST, name: str = "r") -> Da
     return cut.select("*", F.col("cut.chunk").alias("chunk"), F.coalesce("cut.part", F.array().cast(dict(cut.dtypes)["cut"].partition("part:")[2][:-1])).alias("part"), request_id.alias("request_id"), state.alias("state")).drop("cut")
 
 
-def answer(key: Column) -> Column:
-    """The answer to a question of a request, or null."""
-    return F.get(F.filter("answers", lambda a: a["key"] == key), 0)
+def answer(place: Column) -> Column:
+    """The answer to the question at a place of a request, or null."""
+    return F.get("answers", place)
 
 
 def keyed(prefix: str, sent_id: Column) -> Column:
@@ -86,13 +86,13 @@ def judged(found: DataFrame, judge: Judge, size: int = V.PER_REQUEST) -> DataFra
     about_page = F.when(F.col("chunk") == 0, F.array(question(F.lit("page_kind"), "choice", F.concat(F.lit(PAGE_KIND + " "), F.col("state")), V.PAGE_KINDS))).otherwise(F.slice(F.flatten(each), 1, 0))
     got = ask(asked.withColumn("questions", F.concat(F.flatten(each), about_page)), judge)
 
-    def judgment(s: Column) -> Column:
-        keep, kind = answer(keyed("keep_", s["sent_id"]))["p"], answer(keyed("kind_", s["sent_id"]))
+    def judgment(s: Column, i: Column) -> Column:
+        keep, kind = answer(2 * i)["p"], answer(2 * i + 1)
         good = keep.isNotNull() & ~F.isnan(keep) & F.coalesce(kind["label"].isin(V.KINDS), F.lit(False))
         keep = F.greatest(F.lit(0.0), F.least(F.lit(1.0), keep))
         return F.struct(s["sent_id"].alias("sent_id"), F.when(good, keep).alias("keep"), F.when(good, kind["label"]).alias("kind"), F.when(good, F.coalesce(kind["confidence"], F.lit(0.0))).alias("kind_conf"), F.coalesce(~good, F.lit(True)).alias("failed"))
 
-    page = answer(F.lit("page_kind"))
+    page = answer(2 * F.size("part"))
     known = F.coalesce(page["label"].isin(V.PAGE_KINDS), F.lit(False))
     kind = F.when(F.col("chunk") == 0, F.when(known, page["label"]).otherwise(F.col("pack")))
     return got.select("*", F.transform("part", judgment).alias("judgments"), kind.alias("page_kind"), F.when(F.col("chunk") == 0, F.when(known, F.coalesce(page["confidence"], F.lit(0.0))).otherwise(0.0)).alias("page_kind_conf")).drop("answers", "questions", "part", "state")
@@ -157,11 +157,13 @@ def scored(found: DataFrame, items: list[str], judge: Judge, size: int, wording:
 
     each = F.flatten(F.transform(numbered, lambda x: F.transform("part", lambda s: question(key(x["n"], s), "noul", F.concat(x["head"], s["text"])))))
     got = ask(requests(found, size).withColumn("questions", each), judge)
-    pairs = F.flatten(F.transform("part", lambda s: F.transform(numbered, lambda x: F.struct(s["sent_id"].alias("sent_id"), s["text"].alias("text"), x["n"].alias("n"), x["item"].alias("item"), answer(key(x["n"], s))["p"].alias("p")))))
-    answered = F.filter(pairs, lambda x: x["p"].isNotNull())
-    silent = F.filter("part", lambda s: ~F.exists(answered, lambda x: x["sent_id"] == s["sent_id"]))
-    none = F.transform(silent, lambda s: F.struct(s["sent_id"].alias("sent_id"), s["text"].alias("text"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("item"), F.lit(None).cast("double").alias("p")))
-    rows = got.select("page_id", "title", "lang", "pack", F.explode(F.concat(answered, none)).alias("x"))
+    none = F.struct(F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("item"), F.lit(None).cast("double").alias("p"))
+
+    def found_for(s: Column, i: Column) -> Column:
+        got = F.filter(F.transform(numbered, lambda x: F.struct(x["n"].alias("n"), x["item"].alias("item"), answer(x["n"] * F.size("part") + i)["p"].alias("p"))), lambda x: x["p"].isNotNull())
+        return F.transform(F.when(F.size(got) > 0, got).otherwise(F.array(none)), lambda x: F.struct(s["sent_id"].alias("sent_id"), s["text"].alias("text"), x["n"].alias("n"), x["item"].alias("item"), x["p"].alias("p")))
+
+    rows = got.select("page_id", "title", "lang", "pack", F.explode(F.flatten(F.transform("part", found_for))).alias("x"))
     return rows.select("page_id", "title", "lang", "pack", "x.sent_id", "x.text", "x.item", F.col("x.n").alias("item_order"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "x.p")).alias("p"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import html as H
@@ -10,8 +12,9 @@ from gleaner.functions import text as T
 from gleaner.operators.judge import by_rows
 from gleaner.plans import values as V
 
+ADDRESS = re.compile(r"https?://(?:[^/?#@]*@)?(?P<host>\[[^\]]*\]|[^/?#:]*)(?::\d*)?(?P<path>[^?#]*)", re.IGNORECASE)
 SENTENCE = "struct<sent_id: int, block_id: int, text: string, wrap_start: int, quote_id: int, withheld: boolean>"
-PARSED = f"page_id long, url string, title string, lang string, json_ld_types array<string>, og_type string, unlisted boolean, signed_in boolean, personal_form boolean, never boolean, app_like boolean, sentences array<{SENTENCE}>"
+PARSED = f"page_id long, url string, host string, path string, sample string, title string, lang string, json_ld_types array<string>, og_type string, unlisted boolean, signed_in boolean, personal_form boolean, never boolean, app_like boolean, sentences array<{SENTENCE}>"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,26 +36,15 @@ def parsed(scanned: DataFrame) -> DataFrame:
         for row in rows:
             page = H.Page(row["html"] or "")
             found = [dict(zip(("sent_id", "block_id", "text", "wrap_start", "quote_id"), s, strict=True)) | {"withheld": T.carries_account_number(s[2])} for s in H.page_sentences(page)]
-            out.append({"page_id": row["page_id"], "url": row["url"]} | H.meta(page) | {"sentences": found})
+            where = ADDRESS.match(row["url"] or "")
+            host, path = (where["host"].lower().removeprefix("www.").strip("[]"), where["path"]) if where else ("", "")
+            sample = "\n".join(s["text"] for s in found)[: V.SAMPLE_CHARS]
+            out.append({"page_id": row["page_id"], "url": row["url"], "host": host, "path": path, "sample": sample} | H.meta(page) | {"sentences": found})
         return out
 
     return by_rows(scanned.select("page_id", "url", "html"), work, PARSED)
 
 
-def host_of(url: Column) -> Column:
-    host = F.lower(F.regexp_extract(url, r"^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)", 1))
-    return F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r"[\[\]]", "")
-
-
-def path_of(url: Column) -> Column:
-    return F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
-
-
-def sample_of(sentences: Column) -> Column:
-    """The beginning of a page's sentences."""
-    return F.substring(F.array_join(F.transform(sentences, lambda s: s["text"]), "\n"), 1, V.SAMPLE_CHARS)
-
-
 def content_hash(df: DataFrame, sentences: str = "sentences") -> DataFrame:
     """``df`` with the hash of its sentences' texts, joined by line breaks."""
     from pyspark.sql.types import StringType
