@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import checkpointed, ragged
 
 BITS = 64
-#: How many radii the first round takes.
-FIRST = 3
 
 
 def coded(rows: DataFrame) -> DataFrame:
@@ -144,8 +142,11 @@ def nearest(entries: DataFrame, n_entries: int, queries: DataFrame, k: int, segm
     keys = ["segment", "bucket", "part"]
     nearer = Window.partitionBy("asked").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
     widest = max(bits for _, bits in bounds)
-    # the smallest radii probe few values and are taken together
-    for radii in [range(min(FIRST, widest + 1)), *(range(r, r + 1) for r in range(FIRST, widest + 1))]:
+    # the smallest radii, which probe fewer values than a third of a bucket's entries, are taken together
+    first = 1
+    while first < widest and 3 * sum(comb(widest, r) for r in range(first + 1)) <= n_entries >> shared:
+        first += 1
+    for radii in [range(first), *(range(r, r + 1) for r in range(first, widest + 1))]:
         if not active.limit(1).count():
             break
         met = index.groupBy(*keys).cogroup(visit(radii).groupBy(*keys)).applyInArrow(answer, "asked long, code long, n long, distance int")
