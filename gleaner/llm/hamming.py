@@ -111,8 +111,12 @@ def nearest(entries: DataFrame, n_entries: int, queries: DataFrame, k: int, segm
 
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), bucket("code", *x).alias("bucket")) for i, x in enumerate(bounds)])).alias("at")
     index = entries.select("code", F.least("n", F.lit(k)).alias("n"), each).select("at.segment", "at.bucket", "code", "n")
-    parts = checkpointed(index.groupBy("segment", "bucket").agg(F.ceil(F.count("*") / (4 * bucket_entries)).cast("int").alias("parts")))
-    index = checkpointed(index.join(parts, ["segment", "bucket"]).select("segment", "bucket", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int").alias("part"), "code", "n"))
+    parts = None  # so few entries fit one part of each bucket
+    if n_entries > 4 * bucket_entries:
+        parts = checkpointed(index.groupBy("segment", "bucket").agg(F.ceil(F.count("*") / (4 * bucket_entries)).cast("int").alias("parts")))
+        index = checkpointed(index.join(parts, ["segment", "bucket"]).select("segment", "bucket", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int").alias("part"), "code", "n"))
+    else:
+        index = index.withColumn("part", F.lit(0))
     active = checkpointed(queries)
     known = None
     closed = None
@@ -123,6 +127,8 @@ def nearest(entries: DataFrame, n_entries: int, queries: DataFrame, k: int, segm
         probes = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(rest).alias("rest")) for m, rest in flips]))
         own = F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), bucket("asked", *x).alias("own")) for i, x in enumerate(bounds)]))
         to = active.select("asked", own.alias("at")).select("asked", "at.*", probes.alias("probe")).select("asked", "segment", F.col("own").bitwiseXOR(F.col("probe.mask")).alias("bucket"), "probe.rest")
+        if parts is None:
+            return to.select("segment", "bucket", F.lit(0).alias("part"), "asked", "rest")
         return to.join(parts, ["segment", "bucket"]).select("segment", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "asked", "rest")
 
     def answer(mine: pa.Table, theirs: pa.Table) -> pa.Table:
