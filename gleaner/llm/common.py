@@ -44,10 +44,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, so that no later step depends on an executor's disk."""
+def checkpointed(df: DataFrame, share: int = 1) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint, so that no later step depends on an executor's disk.
+
+    share: for tables that are small beside the documents, so many shuffle partitions go to one task and one file.
+    """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(max(8, shuffle_partitions(df.sparkSession) // share)) if share > 1 else df).checkpoint()
 
 
 def keyed(docs: DataFrame) -> DataFrame:

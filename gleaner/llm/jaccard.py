@@ -46,6 +46,8 @@ CROWD, RING, LAGS = 16, 1024, 6
 #: Slots of a parity sketch, and the largest set that has one: of larger ones most slots are odd or even by chance.
 SKETCH = 1 << 10
 SKETCHED = 2 * SKETCH
+#: Shuffle partitions of a table of links that go to one task.
+LINKS = 4
 #: Groups of one shingle in a block; each pair of blocks is compared by a task of its own.
 BLOCK_ROWS = 4096
 #: Parts in which the rows of a component look up its smallest document.
@@ -314,7 +316,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, bucket
     many = pairs.join(ends.select(F.col("x").alias("a"), F.col("k").alias("ka")), "a").join(ends.select(F.col("x").alias("b"), F.col("k").alias("kb")), "b")
     hub, spoke = F.when(F.col("ka") >= F.col("kb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("ka") >= F.col("kb"), F.col("b")).otherwise(F.col("a"))
     salt = F.pmod(F.xxhash64(spoke), F.ceil(F.greatest("ka", "kb") / FAN))
-    dealt = checkpointed(many.select("a", "b", F.pmod(F.xxhash64(hub, salt), F.lit(buckets)).alias("bucket")))
+    dealt = checkpointed(many.select("a", "b", F.pmod(F.xxhash64(hub, salt), F.lit(buckets)).alias("bucket")), LINKS)
     needed = dealt.select(F.col("bucket").alias("place"), F.explode(F.array("a", "b")).alias("node")).distinct()
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)  # of a size just checked; larger ones are joined by shuffling
@@ -391,9 +393,9 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # a hub may not be the same for all shingles, so half of what a similar pair shares is asked for; step 4 needs no luck
     starred = entries.where(fits(percent)).groupBy(F.col("x.head").alias("a"), F.col("y.head").alias("b")).agg(F.count("*").alias("n"), F.min(least_shared(percent)).alias("least")).where("2 * n >= least").select("a", "b")
     sketches = rows.where("kind = 4").select(F.col("a").alias("head"), "bits", F.col("n").alias("slack"))
-    bridges = checkpointed(starred.union(ringed(shared, sketches, percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    bridges = checkpointed(starred.union(ringed(shared, sketches, percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), LINKS)
     bridged = checkpointed(verified(docs, bridges, words, percent, buckets))
-    known = checkpointed(components(links.union(bridged)))
+    known = checkpointed(components(links.union(bridged)), LINKS)
     release(docs.sparkSession)
 
     place = shared.join(known, shared["rep"] == known["id"], "left").select("shingle", "head", "n", "pos", F.coalesce("component", "rep").alias("component"))
@@ -415,7 +417,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     groups = groups.groupBy("p", "q").agg(F.count("*").alias("n"), F.min("least").alias("least"), F.max("fits").alias("fits")).where("n >= least AND fits").select("p", "q")
     members = rows.where("kind = 3").select(F.col("a").alias("head"), F.col("b").alias("node"))
     expanded = groups.join(members.select(F.col("head").alias("p"), F.col("node").alias("a")), "p").join(members.select(F.col("head").alias("q"), F.col("node").alias("b")), "q").select("a", "b").distinct()
-    expanded = checkpointed(expanded)
+    expanded = checkpointed(expanded, LINKS)
     joined = checkpointed(verified(docs, expanded, words, percent, buckets))
     release(docs.sparkSession)
     classes = components(links.union(bridged).union(joined))
