@@ -25,6 +25,9 @@ class Spark:
     def found(self, x: str, pattern: str, group: int = 0) -> str:
         return f"regexp_extract_all({x}, '{pattern}', {group})"
 
+    def count(self, x: str, pattern: str) -> str:
+        return f"CAST(regexp_count({x}, '{pattern}') AS BIGINT)"
+
     def split(self, x: str, by: str) -> str:
         return f"split({x}, '[{by}]')"
 
@@ -98,6 +101,9 @@ class Duck(Spark):
     def matches(self, x: str, pattern: str) -> str:
         return f"regexp_matches({x}, '{pattern}')"
 
+    def count(self, x: str, pattern: str) -> str:
+        return self.size(self.found(x, pattern))
+
     def split(self, x: str, by: str) -> str:
         return f"string_split_regex({x}, '[{by}]')"
 
