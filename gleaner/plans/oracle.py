@@ -125,4 +125,17 @@ ORACLES = {
       SELECT s.user_id, s.number, s.due AS at_micros, (SELECT count(*) FROM e WHERE e.user_id = s.user_id AND e.t <= s.due AND e.t > coalesce((SELECT q.due FROM sends q WHERE q.user_id = s.user_id AND q.number = s.number - 1), -1)) AS pooled FROM sends s""",
     "context_window": "SELECT a.conv_id, a.turn, md5(coalesce((SELECT string_agg(b.text, ' ' ORDER BY b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn IN (SELECT c.turn FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn < a.turn ORDER BY c.turn DESC LIMIT 5)), '')) AS context_md5 FROM conversations a",
     "pack_route": routed(),
+    "page_scan": "SELECT page_id, url FROM pages WHERE starts_with(url, 'http:') OR starts_with(url, 'https:')",
+    "private_path": f"""WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT * FROM (VALUES (-1, 'https://shop.com/Cart/view.html'), (-2, 'https://shop.com/login.php?x=1'), (-3, 'https://shop.com/cartoon'), (-4, 'https://shop.com/Settings.aspx/billing/')) e(page_id, url))
+      SELECT page_id, list_filter(list_transform(string_split(regexp_extract(lower(url), '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda x: regexp_replace(x, '[.](html?|php|aspx?|jsp)$', '')), lambda x: list_contains({listed(V.PRIVATE_SEGMENTS)}, x))[1] AS segment FROM u""",
+    "rule_chunk_size": "SELECT n AS rules, k::BIGINT AS per_request FROM (VALUES (1, 30), (2, 30), (3, 20), (5, 12), (8, 7), (70, 1)) r(n, k)",
+    "threshold_migration": "SELECT id, t::DOUBLE AS threshold FROM (VALUES (1, 0.25), (2, 0.25), (3, 0.35), (4, 0.5)) s(id, t)",
+    "validate_settings": "SELECT id, t::DOUBLE AS threshold, c AS chunk, m AS run_mode FROM (VALUES (1, 0.1, 10, 'auto'), (2, 0.9, 120, 'click'), (3, 0.4, 45, 'auto'), (4, 0.25, 30, 'auto')) s(id, t, c, m)",
+    "normalize_colour": "SELECT c, colour FROM (VALUES ('#abc', '#aabbcc'), ('#A1B2C3', '#a1b2c3'), ('red', '#ffe066'), ('#12345', '#ffe066')) x(c, colour)",
+    "lru_keep": f"SELECT concat('h', user_id, event_type) AS hash, max(event_id) AS last_tick FROM events GROUP BY user_id, event_type ORDER BY last_tick DESC LIMIT {V.CACHE_PAGES}",
+    "usage_stats": "SELECT user_id, count(*) AS pages, coalesce(sum(round(value * 100)) FILTER (value > 0), 0)::BIGINT AS tokens, coalesce(sum(round(value * 10)) FILTER (value > 0), 0)::BIGINT AS ms, count(*) FILTER (event_type = 'view') AS hits FROM events GROUP BY user_id",
+    "auc_by_group": f"WITH {LABELLED} SELECT g.lang, (SELECT round(sum(CASE WHEN a.score > b.score THEN 1.0::DOUBLE WHEN a.score = b.score THEN 0.5 ELSE 0 END) / nullif(count(*), 0), 9) FROM l a, l b WHERE a.label = 1 AND b.label <> 1 AND a.lang = g.lang AND b.lang = g.lang) AS auc FROM (SELECT DISTINCT lang FROM l) g",
+    "score_profile": f"WITH {LABELLED}, s AS (SELECT lang, label, list(score) AS s FROM l GROUP BY lang, label) SELECT lang, label, CAST(len(s) AS BIGINT) AS n, round(list_avg(s), 9) AS mean_score, list_min(s) AS least, list_max(s) AS most FROM s",
+    "score_rollup": f"WITH {LABELLED} SELECT lang, label, count(*) AS n, round(avg(score), 9) AS mean_score FROM l GROUP BY lang, label UNION ALL SELECT lang, NULL, count(*), round(avg(score), 9) FROM l GROUP BY lang UNION ALL SELECT NULL, NULL, count(*), round(avg(score), 9) FROM l",
+    "repeat_stability": f"WITH {JUDGED} SELECT page_id, max(abs(keep - {p('text || chr(27)')})) AS max_change FROM judged GROUP BY page_id",
 }
