@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import oracle, sql
+from gleaner.plans import oracle, oracle_pages, sql
 from gleaner.plans.dialect import Duck, Spark
 
 TABLES = ("pages", "documents", "labels", "events", "conversations")
@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
     from gleaner.operators import pipeline
 
     # plans without SQL of their own for the check are checked by their text in the other dialect
-    return {name: plan(Duck()) for name, plan in sql.PLANS.items() if name not in oracle.ORACLES} | oracle.ORACLES | pipeline.ORACLES
+    return {name: plan(Duck()) for name, plan in sql.PLANS.items() if name not in oracle.ORACLES} | oracle.ORACLES | oracle_pages.ORACLES | pipeline.ORACLES

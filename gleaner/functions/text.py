@@ -14,6 +14,8 @@ import regex
 from gleaner.plans import values as V
 
 Span = tuple[int, int]
+#: More characters than any abbreviation, initial or list number has with the white space before it.
+LOOK_BACK = 256
 
 
 def any_of(characters: str) -> str:
@@ -31,8 +33,8 @@ CASED = regex.compile(r"[\p{Ll}\p{Lt}]")
 TOKEN = regex.compile(r"[\p{L}\p{N}.]+$")
 INITIAL = regex.compile(r"(?<![\p{L}\p{N}])\p{L}$|\.$")
 LIST_NUMBER = regex.compile(rf"(?:^\s*|{any_of(V.BEFORE_ENUMERATOR)}\s+|(?!\.){any_of(V.BEFORE_ENUMERATOR)})\d{{1,2}}$")
-BY_CHARACTER = r"[\p{Han}\p{Hiragana}\p{Katakana}]"
-WORD = regex.compile(rf"{BY_CHARACTER}|(?:(?!{BY_CHARACTER})[\p{{L}}\p{{N}}])+(?:['’]\p{{L}}+)?")
+BY_CHARACTER = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’]\p{L}+)?")
 NOTE_BEHIND = regex.compile(r"(?<=\S)\[[^\[\]\n]{1,30}\]")
 ASKED = regex.compile(V.ASKED_WORD)
 BREAK = regex.compile(V.STITCH_BREAK)
@@ -45,7 +47,8 @@ IN_ANY_CASE = frozenset(a.lower() for a in V.ABBREVIATIONS if a not in V.ABBREVI
 
 def count_words(text: str) -> int:
     """Words; a character of a script without spaces is a word, a footnote mark behind a word is none."""
-    return len(WORD.findall(NOTE_BEHIND.sub(" ", text) if "[" in text else text))
+    bare = NOTE_BEHIND.sub(" ", text) if "[" in text else text
+    return len(BY_CHARACTER.findall(bare)) + len(WORD.findall(BY_CHARACTER.sub(" ", bare)))
 
 
 def abbreviated(token: str) -> bool:
@@ -62,6 +65,11 @@ def period_is_inside(before: str, noted: bool) -> bool:
     return not noted and bool(INITIAL.search(before) or LIST_NUMBER.search(before))
 
 
+def before(line: str, at: int) -> str:
+    """What stands before a place, as far back as the rules on periods look; a line that begins farther back has a letter there."""
+    return line[:at] if at <= LOOK_BACK else "x" + line[at - LOOK_BACK : at]
+
+
 def openings(line: str) -> list[int]:
     """Where sentences begin inside a line, beyond its first."""
     found = []
@@ -69,7 +77,7 @@ def openings(line: str) -> list[int]:
         opener = m["opener"]
         if opener.isalpha() and opener.lower() != opener.upper() and CASED.match(opener):
             continue
-        if m["marks"] == "." and period_is_inside(line[: m.start()], bool(m["notes"])):
+        if m["marks"] == "." and period_is_inside(before(line, m.start()), bool(m["notes"])):
             continue
         found.append(m.end())
     return found

@@ -6,18 +6,20 @@ states, questions and answers are expressions on arrays, so that a page passes f
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
 
 from gleaner.functions import html as H
-from gleaner.functions import text as T
+from gleaner.functions import sqltext as X
+from gleaner.functions.hashes import fnv1a
+from gleaner.functions.sentences import split
 from gleaner.operators import guards, highlights
 from gleaner.operators.evaluate import variant_states
 from gleaner.operators.judge import Judge, StubJudge, ask, by_rows
 from gleaner.operators.settings import distinct_rules
 from gleaner.plans import values as V
+from gleaner.plans.dialect import Spark
+from gleaner.plans.sql import account
 from gleaner.sources.pages import content_hash, pages, parsed, spread
 
 KEEP = "Would a reader miss this sentence? "
@@ -204,39 +206,19 @@ def q_page_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_hash(parsed(pages(spark, sf_dir))).select("page_id", "content_hash")
 
 
-@F.udf(StringType(), useArrow=True)
-def hash_text(text: str) -> str:
-    return T.hash_text(text or "")
-
-
-@F.udf(BooleanType(), useArrow=True)
-def carries_account_number(text: str) -> bool:
-    return T.carries_account_number(text or "")
-
-
 def q_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", hash_text(F.col("text")).alias("content_hash"))
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", fnv1a(X.col("text")).column().alias("content_hash"))
 
 
 def q_document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's sentences; the texts leave Python cut, so no later step searches a long text again."""
+    """Every document's sentences, cut where they are read."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("sent_id", pa.int32()), ("sentence", pa.string())])
-
-    def cut(batches):
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                text = text or ""
-                found = [text[a:b] for a, b in T.split_sentences(text)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], schema=schema)
-
-    return docs.mapInArrow(cut, "doc_id long, sent_id int, sentence string")
+    return docs.select("doc_id", F.posexplode(split(X.col("text")).column()).alias("sent_id", "sentence"))
 
 
 def q_document_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where(F.col("text").rlike("[0-9]"))
-    return docs.where(carries_account_number(F.col("text"))).select("doc_id")
+    return docs.where(account(Spark())).select("doc_id")
 
 
 def q_sentence_dump(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,18 +124,18 @@ ACCOUNT_LINES = [
 ]
 
 
-def account(d) -> str:
+def account(d, text: str = "text") -> str:
     """Whether a text has a card or IBAN with the right check digits, an Italian tax code or a US social security number."""
-    digits = d.found("text", "(?:^|[^0-9-])([2-6][0-9]{3}(?:[ -]?[0-9]{2,6}){2,4})(?:[^0-9-]|$)", 1)
+    digits = d.found(text, "(?:^|[^0-9-])([2-6][0-9]{3}(?:[ -]?[0-9]{2,6}){2,4})(?:[^0-9-]|$)", 1)
     clean = d.replace("x", "[ -]", "")
     card = d.filter_len(digits, "x", f"length({clean}) >= 13 AND length({clean}) <= 19 AND {d.luhn(clean)}")
     space = d.literal(r"[ \x{A0}]")
-    ibans = d.found("text", d.literal(r"(?:^|[^0-9A-Za-z_])([A-Z]{2}[0-9]{2}(?:[ \x{A0}]?[A-Z0-9]{4}){2,7}(?:[ \x{A0}]?[A-Z0-9]{1,4})?)(?:[^0-9A-Za-z_]|$)"), 1)
+    ibans = d.found(text, d.literal(r"(?:^|[^0-9A-Za-z_])([A-Z]{2}[0-9]{2}(?:[ \x{A0}]?[A-Z0-9]{4}){2,7}(?:[ \x{A0}]?[A-Z0-9]{1,4})?)(?:[^0-9A-Za-z_]|$)"), 1)
     compact = d.replace("x", space, "")
     iban = d.filter_len(ibans, "x", f"length({compact}) >= 15 AND length({compact}) <= 34 AND {d.mod97(f'concat(substr({compact}, 5), substr({compact}, 1, 4))')} = 1")
-    code = d.matches("text", "(^|[^0-9A-Za-z_])[A-Z]{6}[0-9]{2}[A-EHLMPRST][0-9]{2}[A-Z][0-9]{3}[A-Z]([^0-9A-Za-z_]|$)")
+    code = d.matches(text, "(^|[^0-9A-Za-z_])[A-Z]{6}[0-9]{2}[A-EHLMPRST][0-9]{2}[A-Z][0-9]{3}[A-Z]([^0-9A-Za-z_]|$)")
     area = "(00[1-9]|0[1-9][0-9]|[1-578][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])"
-    ssn = d.matches("text", f"(^|[^0-9-]){area}-(0[1-9]|[1-9][0-9])-(000[1-9]|00[1-9][0-9]|0[1-9][0-9]{{2}}|[1-9][0-9]{{3}})([^0-9-]|$)")
+    ssn = d.matches(text, f"(^|[^0-9-]){area}-(0[1-9]|[1-9][0-9])-(000[1-9]|00[1-9][0-9]|0[1-9][0-9]{{2}}|[1-9][0-9]{{3}})([^0-9-]|$)")
     return f"({card} > 0 OR {iban} > 0 OR {code} OR {ssn})"
 
 

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import html as H
-from gleaner.functions import text as T
+from gleaner.functions import sqltext as X
+from gleaner.functions.hashes import fnv1a
+from gleaner.functions.stream import ITEM, items
+from gleaner.operators import dom
 from gleaner.operators.judge import by_rows
 from gleaner.plans import values as V
 
 ADDRESS = re.compile(r"https?://(?:[^/?#@]*@)?(?P<host>\[[^\]]*\]|[^/?#:]*)(?::\d*)?(?P<path>[^?#]*)", re.IGNORECASE)
-SENTENCE = "struct<sent_id: int, block_id: int, text: string, wrap_start: int, quote_id: int, withheld: boolean>"
-PARSED = f"page_id long, url string, host string, path string, sample string, title string, lang string, json_ld_types array<string>, og_type string, unlisted boolean, signed_in boolean, personal_form boolean, never boolean, app_like boolean, sentences array<{SENTENCE}>"
+META = "title string, lang string, json_ld_types array<string>, og_type string, unlisted boolean, signed_in boolean, personal_form boolean, never boolean, app_like boolean"
+STREAM = f"page_id long, url string, host string, path string, {META}, items array<{ITEM}>"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,29 +31,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
-def parsed(scanned: DataFrame) -> DataFrame:
-    """One row a page: its meta data, the signs of pages that are not to be read, and its sentences. Each page is parsed once."""
+def streams(scanned: DataFrame) -> DataFrame:
+    """One row a page: its meta data, the signs of pages that are not to be read, and its stream of items. Each page is parsed once."""
 
     def work(rows: list[dict]) -> list[dict]:
         out = []
         for row in rows:
             page = H.Page(row["html"] or "")
-            found = [dict(zip(("sent_id", "block_id", "text", "wrap_start", "quote_id"), s, strict=True)) | {"withheld": T.carries_account_number(s[2])} for s in H.page_sentences(page)]
             where = ADDRESS.match(row["url"] or "")
             host, path = (where["host"].lower().removeprefix("www.").strip("[]"), where["path"]) if where else ("", "")
-            sample = "\n".join(s["text"] for s in found)[: V.SAMPLE_CHARS]
-            out.append({"page_id": row["page_id"], "url": row["url"], "host": host, "path": path, "sample": sample} | H.meta(page) | {"sentences": found})
+            out.append({"page_id": row["page_id"], "url": row["url"], "host": host, "path": path} | H.meta(page) | {"items": items(page)})
         return out
 
-    return by_rows(scanned.select("page_id", "url", "html"), work, PARSED)
+    return by_rows(scanned.select("page_id", "url", "html"), work, STREAM)
 
 
-def content_hash(df: DataFrame, sentences: str = "sentences") -> DataFrame:
-    """``df`` with the hash of its sentences' texts, joined by line breaks."""
-    from pyspark.sql.types import StringType
+def parsed(scanned: DataFrame) -> DataFrame:
+    """One row a page: its meta data, a sample of its text and its sentences."""
+    found = dom.sentences(streams(scanned))
+    sample = F.left(F.array_join(F.transform("sentences", lambda s: s["text"]), "\n"), F.lit(V.SAMPLE_CHARS))
+    first = ["page_id", "url", "host", "path"]
+    return found.select(*first, sample.alias("sample"), *[c for c in found.columns if c not in first])
 
-    @F.udf(StringType(), useArrow=True)
-    def hashed(text: str) -> str:
-        return T.hash_text(text)
 
-    return df.withColumn("content_hash", hashed(F.array_join(F.transform(sentences, lambda s: s["text"]), "\n")))
+def content_hash(df: DataFrame, sentences: str = "sentences") -> DataFrame:
+    """``df`` with the hash of its sentences' texts, joined by line breaks."""
+    return df.withColumn("content_hash", fnv1a(X.array_join(X.transform(X.col(sentences), lambda s: s["text"]), "\n")).column())
