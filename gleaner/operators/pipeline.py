@@ -6,6 +6,8 @@ states, questions and answers are expressions on arrays, so that a page passes f
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from gleaner.functions import html as H
 from gleaner.functions import sqltext as X
 from gleaner.functions.hashes import fnv1a
 from gleaner.functions.sentences import split
-from gleaner.operators import guards, highlights
+from gleaner.operators import cached, guards, highlights
 from gleaner.operators.evaluate import variant_states
 from gleaner.operators.judge import Judge, StubJudge, ask, by_rows
 from gleaner.operators.settings import distinct_rules
@@ -202,6 +204,15 @@ def q_judge_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_highlights(guarded(pages(spark, sf_dir)), ["costs", "names"], StubJudge())
 
 
+def q_page_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages judged twice through one cache: what each run had to ask. The second asks nothing."""
+    store = cached.page_store(spark, f"{cached.shared_folder(spark)}/page-cache-{uuid.uuid4().hex}")
+    found = guarded(pages(spark, sf_dir)).checkpoint()
+    runs = [cached.counts(cached.judge_cached(found, StubJudge(), store, tick, capacity=2**31 - 1)) for tick in (1, 2)]
+    second = runs[1].select(F.col("page_id").alias("again"), F.col("cached").alias("hit_again"), F.col("requests").alias("requests_again"))
+    return runs[0].join(second, F.col("page_id").eqNullSafe(F.col("again"))).select("page_id", "requests", (F.col("kept") + F.col("faded")).alias("answered"), "failed", "hit_again", "requests_again")
+
+
 def q_page_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_hash(parsed(pages(spark, sf_dir))).select("page_id", "content_hash")
 
@@ -247,6 +258,7 @@ QUERIES = {
     "page_report": q_page_report,
     "judge_rules": q_judge_rules,
     "judge_highlights": q_judge_highlights,
+    "page_cache": q_page_cache,
     "page_content_hash": q_page_content_hash,
     "content_hash": q_content_hash,
     "document_sentences": q_document_sentences,

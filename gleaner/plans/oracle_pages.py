@@ -112,4 +112,12 @@ def page_content_hash() -> str:
 SELECT page_id, CASE WHEN coalesce(text, '') = '' THEN 'cbf29ce484222325' ELSE lower(lpad(to_hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, {units}), lambda h, c: {step})), 16, '0')) END AS content_hash FROM joined"""
 
 
-ORACLES = {"document_sentences": document_sentences(), "page_sentences": page_sentences(), "page_content_hash": page_content_hash(), "document_accounts": f"SELECT doc_id FROM documents WHERE {account(Duck())}"}
+def page_cache() -> str:
+    """Requests of the first run: those of the first page of each text that passes the guards; of the second: none."""
+    return f"""WITH RECURSIVE {page_rows()}, f AS (SELECT *, {account(Duck())} AS withheld FROM found),
+n AS (SELECT h.rn, h.page_id, count(f.rn) AS n, count(*) FILTER (f.withheld) AS held, string_agg(f.text, chr(10) ORDER BY f.sent_id) AS text FROM html h LEFT JOIN f USING (rn) GROUP BY h.rn, h.page_id),
+g AS (SELECT *, n >= {V.MIN_SENTENCES} AND held < {V.STATEMENT_NUMBERS} AS judged FROM n)
+SELECT page_id, CASE WHEN judged AND row_number() OVER (PARTITION BY judged, text ORDER BY page_id) = 1 THEN CAST(ceil((n - held) / {V.PER_REQUEST}.0) AS BIGINT) ELSE 0 END AS requests, CASE WHEN judged THEN n - held ELSE 0 END AS answered, 0 AS failed, judged AS hit_again, 0 AS requests_again FROM g"""
+
+
+ORACLES = {"page_cache": page_cache(), "document_sentences": document_sentences(), "page_sentences": page_sentences(), "page_content_hash": page_content_hash(), "document_accounts": f"SELECT doc_id FROM documents WHERE {account(Duck())}"}
