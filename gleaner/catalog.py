@@ -24,9 +24,9 @@ def planned(name: str):
 
 
 def queries() -> dict:
-    from gleaner.operators import pipeline
+    from gleaner.operators import pipeline, quotations
 
-    return {name: planned(name) for name in sql.PLANS} | pipeline.QUERIES
+    return {name: planned(name) for name in sql.PLANS} | pipeline.QUERIES | quotations.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ Two characters that Unicode leaves undefined serve as marks; in a text they coun
 from __future__ import annotations
 
 from gleaner.functions import sqltext as F
-from gleaner.functions.columns import NOTE, SPACE, SPACES, any_of, count_words, let, strip
+from gleaner.functions.columns import NOTE, SPACE, SPACES, any_of, count_words, let, running, strip
 from gleaner.functions.sqltext import Expr as Column
 from gleaner.plans import values as V
 
@@ -103,3 +103,16 @@ def segments(text: Column) -> Column:
 def split(text: Column) -> Column:
     """The sentences of a text, without the white space around them."""
     return F.transform(segments(text), strip)
+
+
+def placed(text: Column, cut: Column) -> Column:
+    """Stretches that follow one another in a text as (a, b, text): places and text without the white space around them."""
+    head = lambda x: F.length(x) - F.length(F.trim(x, SPACES, "LEADING"))
+
+    def of(found: Column, upto: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            return let(head(text) + F.coalesce(F.get(upto, i - 1), F.lit(0)) + head(x), lambda a: F.struct(a.cast("int").alias("a"), (a + F.length(strip(x))).cast("int").alias("b"), strip(x).alias("text")))
+
+        return F.transform(found, one)
+
+    return let(cut, lambda found: let(running(F.transform(found, lambda x: F.length(x).cast("long")), F.lit(0).cast("long")), lambda upto: of(found, upto)))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as S
 
 from gleaner.functions import quotes
 from gleaner.functions import sqltext as F
-from gleaner.functions.columns import SPACE, SPACES, count_words, let, running, squeeze, staged, strip
-from gleaner.functions.sentences import ENDS, LEAD_IN, cleaned, segments
+from gleaner.functions.columns import SPACE, count_words, let, running, squeeze, staged, strip
+from gleaner.functions.sentences import ENDS, LEAD_IN, cleaned, placed, segments
 from gleaner.functions.sqltext import Expr as Column
 from gleaner.functions.stream import CLOSE, ROOT
 from gleaner.plans import values as V
@@ -231,18 +231,8 @@ def is_prose(b: Column, text: Column) -> Column:
 
 def spans(tag: Column, text: Column) -> Column:
     """A block's sentences as places (a, b) of its text; a short unit is one sentence."""
-    lead = F.length(text) - F.length(F.trim(text, SPACES, "LEADING"))
     cut = F.when(tag.isin(V.UNIT_TAGS) & (F.length(strip(text)) <= V.UNIT_CHARS), F.array(strip(text))).otherwise(segments(text))
-
-    def placed(found: Column, upto: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            begin = lead + F.coalesce(F.get(upto, i - 1), F.lit(0))
-            a = begin + F.length(x) - F.length(F.trim(x, SPACES, "LEADING"))
-            return F.struct(a.cast("int").alias("a"), (a + F.length(strip(x))).cast("int").alias("b"), strip(x).alias("text"))
-
-        return F.transform(found, one)
-
-    return let(cut, lambda found: let(summed(F.transform(found, lambda x: F.length(x).cast("long"))), lambda upto: F.filter(placed(found, upto), lambda s: ~s["text"].rlike(LEAD_IN))))
+    return F.filter(placed(text, cut), lambda s: ~s["text"].rlike(LEAD_IN))
 
 
 SENTENCES = "array<struct<text: string, wrap_start: int, quote: int>>"

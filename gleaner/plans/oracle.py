@@ -25,11 +25,6 @@ DENIED = listed(V.DENIED_HOSTS)
 HOSTS = f"""hosts AS (SELECT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS h FROM pages UNION ALL
 SELECT unnest({listed(["www.Example.com ", "mail.google.com", "a.github.com", "notgithub.com", "localhost", "printer", "nas.local", "10.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.1.9", "169.254.3.4", "8.8.8.8", "intra.corp", "fd00::1", "router.home.arpa", "127.0.0.1", "x_y.com"])})),
 clean AS (SELECT DISTINCT CASE WHEN starts_with(lower(trim(h)), 'www.') THEN lower(trim(h))[5:] ELSE lower(trim(h)) END AS host FROM hosts)"""
-#: Sentences glued by a quotation: the pairs of neighbours that one covers; runs of them are groups.
-GLUE = f"""{JUDGED}, quotes AS (SELECT page_id, sent_id AS a, sent_id + CAST(floor(keep * 3) AS INT) AS b FROM judged WHERE keep > 0.6),
-pairs AS (SELECT DISTINCT page_id, unnest(range(a, b)) AS i FROM quotes),
-runs AS (SELECT page_id, i, i - dense_rank() OVER (PARTITION BY page_id ORDER BY i) AS run FROM pairs),
-groups AS (SELECT page_id, min(i) AS group_id, max(i) + 1 AS last_id FROM runs GROUP BY page_id, run)"""
 USERS = "e AS (SELECT user_id, event_id, ts, event_type, epoch_us(ts) AS t FROM events)"
 LABELLED = f"l AS (SELECT d.lang, x.quality AS label, {p('d.text')} AS score FROM labels x JOIN documents d USING (doc_id))"
 
@@ -83,10 +78,6 @@ ORACLES = {
     "host_enabled": f"WITH {HOSTS} SELECT host, host <> '' AND (host = 'a.github.com' OR len(list_filter({DENIED}, lambda x: host = x OR ends_with(host, '.' || x))) = 0) AS enabled FROM clean",
     "min_sentences": f"SELECT doc_id AS page_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS BIGINT) AS sentences FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) >= {V.MIN_SENTENCES}",
     "page_sample": "SELECT doc_id AS page_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10))[1:600] AS sample FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) > 0",
-    "quote_islands": f"WITH {GLUE} SELECT page_id, CAST(group_id AS INT) AS group_id, CAST(last_id AS INT) AS last_id FROM groups",
-    "quote_keep": f"""WITH {GLUE}, s AS (SELECT j.page_id, j.sent_id, g.group_id, j.keep >= {V.KEEP_AT} AS own, CAST(floor(j.keep * 1000) AS INT) % 50 = 0 AS pending FROM judged j LEFT JOIN groups g ON j.page_id = g.page_id AND j.sent_id BETWEEN g.group_id AND g.last_id),
-      w AS (SELECT page_id, group_id, bool_or(own) AS own, bool_or(pending) AS pending FROM s WHERE group_id IS NOT NULL GROUP BY page_id, group_id)
-      SELECT s.page_id, s.sent_id, CASE WHEN coalesce(w.pending, s.pending) THEN 'undecided' WHEN coalesce(w.own, s.own) THEN 'kept' ELSE 'faded' END AS state FROM s LEFT JOIN w USING (page_id, group_id)""",
     "balanced_chunks": f"""WITH {LINES}, n AS (SELECT page_id, list(sent_id ORDER BY sent_id) AS ids FROM lines GROUP BY page_id),
       c AS (SELECT page_id, ids, CAST(ceil(len(ids) / {V.PER_REQUEST}.0) AS BIGINT) AS c FROM n),
       k AS (SELECT page_id, ids, c, unnest(range(c)) AS chunk FROM c),

@@ -64,6 +64,22 @@ def document_sentences() -> str:
 SELECT d.doc_id, CAST(s.k AS INT) AS sent_id, trim(s.raw, {CHARS}) AS sentence FROM s JOIN d USING (rn)"""
 
 
+def ties(dropped: str) -> str:
+    """CTEs from ``keyed`` (id, text) and its sentences ``s`` to ``told``, sentences by place, and ``run``, stretches of them that quotations tie.
+
+    Marks are walked one by one with the list of open ones; neighbours that one quotation touches are tied, runs of ties are stretches.
+    """
+    return f"""
+placed AS (SELECT id, k, trim(raw, {CHARS}) AS x, len(regexp_extract(raw, '^[{SPACE}]*')) + coalesce(sum(len(raw)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + any_value(len(regexp_extract(t.text, '^[{SPACE}]*'))) OVER (PARTITION BY id) AS a FROM s JOIN keyed t USING (id)),
+told AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS i, x, a, a + len(x) AS b FROM placed WHERE NOT regexp_matches(x, {q(dropped)})),
+marks AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) AS m, pos, text[pos + 1] AS mark FROM (SELECT id, text, unnest(list_filter(range(len(text)), lambda i: contains('"“”„«»', text[i + 1]))) AS pos FROM keyed)),
+walk AS (SELECT id, 0::BIGINT AS m, []::BIGINT[] AS open, NULL::BIGINT AS a, NULL::BIGINT AS b FROM (SELECT DISTINCT id FROM marks)
+  UNION ALL SELECT w.id, m.m, CASE WHEN m.mark IN ('“', '„', '«') OR m.mark = '"' AND len(w.open) = 0 THEN list_append(w.open, m.pos) ELSE w.open[:-2] END,
+    CASE WHEN (m.mark IN ('”', '»') OR m.mark = '"') AND len(w.open) > 0 THEN w.open[-1] END, CASE WHEN (m.mark IN ('”', '»') OR m.mark = '"') AND len(w.open) > 0 THEN m.pos + 1 END FROM walk w JOIN marks m ON m.id = w.id AND m.m = w.m + 1),
+tie AS (SELECT DISTINCT w.id, t.i FROM walk w JOIN told t ON w.id = t.id AND t.b > w.a AND t.a < w.b JOIN told u ON u.id = t.id AND u.i = t.i + 1 AND u.b > w.a AND u.a < w.b WHERE w.a IS NOT NULL),
+run AS (SELECT id, min(i) AS first, max(i) + 1 AS last FROM (SELECT *, i - row_number() OVER (PARTITION BY id ORDER BY i) AS g FROM tie) GROUP BY id, g)"""
+
+
 def page_rows() -> str:
     """CTEs that end in ``found``: the sentences of pages as these tables have them, by plain definitions on their markup.
 
@@ -88,14 +104,7 @@ boxed AS (SELECT rn, 0 AS place, false AS bold, 'div' AS tag, {bare('box')} AS x
 block AS (SELECT rn, row_number() OVER (PARTITION BY rn ORDER BY place) - 1 AS block_id, bold, tag, regexp_replace({decode}, '^\\n+|\\n+$', '', 'g') AS text FROM (SELECT * FROM own UNION ALL SELECT * FROM boxed)),
 prose AS (SELECT * FROM (SELECT *, {words('text')} AS n, regexp_matches(text, {q(ends)}) AS ended FROM block) WHERE n >= CASE tag WHEN 'div' THEN {V.LAYOUT_WORDS} ELSE {V.MIN_WORDS} END AND NOT regexp_matches(text, {q(caption)}) AND NOT (n <= {V.QUESTION_WORDS} AND regexp_matches(text, {q(question)})) AND (ended OR n > CASE WHEN bold THEN {V.BOLD_HEADING_WORDS} ELSE {V.HEADING_WORDS} END)),
 keyed AS (SELECT rn * 100000 + block_id AS id, text FROM prose),{sentences('keyed', 'id', 's')},
-placed AS (SELECT id, k, trim(raw, {CHARS}) AS x, len(regexp_extract(raw, '^[{SPACE}]*')) + coalesce(sum(len(raw)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + any_value(len(regexp_extract(t.text, '^[{SPACE}]*'))) OVER (PARTITION BY id) AS a FROM s JOIN keyed t USING (id)),
-told AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS i, x, a, a + len(x) AS b FROM placed WHERE NOT regexp_matches(x, {q(rf':{NOTES}[{SPACE}]*$')})),
-marks AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) AS m, pos, text[pos + 1] AS mark FROM (SELECT id, text, unnest(list_filter(range(len(text)), lambda i: contains('"“”„«»', text[i + 1]))) AS pos FROM keyed)),
-walk AS (SELECT id, 0::BIGINT AS m, []::BIGINT[] AS open, NULL::BIGINT AS a, NULL::BIGINT AS b FROM (SELECT DISTINCT id FROM marks)
-  UNION ALL SELECT w.id, m.m, CASE WHEN m.mark IN ('“', '„', '«') OR m.mark = '"' AND len(w.open) = 0 THEN list_append(w.open, m.pos) ELSE w.open[:-2] END,
-    CASE WHEN (m.mark IN ('”', '»') OR m.mark = '"') AND len(w.open) > 0 THEN w.open[-1] END, CASE WHEN (m.mark IN ('”', '»') OR m.mark = '"') AND len(w.open) > 0 THEN m.pos + 1 END FROM walk w JOIN marks m ON m.id = w.id AND m.m = w.m + 1),
-tie AS (SELECT DISTINCT w.id, t.i FROM walk w JOIN told t ON w.id = t.id AND t.b > w.a AND t.a < w.b JOIN told u ON u.id = t.id AND u.i = t.i + 1 AND u.b > w.a AND u.a < w.b WHERE w.a IS NOT NULL),
-run AS (SELECT id, min(i) AS first, max(i) + 1 AS last FROM (SELECT *, i - row_number() OVER (PARTITION BY id ORDER BY i) AS g FROM tie) GROUP BY id, g),
+{ties(rf':{NOTES}[{SPACE}]*$')},
 ids AS (SELECT id, i, x, row_number() OVER (PARTITION BY id // 100000 ORDER BY id, i) - 1 AS sent_id, coalesce(sum(CASE WHEN i = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id // 100000 ORDER BY id, i), 0) AS nth FROM told),
 found AS (SELECT h.page_id, h.rn, CAST(y.sent_id AS INT) AS sent_id, CAST(y.id % 100000 AS INT) AS block_id, trim(regexp_replace(y.x, '[{SPACE}]+', ' ', 'g')) AS text, 0 AS wrap_start, CAST(y.sent_id - y.i + r.first AS INT) AS quote_id
   FROM ids y JOIN html h ON h.rn = y.id // 100000 LEFT JOIN run r ON r.id = y.id AND y.i BETWEEN r.first AND r.last WHERE y.sent_id - y.i < {V.MAX_SENTENCES})"""
@@ -112,6 +121,21 @@ def page_content_hash() -> str:
 SELECT page_id, CASE WHEN coalesce(text, '') = '' THEN 'cbf29ce484222325' ELSE lower(lpad(to_hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, {units}), lambda h, c: {step})), 16, '0')) END AS content_hash FROM joined"""
 
 
+def quoted() -> str:
+    return f"WITH RECURSIVE keyed AS (SELECT row_number() OVER () AS id, conv_id, turn, concat(t[:len(t) // 2], '“', t[len(t) // 2 + 1:], '”') AS text FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)),{sentences('keyed', 'id', 's')},{ties('^$')}"
+
+
+def quote_islands() -> str:
+    return f"{quoted()} SELECT conv_id AS page_id, turn, CAST(first AS INT) AS group_id, CAST(last AS INT) AS last_id FROM run JOIN keyed USING (id)"
+
+
+def quote_keep() -> str:
+    score = "(CAST('0x' || md5(x)[1:4] AS INT) / CAST(65535 AS DOUBLE))"
+    return f"""{quoted()}, own AS (SELECT t.id, t.i, r.first, {score} >= {V.KEEP_AT} AS kept, CAST(floor({score} * 1000) AS INT) % 50 = 0 AS pending FROM told t LEFT JOIN run r ON r.id = t.id AND t.i BETWEEN r.first AND r.last),
+every AS (SELECT id, first, bool_or(kept) AS kept, bool_or(pending) AS pending FROM own WHERE first IS NOT NULL GROUP BY id, first)
+SELECT k.conv_id AS page_id, k.turn, CAST(o.i AS INT) AS sent_id, CASE WHEN coalesce(e.pending, o.pending) THEN 'undecided' WHEN coalesce(e.kept, o.kept) THEN 'kept' ELSE 'faded' END AS state FROM own o JOIN keyed k USING (id) LEFT JOIN every e ON e.id = o.id AND e.first = o.first"""
+
+
 def page_cache() -> str:
     """Requests of the first run: those of the first page of each text that passes the guards; of the second: none."""
     return f"""WITH RECURSIVE {page_rows()}, f AS (SELECT *, {account(Duck())} AS withheld FROM found),
@@ -120,4 +144,4 @@ g AS (SELECT *, n >= {V.MIN_SENTENCES} AND held < {V.STATEMENT_NUMBERS} AS judge
 SELECT page_id, CASE WHEN judged AND row_number() OVER (PARTITION BY judged, text ORDER BY page_id) = 1 THEN CAST(ceil((n - held) / {V.PER_REQUEST}.0) AS BIGINT) ELSE 0 END AS requests, CASE WHEN judged THEN n - held ELSE 0 END AS answered, 0 AS failed, judged AS hit_again, 0 AS requests_again FROM g"""
 
 
-ORACLES = {"page_cache": page_cache(), "document_sentences": document_sentences(), "page_sentences": page_sentences(), "page_content_hash": page_content_hash(), "document_accounts": f"SELECT doc_id FROM documents WHERE {account(Duck())}"}
+ORACLES = {"quote_islands": quote_islands(), "quote_keep": quote_keep(), "page_cache": page_cache(), "document_sentences": document_sentences(), "page_sentences": page_sentences(), "page_content_hash": page_content_hash(), "document_accounts": f"SELECT doc_id FROM documents WHERE {account(Duck())}"}

@@ -179,22 +179,6 @@ def clean_text(d):
     return f"SELECT doc_id, md5(trim({d.replace('text', d.literal(SPACE), ' ')})) AS clean_md5 FROM (SELECT doc_id, text FROM documents UNION ALL {extra}) x"
 
 
-def quote_intervals(d) -> str:
-    """Sentences that a quotation touches: here each stub score tells how many sentences a quotation runs on."""
-    return f"SELECT page_id, sent_id AS first_id, sent_id + CAST(floor(keep * 3) AS INT) AS last_id FROM ({judged(d)}) j WHERE keep > 0.6"
-
-
-def quote_groups(d) -> str:
-    before = "max(last_id) OVER (PARTITION BY page_id ORDER BY first_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    marked = f"SELECT *, CASE WHEN {before} >= first_id THEN 0 ELSE 1 END AS opens FROM ({quote_intervals(d)}) q"
-    numbered = f"SELECT *, sum(opens) OVER (PARTITION BY page_id ORDER BY first_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM ({marked}) m"
-    return f"SELECT page_id, min(first_id) AS group_id, max(last_id) AS last_id FROM ({numbered}) n GROUP BY page_id, g HAVING max(last_id) > min(first_id)"
-
-
-def quote_islands(d):
-    return quote_groups(d)
-
-
 def page_cap(d):
     blocks = f"SELECT page_id, sent_id AS block_id, {d.size(d.found('text', '[.!?]'))} AS n FROM ({d.lines()}) s"
     firsts = f"SELECT *, coalesce(sum(n) OVER (PARTITION BY page_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_id FROM ({blocks}) b"
@@ -374,20 +358,6 @@ def mark_keep(d):
     return f"SELECT j.page_id, j.sent_id, j.keep < {V.KEEP_AT} AND o.term_order IS NULL AS faded, o.term_order FROM ({judged(d)}) j LEFT JOIN ({owner}) o ON j.page_id = o.page_id AND j.sent_id = o.sent_id"
 
 
-def quote_members(d) -> str:
-    if d.name == "spark":
-        ids = "explode(sequence(group_id, last_id)) AS sent_id"
-    else:
-        ids = "unnest(range(group_id, last_id + 1)) AS sent_id"
-    return f"SELECT page_id, group_id, {ids} FROM ({quote_groups(d)}) g"
-
-
-def quote_keep(d):
-    state = f"SELECT j.page_id, j.sent_id, coalesce(m.group_id, -1 - j.sent_id) AS group_id, j.keep >= {V.KEEP_AT} AS own, CAST(floor(j.keep * 1000) AS INT) % 50 = 0 AS pending FROM ({judged(d)}) j LEFT JOIN ({quote_members(d)}) m ON j.page_id = m.page_id AND j.sent_id = m.sent_id"
-    win = "OVER (PARTITION BY page_id, group_id)"
-    return f"SELECT page_id, sent_id, CASE WHEN {d.any_('pending')} {win} THEN 'undecided' WHEN {d.any_('own')} {win} THEN 'kept' ELSE 'faded' END AS state FROM ({state}) s"
-
-
 def pin_override(d):
     pins = f"SELECT page_id, sent_id FROM ({judged(d)}) p WHERE sent_id % 5 = 0"
     return f"SELECT j.page_id, j.sent_id, j.keep >= {V.KEEP_AT} OR p.page_id IS NOT NULL AS kept, p.page_id IS NOT NULL AS pinned FROM ({judged(d)}) j LEFT JOIN ({pins}) p ON j.page_id = p.page_id AND j.sent_id = p.sent_id"
@@ -616,4 +586,4 @@ def normalize_colour(d):
     return f"SELECT c, CASE WHEN {d.matches('c', '^#[0-9a-fA-F]{6}$')} THEN lower(c) WHEN {d.matches('c', '^#[0-9a-fA-F]{3}$')} THEN lower({d.replace('c', '^#(.)(.)(.)$', '#$1$1$2$2$3$3')}) ELSE '#ffe066' END AS colour FROM (VALUES ('#abc'), ('#A1B2C3'), ('red'), ('#12345')) AS x(c)"
 
 
-PLANS = {f.__name__: f for f in (page_scan, page_meta, host_normalize, host_deny, host_enabled, host_parse, private_host, private_path, privacy_level, min_sentences, account_numbers, statement_pages, lead_in_filter, word_count, clean_text, quote_islands, page_cap, page_sample, pack_score, pack_route, balanced_chunks, rule_chunk_size, request_bodies, rule_questions, parse_answers, parse_rule_answers, highlight_cap, content_words, word_batches, pick_words, pick_clauses, stated_override, stitch_spans, span_align, threshold_counts, rule_keep, mark_keep, quote_keep, pin_override, page_counts, badge, rule_hits, mark_hits, judgment_upsert, cache_lookup, lru_keep, lru_stack_distance, versioned_merge, missing_rules, cache_admission, unit_memo, usage_stats, usage_cost, normalize_rule, distinct_first_spelling, validate_settings, threshold_migration, auc, auc_by_group, threshold_sweep, score_profile, score_rollup, repeat_stability, variant_drift, variant_flips, context_window, state_variants, review_buckets, debounce_sessions, rate_limited_batches, latest_state, reason_word, error_relay, normalize_colour)}
+PLANS = {f.__name__: f for f in (page_scan, page_meta, host_normalize, host_deny, host_enabled, host_parse, private_host, private_path, privacy_level, min_sentences, account_numbers, statement_pages, lead_in_filter, word_count, clean_text, page_cap, page_sample, pack_score, pack_route, balanced_chunks, rule_chunk_size, request_bodies, rule_questions, parse_answers, parse_rule_answers, highlight_cap, content_words, word_batches, pick_words, pick_clauses, stated_override, stitch_spans, span_align, threshold_counts, rule_keep, mark_keep, pin_override, page_counts, badge, rule_hits, mark_hits, judgment_upsert, cache_lookup, lru_keep, lru_stack_distance, versioned_merge, missing_rules, cache_admission, unit_memo, usage_stats, usage_cost, normalize_rule, distinct_first_spelling, validate_settings, threshold_migration, auc, auc_by_group, threshold_sweep, score_profile, score_rollup, repeat_stability, variant_drift, variant_flips, context_window, state_variants, review_buckets, debounce_sessions, rate_limited_batches, latest_state, reason_word, error_relay, normalize_colour)}
