@@ -24,9 +24,9 @@ def planned(name: str):
 
 
 def queries() -> dict:
-    from gleaner.operators import pipeline, quotations
+    from gleaner.operators import pipeline, quotations, stitching
 
-    return {name: planned(name) for name in sql.PLANS} | pipeline.QUERIES | quotations.QUERIES
+    return {name: planned(name) for name in sql.PLANS} | pipeline.QUERIES | quotations.QUERIES | stitching.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

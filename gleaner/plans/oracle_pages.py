@@ -136,6 +136,22 @@ every AS (SELECT id, first, bool_or(kept) AS kept, bool_or(pending) AS pending F
 SELECT k.conv_id AS page_id, k.turn, CAST(o.i AS INT) AS sent_id, CASE WHEN coalesce(e.pending, o.pending) THEN 'undecided' WHEN coalesce(e.kept, o.kept) THEN 'kept' ELSE 'faded' END AS state FROM own o JOIN keyed k USING (id) LEFT JOIN every e ON e.id = o.id AND e.first = o.first"""
 
 
+def stitch_spans() -> str:
+    """Words by rows; two marks are one stretch if they are neighbours among the asked words and little, without punctuation, is between them."""
+    stop = "(" + ", ".join(map(q, V.STOP_WORDS)) + ")"
+    score = "(CAST('0x' || md5(concat(word, '/', i))[1:4] AS INT) / CAST(65535 AS DOUBLE))"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rn, doc_id, text FROM documents),{sentences('d', 'rn')},
+t AS (SELECT rn, k, trim(raw, {CHARS}) AS text FROM s),
+w AS (SELECT rn, k, text, unnest(range(len(l))) AS n, unnest(l) AS raw, unnest(p) AS piece FROM (SELECT *, regexp_extract_all(text, {q(V.ASKED_WORD)}) AS l, regexp_extract_all(text, {q('(?s).*?(?:' + V.ASKED_WORD + ')')}) AS p FROM t)),
+a AS (SELECT rn, k, text, n, rtrim(raw, {q(".,'’-")}) AS word, CAST(sum(len(piece)) OVER (PARTITION BY rn, k ORDER BY n) - len(raw) AS INT) AS a FROM w),
+i AS (SELECT rn, k, text, word, a, a + len(word) AS b, row_number() OVER (PARTITION BY rn, k ORDER BY n) - 1 AS i FROM a WHERE (len(word) > 1 OR regexp_matches(word, '^\\p{{N}}$')) AND lower(word) NOT IN {stop}),
+p AS (SELECT *, {score} AS p FROM i),
+c AS (SELECT * FROM (SELECT *, max(p) OVER (PARTITION BY rn, k, i // {V.WORDS_PER_REQUEST}) AS best FROM p) WHERE p >= {V.MARK_AT} OR p >= {V.MARK_FLOOR} AND p >= {V.STANDOUT} * best),
+o AS (SELECT *, CASE WHEN i - lag(i) OVER e = 1 AND a - lag(b) OVER e <= {V.STITCH_GAP} AND NOT regexp_matches(text[lag(b) OVER e + 1:a], {q(V.STITCH_BREAK)}) THEN 0 ELSE 1 END AS opens FROM c WINDOW e AS (PARTITION BY rn, k ORDER BY i)),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY rn, k ORDER BY i) - 1 AS g FROM o)
+SELECT any_value(doc_id) AS page_id, CAST(k AS INT) AS sent_id, CAST(g AS INT) AS span_no, min(a) AS start, max(b) AS "end" FROM g JOIN d USING (rn) GROUP BY rn, k, g"""
+
+
 def page_cache() -> str:
     """Requests of the first run: those of the first page of each text that passes the guards; of the second: none."""
     return f"""WITH RECURSIVE {page_rows()}, f AS (SELECT *, {account(Duck())} AS withheld FROM found),
@@ -144,4 +160,4 @@ g AS (SELECT *, n >= {V.MIN_SENTENCES} AND held < {V.STATEMENT_NUMBERS} AS judge
 SELECT page_id, CASE WHEN judged AND row_number() OVER (PARTITION BY judged, text ORDER BY page_id) = 1 THEN CAST(ceil((n - held) / {V.PER_REQUEST}.0) AS BIGINT) ELSE 0 END AS requests, CASE WHEN judged THEN n - held ELSE 0 END AS answered, 0 AS failed, judged AS hit_again, 0 AS requests_again FROM g"""
 
 
-ORACLES = {"quote_islands": quote_islands(), "quote_keep": quote_keep(), "page_cache": page_cache(), "document_sentences": document_sentences(), "page_sentences": page_sentences(), "page_content_hash": page_content_hash(), "document_accounts": f"SELECT doc_id FROM documents WHERE {account(Duck())}"}
+ORACLES = {"stitch_spans": stitch_spans(), "quote_islands": quote_islands(), "quote_keep": quote_keep(), "page_cache": page_cache(), "document_sentences": document_sentences(), "page_sentences": page_sentences(), "page_content_hash": page_content_hash(), "document_accounts": f"SELECT doc_id FROM documents WHERE {account(Duck())}"}

@@ -330,12 +330,6 @@ def stated_override(d):
     return f"SELECT s.page_id, s.sent_id, CASE WHEN s.stated >= {V.STATED_AT} THEN 'clauses' ELSE 'words' END AS marks, CASE WHEN s.stated >= {V.STATED_AT} THEN 0 ELSE coalesce(m.n, 0) END AS words FROM ({stated}) s LEFT JOIN ({marks}) m ON s.page_id = m.page_id AND s.sent_id = m.sent_id"
 
 
-def stitch_spans(d):
-    """Marked words become one stretch unless an asked word that was refused stands between (word numbers are of asked words)."""
-    island = f"SELECT *, word_no - row_number() OVER (PARTITION BY page_id, sent_id ORDER BY word_no) AS island FROM ({best_words(d)}) w"
-    return f"SELECT page_id, sent_id, min(word_no) AS first_word, max(word_no) AS last_word, count(*) AS words FROM ({island}) i GROUP BY page_id, sent_id, island"
-
-
 def span_align(d):
     at = d.locate("wrapped", "text")
     return f"SELECT page_id, sent_id, CAST(greatest(0, 3 - ({at} - 1)) AS INT) AS span_start, CAST(greatest(0, least(length(wrapped), 12 - ({at} - 1))) AS INT) AS span_end FROM (SELECT page_id, sent_id, text, trim(substr(text, 3)) AS wrapped FROM ({d.lines()}) s) w WHERE wrapped <> ''"
@@ -586,4 +580,4 @@ def normalize_colour(d):
     return f"SELECT c, CASE WHEN {d.matches('c', '^#[0-9a-fA-F]{6}$')} THEN lower(c) WHEN {d.matches('c', '^#[0-9a-fA-F]{3}$')} THEN lower({d.replace('c', '^#(.)(.)(.)$', '#$1$1$2$2$3$3')}) ELSE '#ffe066' END AS colour FROM (VALUES ('#abc'), ('#A1B2C3'), ('red'), ('#12345')) AS x(c)"
 
 
-PLANS = {f.__name__: f for f in (page_scan, page_meta, host_normalize, host_deny, host_enabled, host_parse, private_host, private_path, privacy_level, min_sentences, account_numbers, statement_pages, lead_in_filter, word_count, clean_text, page_cap, page_sample, pack_score, pack_route, balanced_chunks, rule_chunk_size, request_bodies, rule_questions, parse_answers, parse_rule_answers, highlight_cap, content_words, word_batches, pick_words, pick_clauses, stated_override, stitch_spans, span_align, threshold_counts, rule_keep, mark_keep, pin_override, page_counts, badge, rule_hits, mark_hits, judgment_upsert, cache_lookup, lru_keep, lru_stack_distance, versioned_merge, missing_rules, cache_admission, unit_memo, usage_stats, usage_cost, normalize_rule, distinct_first_spelling, validate_settings, threshold_migration, auc, auc_by_group, threshold_sweep, score_profile, score_rollup, repeat_stability, variant_drift, variant_flips, context_window, state_variants, review_buckets, debounce_sessions, rate_limited_batches, latest_state, reason_word, error_relay, normalize_colour)}
+PLANS = {f.__name__: f for f in (page_scan, page_meta, host_normalize, host_deny, host_enabled, host_parse, private_host, private_path, privacy_level, min_sentences, account_numbers, statement_pages, lead_in_filter, word_count, clean_text, page_cap, page_sample, pack_score, pack_route, balanced_chunks, rule_chunk_size, request_bodies, rule_questions, parse_answers, parse_rule_answers, highlight_cap, content_words, word_batches, pick_words, pick_clauses, stated_override, span_align, threshold_counts, rule_keep, mark_keep, pin_override, page_counts, badge, rule_hits, mark_hits, judgment_upsert, cache_lookup, lru_keep, lru_stack_distance, versioned_merge, missing_rules, cache_admission, unit_memo, usage_stats, usage_cost, normalize_rule, distinct_first_spelling, validate_settings, threshold_migration, auc, auc_by_group, threshold_sweep, score_profile, score_rollup, repeat_stability, variant_drift, variant_flips, context_window, state_variants, review_buckets, debounce_sessions, rate_limited_batches, latest_state, reason_word, error_relay, normalize_colour)}

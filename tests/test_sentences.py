@@ -83,3 +83,19 @@ def test_pages_equal_python(spark):
         want = [(*s, T.carries_account_number(s[2])) for s in H.page_sentences(H.Page(pages[r.page_id] or ""))]
         assert [tuple(s) for s in r.sentences] == want
     assert len(got) == len(pages)
+
+
+def test_stitching_equals_python(spark):
+    from pyspark.sql import functions as S
+
+    from gleaner.operators.stitching import asked_words, stitched
+
+    rng = random.Random(3)
+    words = ["the", "rise", "of", "mortgages,", "$5", "and", "7", "higher", "spending.", "(said)", "a", "d’accord", "12%", "—", "bank's", "x", "a long gap of little words in it", "«"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 25))) for _ in range(200)]
+    asked = [T.asked_words(t) for t in texts]
+    marks = [sorted(rng.sample([(a, b) for a, b, _ in x] + [(max(0, a - 3), b + 4) for a, b, _ in x], len(x))) for x in asked]
+    df = spark.createDataFrame(list(zip(range(200), texts, marks, strict=True)), "i long, text string, marks array<struct<a: int, b: int>>")
+    rows = df.select("i", asked_words(X.col("text")).column().alias("asked"), "text", "marks").select("i", "asked", stitched(X.col("text"), X.col("marks"), X.col("asked")).column().alias("s")).orderBy(S.col("i")).collect()
+    assert [[tuple(w) for w in r.asked] for r in rows] == asked
+    assert [[tuple(s) for s in r.s] for r in rows] == [T.stitch(t, m, w) for t, m, w in zip(texts, marks, asked, strict=True)]
