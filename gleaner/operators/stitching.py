@@ -16,13 +16,17 @@ from gleaner.sources.pages import spread
 EDGE = ".,'’-"
 
 
+def worth_asking(word: Expr) -> Expr:
+    return ((F.length(word) > 1) | word.rlike(r"^\p{N}$")) & ~F.lower(word).isin(V.STOP_WORDS)
+
+
 def asked_words(text: Expr) -> Expr:
     """The words of a text that are worth asking about, as (a, b, word): places and the word without what trails it."""
     words, upto = F.regexp_extract_all(text, V.ASKED_WORD, 0), F.regexp_extract_all(text, rf"[\s\S]*?(?:{V.ASKED_WORD})", 0)
 
     def of(found: Expr, ends: Expr) -> Expr:
         one = lambda w, i: let(F.get(ends, i) - F.length(w), lambda a: let(F.trim(w, EDGE, "TRAILING"), lambda bare: F.struct(a.cast("int").alias("a"), (a + F.length(bare)).cast("int").alias("b"), bare.alias("word"))))
-        return F.filter(F.transform(found, one), lambda w: ((F.length(w["word"]) > 1) | w["word"].rlike(r"^\p{N}$")) & ~F.lower(w["word"]).isin(V.STOP_WORDS))
+        return F.filter(F.transform(found, one), lambda w: worth_asking(w["word"]))
 
     return let(words, lambda found: let(running(F.transform(upto, lambda x: F.length(x).cast("long")), F.lit(0).cast("long")), lambda ends: of(found, ends)))
 
@@ -63,4 +67,15 @@ def q_stitch_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked(found).select("page_id", "sent_id", S.posexplode("stretches").alias("span_no", "s")).select("page_id", "sent_id", "span_no", "s.start", "s.end")
 
 
-QUERIES = {"stitch_spans": q_stitch_spans}
+def q_pick_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per line of a document how many of its asked words stand out, and the first and last of them."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(S.col("doc_id").alias("page_id"), "text"))
+    lines = docs.select("page_id", S.posexplode(S.split("text", "\n")).alias("sent_id", "text")).where("text <> ''")
+    bare = F.transform(F.regexp_extract_all(F.col("text"), V.ASKED_WORD, 0), lambda w: F.trim(w, EDGE, "TRAILING"))
+    scores = F.transform(F.filter(bare, worth_asking), lambda w, i: stub(F.concat(w, i.cast("string"), F.col("page_id").cast("string"))))
+    places = lambda chosen: F.filter(F.transform(chosen, lambda on, i: F.when(on, i.cast("bigint"))), lambda i: i.isNotNull())
+    found = staged(lines, marks=let(scores, lambda p: let(standing_out(p), places))).where("size(marks) > 0")
+    return found.select("page_id", "sent_id", S.size("marks").cast("long").alias("marked"), S.get("marks", S.lit(0)).alias("first_word"), S.element_at("marks", -1).alias("last_word"))
+
+
+QUERIES = {"pick_words": q_pick_words, "stitch_spans": q_stitch_spans}
