@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import html as H
 from gleaner.functions import sqltext as X
+from gleaner.functions.columns import running, staged
 from gleaner.functions.hashes import fnv1a
 from gleaner.functions.sentences import split
 from gleaner.operators import cached, guards, highlights
@@ -227,6 +228,17 @@ def q_document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(split(X.col("text")).column()).alias("sent_id", "sentence"))
 
 
+def q_page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages whose lines are blocks: how many blocks and sentences stay under the cap, which falls between blocks."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("page_id"), "text"))
+    lines = X.filter(X.call("split", X.col("text"), "\n"), lambda x: x != "")
+    df = staged(docs, sizes=X.transform(lines, lambda x: X.size(split(x)).cast("bigint"))).drop("text").where("size(sizes) > 0")
+    df = staged(df, upto=running(X.col("sizes"), X.lit(0).cast("bigint")))
+    kept = X.filter(X.sequence(0, X.size(X.col("sizes")) - 1), lambda i: X.coalesce(X.get(X.col("upto"), i - 1), 0) < V.MAX_SENTENCES)
+    df = staged(df, blocks=X.size(kept).cast("bigint"))
+    return df.select("page_id", "blocks", F.get("upto", (F.col("blocks") - 1).cast("int")).alias("sentences"))
+
+
 def q_document_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where(F.col("text").rlike("[0-9]"))
     return docs.where(account(Spark())).select("doc_id")
@@ -259,6 +271,7 @@ QUERIES = {
     "judge_rules": q_judge_rules,
     "judge_highlights": q_judge_highlights,
     "page_cache": q_page_cache,
+    "page_cap": q_page_cap,
     "page_content_hash": q_page_content_hash,
     "content_hash": q_content_hash,
     "document_sentences": q_document_sentences,

@@ -152,6 +152,14 @@ g AS (SELECT *, sum(opens) OVER (PARTITION BY rn, k ORDER BY i) - 1 AS g FROM o)
 SELECT any_value(doc_id) AS page_id, CAST(k AS INT) AS sent_id, CAST(g AS INT) AS span_no, min(a) AS start, max(b) AS "end" FROM g JOIN d USING (rn) GROUP BY rn, k, g"""
 
 
+def page_cap() -> str:
+    return f"""WITH d AS (SELECT row_number() OVER () AS rn, doc_id, string_split(text, chr(10)) AS l FROM documents),
+b AS (SELECT * FROM (SELECT rn, doc_id, unnest(range(len(l))) AS place, unnest(l) AS text FROM d) WHERE text <> ''), keyed AS (SELECT rn * 1000000 + place AS id, text FROM b),{sentences('keyed', 'id', 's')},
+n AS (SELECT b.rn, b.doc_id, b.place, count(s.id) AS n FROM b LEFT JOIN s ON s.id = b.rn * 1000000 + b.place GROUP BY b.rn, b.doc_id, b.place),
+f AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rn ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_id FROM n)
+SELECT doc_id AS page_id, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS sentences FROM f WHERE first_id < {V.MAX_SENTENCES} GROUP BY rn, doc_id"""
+
+
 def page_cache() -> str:
     """Requests of the first run: those of the first page of each text that passes the guards; of the second: none."""
     return f"""WITH RECURSIVE {page_rows()}, f AS (SELECT *, {account(Duck())} AS withheld FROM found),
@@ -160,4 +168,4 @@ g AS (SELECT *, n >= {V.MIN_SENTENCES} AND held < {V.STATEMENT_NUMBERS} AS judge
 SELECT page_id, CASE WHEN judged AND row_number() OVER (PARTITION BY judged, text ORDER BY page_id) = 1 THEN CAST(ceil((n - held) / {V.PER_REQUEST}.0) AS BIGINT) ELSE 0 END AS requests, CASE WHEN judged THEN n - held ELSE 0 END AS answered, 0 AS failed, judged AS hit_again, 0 AS requests_again FROM g"""
 
 
-ORACLES = {"stitch_spans": stitch_spans(), "quote_islands": quote_islands(), "quote_keep": quote_keep(), "page_cache": page_cache(), "document_sentences": document_sentences(), "page_sentences": page_sentences(), "page_content_hash": page_content_hash(), "document_accounts": f"SELECT doc_id FROM documents WHERE {account(Duck())}"}
+ORACLES = {"page_cap": page_cap(), "stitch_spans": stitch_spans(), "quote_islands": quote_islands(), "quote_keep": quote_keep(), "page_cache": page_cache(), "document_sentences": document_sentences(), "page_sentences": page_sentences(), "page_content_hash": page_content_hash(), "document_accounts": f"SELECT doc_id FROM documents WHERE {account(Duck())}"}

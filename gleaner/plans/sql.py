@@ -179,12 +179,6 @@ def clean_text(d):
     return f"SELECT doc_id, md5(trim({d.replace('text', d.literal(SPACE), ' ')})) AS clean_md5 FROM (SELECT doc_id, text FROM documents UNION ALL {extra}) x"
 
 
-def page_cap(d):
-    blocks = f"SELECT page_id, sent_id AS block_id, {d.size(d.found('text', '[.!?]'))} AS n FROM ({d.lines()}) s"
-    firsts = f"SELECT *, coalesce(sum(n) OVER (PARTITION BY page_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_id FROM ({blocks}) b"
-    return f"SELECT page_id, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS sentences FROM ({firsts}) f WHERE first_id < {V.MAX_SENTENCES} GROUP BY page_id"
-
-
 def page_sample(d):
     return f"SELECT page_id, substr({d.joined('text', chr(92) + 'n', 'sent_id')}, 1, 600) AS sample FROM ({d.lines()}) s GROUP BY page_id"
 
@@ -461,12 +455,19 @@ def labelled(d) -> str:
     return f"SELECT l.doc_id, d.lang, l.quality AS label, {d.p('d.text')} AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
 
 
+#: Ranges of scores that are ranked apart.
+SCORE_CELLS = 1024
+
+
 def auc_of(d, group: str) -> str:
-    part, by, out = (f"PARTITION BY {group}", f"{group}, ", f"{group}, ") if group else ("", "", "")
-    keep = f"{group}, " if group else ""
-    ties = f"SELECT {keep}score, count(*) AS n, count(CASE WHEN label = 1 THEN 1 END) AS pos FROM ({labelled(d)}) l GROUP BY {by}score"
-    below = f"SELECT *, n - pos AS neg, coalesce(sum(n - pos) OVER ({part} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM ({ties}) t"
-    return f"SELECT {out}round(CAST(sum(pos * (neg_below + neg * 0.5)) AS DOUBLE) / nullif(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0), 9) AS auc FROM ({below}) b" + (f" GROUP BY {group}" if group else "")
+    """Wins of positives over negatives: equal scores are one row, ranks are taken inside a range of scores, and the ranges, at most 1025 a group, are summed up apart."""
+    own = group or "CAST(0 AS INT)"
+    ties = f"SELECT own, cell, score, count(*) AS n, count(CASE WHEN label = 1 THEN 1 END) AS pos FROM (SELECT {own} AS own, CAST(floor(score * {SCORE_CELLS}) AS INT) AS cell, score, label FROM ({labelled(d)}) l) c GROUP BY own, cell, score"
+    inside = f"SELECT own, cell, pos, n - pos AS neg, coalesce(sum(n - pos) OVER (PARTITION BY own, cell ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ({ties}) t"
+    cells = f"SELECT own, cell, sum(pos) AS pos, sum(neg) AS neg, sum(pos * (below + neg * 0.5)) AS wins FROM ({inside}) i GROUP BY own, cell"
+    under = f"SELECT own, pos, neg, wins + pos * coalesce(sum(neg) OVER (PARTITION BY own ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wins FROM ({cells}) c"
+    out = f"own AS {group}, " if group else ""
+    return f"SELECT {out}round(CAST(sum(wins) AS DOUBLE) / nullif(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0), 9) AS auc FROM ({under}) b" + (" GROUP BY own" if group else "")
 
 
 def auc(d):
@@ -537,9 +538,10 @@ def state_variants(d):
 
 
 def review_buckets(d):
+    """The first few of each bucket; the bound on the place lets every task keep no more of a bucket than that before the shuffle."""
     soft = f"SELECT page_id, sent_id, keep, kind FROM ({parse_answers(d)}) a WHERE NOT failed"
     named = f"SELECT *, CASE WHEN keep < {V.KEEP_AT} THEN 'faded' WHEN kind IN ('story', 'opinion', 'promo') THEN 'soft' WHEN keep < 0.75 THEN 'borderline' ELSE 'kept' END AS bucket FROM ({soft}) s"
-    return f"SELECT bucket, page_id, sent_id, keep FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY keep, page_id, sent_id) AS r FROM ({named}) n) x WHERE (bucket = 'faded' AND r <= 45) OR (bucket IN ('soft', 'borderline') AND r <= 25)"
+    return f"SELECT bucket, page_id, sent_id, keep FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY keep, page_id, sent_id) AS r FROM ({named}) n) x WHERE r <= 45 AND (bucket = 'faded' OR bucket IN ('soft', 'borderline') AND r <= 25)"
 
 
 def debounce_sessions(d):
@@ -580,4 +582,4 @@ def normalize_colour(d):
     return f"SELECT c, CASE WHEN {d.matches('c', '^#[0-9a-fA-F]{6}$')} THEN lower(c) WHEN {d.matches('c', '^#[0-9a-fA-F]{3}$')} THEN lower({d.replace('c', '^#(.)(.)(.)$', '#$1$1$2$2$3$3')}) ELSE '#ffe066' END AS colour FROM (VALUES ('#abc'), ('#A1B2C3'), ('red'), ('#12345')) AS x(c)"
 
 
-PLANS = {f.__name__: f for f in (page_scan, page_meta, host_normalize, host_deny, host_enabled, host_parse, private_host, private_path, privacy_level, min_sentences, account_numbers, statement_pages, lead_in_filter, word_count, clean_text, page_cap, page_sample, pack_score, pack_route, balanced_chunks, rule_chunk_size, request_bodies, rule_questions, parse_answers, parse_rule_answers, highlight_cap, content_words, word_batches, pick_words, pick_clauses, stated_override, span_align, threshold_counts, rule_keep, mark_keep, pin_override, page_counts, badge, rule_hits, mark_hits, judgment_upsert, cache_lookup, lru_keep, lru_stack_distance, versioned_merge, missing_rules, cache_admission, unit_memo, usage_stats, usage_cost, normalize_rule, distinct_first_spelling, validate_settings, threshold_migration, auc, auc_by_group, threshold_sweep, score_profile, score_rollup, repeat_stability, variant_drift, variant_flips, context_window, state_variants, review_buckets, debounce_sessions, rate_limited_batches, latest_state, reason_word, error_relay, normalize_colour)}
+PLANS = {f.__name__: f for f in (page_scan, page_meta, host_normalize, host_deny, host_enabled, host_parse, private_host, private_path, privacy_level, min_sentences, account_numbers, statement_pages, lead_in_filter, word_count, clean_text, page_sample, pack_score, pack_route, balanced_chunks, rule_chunk_size, request_bodies, rule_questions, parse_answers, parse_rule_answers, highlight_cap, content_words, word_batches, pick_words, pick_clauses, stated_override, span_align, threshold_counts, rule_keep, mark_keep, pin_override, page_counts, badge, rule_hits, mark_hits, judgment_upsert, cache_lookup, lru_keep, lru_stack_distance, versioned_merge, missing_rules, cache_admission, unit_memo, usage_stats, usage_cost, normalize_rule, distinct_first_spelling, validate_settings, threshold_migration, auc, auc_by_group, threshold_sweep, score_profile, score_rollup, repeat_stability, variant_drift, variant_flips, context_window, state_variants, review_buckets, debounce_sessions, rate_limited_batches, latest_state, reason_word, error_relay, normalize_colour)}
