@@ -16,7 +16,8 @@ import math
 import random
 import time
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
+from threading import Thread
 from typing import Protocol
 
 import pyarrow as pa
@@ -72,7 +73,7 @@ class Refused(Exception):
 
 
 class HttpJudge:
-    """``send(body, timeout)`` gives (status, text). Transient errors are retried with growing pauses; what remains is that request's error.
+    """``send(body, timeout)`` gives (status, text). A deadline runs beside each call. Transient errors are retried with growing pauses; what remains is that request's error.
 
     A refused key ends everything: requests that have not begun are not sent.
     """
@@ -80,10 +81,23 @@ class HttpJudge:
     def __init__(self, send: Callable[[dict, float], tuple[int, str]], retries: int = 3, pause: float = 0.4, timeout: float = 20.0, sleep: Callable[[float], None] = time.sleep, concurrent: int = CONCURRENT):
         self.send, self.retries, self.pause, self.timeout, self.sleep, self.concurrent = send, retries, pause, timeout, sleep, concurrent
 
+    def raced(self, body: dict) -> tuple[int, str]:
+        """What ``send`` gives, or a TimeoutError when the time is over, whatever ``send`` makes of the limit that it is told."""
+        reply: Future = Future()
+
+        def run() -> None:
+            try:
+                reply.set_result(self.send(body, self.timeout))
+            except BaseException as e:
+                reply.set_exception(e)
+
+        Thread(target=run, daemon=True).start()
+        return reply.result(self.timeout)
+
     def attempt(self, body: dict) -> tuple[dict | None, str | None, bool]:
         """(reply, error, whether another attempt may help)."""
         try:
-            status, text = self.send(body, self.timeout)
+            status, text = self.raced(body)
         except OSError as e:
             return None, "timeout" if isinstance(e, TimeoutError) else "network", True
         if status == 401:

@@ -113,6 +113,24 @@ def test_http_judge():
     assert HttpJudge(lambda body, timeout: (200, '{"answers": {}}')).healthcheck() == (True, None)
 
 
+def test_a_call_that_never_returns_is_a_timeout():
+    import threading
+    import time
+
+    stuck, calls = threading.Event(), []
+
+    def hangs(body, timeout):
+        calls.append(timeout)
+        stuck.wait(30)
+        return 200, "{}"
+
+    began = time.time()
+    request = {"request_id": "r", "state": "s", "questions": [{"key": "k", "type": "noul", "text": "t", "options": None}]}
+    assert HttpJudge(hangs, timeout=0.05, retries=2, sleep=lambda s: None).reply([request])[0]["error"] == "timeout"
+    assert calls == [0.05] * 3 and time.time() - began < 10
+    stuck.set()
+
+
 def test_settings():
     from gleaner.operators.settings import Hosts, distinct_rules, find_rule
 
