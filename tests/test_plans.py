@@ -80,3 +80,21 @@ def test_guards_and_routing(spark):
     assert len(rules) == 24 and set(rules.rule) == {"a", "b"}
     silent = judge_rules(guarded(docs.where("page_id = 1")), ["a"], Broken()).toPandas()
     assert len(silent) == 12 and silent.rule.isna().all()
+
+
+def on_events(spark, name, rows):
+    """The rows of a plan over a few events, by its first column."""
+    from gleaner.plans import sql
+    from gleaner.plans.dialect import Spark
+
+    assert any("events.parquet" in f for f in catalog.queries()[name](spark, SMALL).inputFiles())
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").createOrReplaceTempView("events")
+    return {r[0]: tuple(r[1:]) for r in spark.sql(sql.PLANS[name](Spark())).collect()}
+
+
+def test_normalize_colour_reads_events(spark):
+    kinds = ["view", "click", "error", "purchase", "red", "#abc", "#A1B2C3", "#12345", None]
+    got = on_events(spark, "normalize_colour", [(i, None, 1, kind, None, None) for i, kind in enumerate(kinds)])
+    # md5 of 0, 1 and 2 begins with cfcd20, c4ca42 and c81e72
+    assert got[0] == ("#cfc", "#ccffcc") and got[1] == ("#C4CA42", "#c4ca42") and got[2] == ("#c81e72", "#c81e72") and got[3][1] == "#ffe066"
+    assert [got[i][1] for i in range(4, 9)] == ["#ffe066", "#aabbcc", "#a1b2c3", "#ffe066", "#ffe066"]
