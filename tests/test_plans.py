@@ -98,3 +98,11 @@ def test_normalize_colour_reads_events(spark):
     # md5 of 0, 1 and 2 begins with cfcd20, c4ca42 and c81e72
     assert got[0] == ("#cfc", "#ccffcc") and got[1] == ("#C4CA42", "#c4ca42") and got[2] == ("#c81e72", "#c81e72") and got[3][1] == "#ffe066"
     assert [got[i][1] for i in range(4, 9)] == ["#ffe066", "#aabbcc", "#a1b2c3", "#ffe066", "#ffe066"]
+
+
+def test_rule_chunk_size_reads_events(spark):
+    from datetime import datetime
+
+    sizes = {1: 30, 2: 30, 3: 20, 5: 12, 8: 7, 70: 1}
+    got = on_events(spark, "rule_chunk_size", [(i, datetime(1970, 1, 2, 23, 59), n, "view", None, None) for n in sizes for i in range(n)])
+    assert got == {n: (1, n, size) for n, size in sizes.items()}
