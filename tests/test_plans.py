@@ -106,3 +106,9 @@ def test_rule_chunk_size_reads_events(spark):
     sizes = {1: 30, 2: 30, 3: 20, 5: 12, 8: 7, 70: 1}
     got = on_events(spark, "rule_chunk_size", [(i, datetime(1970, 1, 2, 23, 59), n, "view", None, None) for n in sizes for i in range(n)])
     assert got == {n: (1, n, size) for n, size in sizes.items()}
+
+
+def test_threshold_migration_reads_events(spark):
+    rows = [(1, 3, 50.0), (2, 4, 35.0), (3, 3, 35.0), (4, 5, 50.0), (5, 3, 49.6), (6, 4, None)]
+    got = on_events(spark, "threshold_migration", [(i, None, user, "view", value, None) for i, user, value in rows])
+    assert got == {1: (0.25,), 2: (0.25,), 3: (0.35,), 4: (0.5,), 5: (0.25,), 6: (None,)}
