@@ -112,3 +112,9 @@ def test_threshold_migration_reads_events(spark):
     rows = [(1, 3, 50.0), (2, 4, 35.0), (3, 3, 35.0), (4, 5, 50.0), (5, 3, 49.6), (6, 4, None)]
     got = on_events(spark, "threshold_migration", [(i, None, user, "view", value, None) for i, user, value in rows])
     assert got == {1: (0.25,), 2: (0.25,), 3: (0.35,), 4: (0.5,), 5: (0.25,), 6: (None,)}
+
+
+def test_validate_settings_reads_events(spark):
+    rows = [(1, "auto", 5.0), (2, "click", 200.0), (3, "never", 44.6), (4, None, None), (5, "error", 44.6), (6, "signup", 44.6)]
+    got = on_events(spark, "validate_settings", [(i, None, 1, kind, value, None) for i, kind, value in rows])
+    assert got == {1: (0.1, 10, "auto"), 2: (0.9, 120, "click"), 3: (0.446, 45, "auto"), 4: (0.25, 30, "auto"), 5: (0.25, 45, "auto"), 6: (0.446, 30, "auto")}
