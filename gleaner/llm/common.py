@@ -178,8 +178,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of an edge (a, b): component is the smallest id that edges reach.
 
     Alternating large and small stars; minima are aggregated before the shuffle and joined back, so a hub with many
-    edges is split by the engine as any skewed join. Each round cuts its lineage with a checkpoint, has as many tasks as its
-    edges need, and lets go of what the round before left on disk.
+    edges is split by the engine as any skewed join. Each star cuts its lineage with a checkpoint, as the second one reads the
+    first one's result several times and the driver would plan and keep as many copies of it. A round has as many tasks as
+    its edges need, and lets go of what the round before left on disk.
     """
     spark = edges.sparkSession
 
@@ -198,7 +199,8 @@ def components(edges: DataFrame) -> DataFrame:
     before, now = None, state_of(pairs)
     while now != before:
         tasks = max(8, now[0] // EDGES_PER_TASK)
-        pairs = checkpointed(star(star(pairs, True, tasks), False, tasks).coalesce(tasks))
+        for large in (True, False):
+            pairs = checkpointed(star(pairs, large, tasks).coalesce(tasks))
         before, now = now, state_of(pairs)
         release(spark)
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).union(pairs.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

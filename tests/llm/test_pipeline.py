@@ -133,3 +133,20 @@ def test_entry_without_optional_parts(monkeypatch):
     monkeypatch.setattr(builtins, "__import__", missing)
     left = set(entry.queries())
     assert left < everything and "page_report" in left and not any(n.startswith("op") for n in left) and "pipeline" not in left
+
+
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    """A plan that holds copies of the star before it costs the driver memory, whatever the input."""
+    from gleaner.llm import common
+
+    exchanges, plain = [], common.checkpointed
+
+    def told(df, share=1):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return plain(df, share)
+
+    monkeypatch.setattr(common, "checkpointed", told)
+    edges = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, i) for i in range(101, 120)] + [(7, 7), (3, 2)]
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: i // 10 * 10 for i in range(40)} | {i: 100 for i in range(100, 120)}
+    assert max(exchanges) <= 6, exchanges
