@@ -13,8 +13,11 @@ from gleaner.functions.sqltext import Expr as Column
 #: All that counts as white space in text from the web, as characters and as the inside of a class of a regular expression.
 SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE = r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same inside of a class, for Java's regular expressions: most characters are told by one comparison with the range of what is beyond Latin-1.
+BLANK = r"\t\n\x{0B}\f\r \x{A0}[\x{1680}-\x{FEFF}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]"
 NOTE = r"\[[^\[\]\n\r]{1,30}\]"
-BY_CHARACTER = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+#: None of the three scripts has a character below U+2E80.
+BY_CHARACTER = r"[\x{2E80}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]"
 WORD = r"[\p{L}\p{N}]+(?:['’]\p{L}+)?"
 
 
@@ -53,17 +56,23 @@ def any_of(characters: str) -> str:
     return "[" + "".join("\\" + c if c in "\\^-[]&~#" else c for c in characters) + "]"
 
 
+def among(characters: str) -> str:
+    """The same class for Java: characters beyond Latin-1 are looked at one by one only within their range."""
+    near, far = ("".join(c for c in characters if (ord(c) < 256) is latin) for latin in (True, False))
+    return any_of(near) if not far else any_of(near)[:-1] + f"[{min(far)}-{max(far)}&&{any_of(far)}]]"
+
+
 def strip(x: Column) -> Column:
     return F.trim(x, SPACES)
 
 
 def squeeze(x: Column) -> Column:
     """One blank for each white space between words, none at the ends."""
-    return F.trim(F.regexp_replace(x, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(x, f"[{BLANK}]+", " "))
 
 
 def count_words(x: Column) -> Column:
     """Words; a character of a script without spaces is one, footnote marks behind a character are none."""
-    bare = F.when(F.contains(x, F.lit("[")), F.regexp_replace(x, f"([^{SPACE}])(?:{NOTE})+", "$1 ")).otherwise(x)
+    bare = F.when(F.contains(x, F.lit("[")), F.regexp_replace(x, f"([^{BLANK}])(?:{NOTE})+", "$1 ")).otherwise(x)
     many = F.regexp_count(bare, F.lit(BY_CHARACTER)) + F.regexp_count(F.regexp_replace(bare, BY_CHARACTER, " "), F.lit(WORD))
     return F.when(x.rlike(BY_CHARACTER), many).otherwise(F.regexp_count(bare, F.lit(WORD)))

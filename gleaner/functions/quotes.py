@@ -11,7 +11,8 @@ MARK = '["“”„«»]'
 
 def pairs(text: Column) -> Column:
     """Where quotations begin and end: marks are paired as they nest; a straight one closes what is open, else opens; unpaired ones are ignored."""
-    upto = F.regexp_extract_all(text, F.lit(f'[^"“”„«»]*({MARK})'), F.lit(0))
+    # what follows the last mark is a match too: else each of its places would be tried up to the text's end
+    upto = F.filter(F.regexp_extract_all(text, F.lit(rf'[^"“”„«»]*+(?:{MARK}|\z)'), F.lit(0)), lambda x: F.right(x, F.lit(1)).rlike(MARK))
     marks = let(upto, lambda found: let(running(F.transform(found, lambda x: F.length(x).cast("long")), F.lit(0).cast("long")), lambda at: F.transform(found, lambda x, i: F.struct(F.get(at, i).alias("end"), F.right(x, F.lit(1)).alias("mark")))))
 
     def step(state: Column, m: Column) -> Column:

@@ -11,18 +11,18 @@ Two characters that Unicode leaves undefined serve as marks; in a text they coun
 from __future__ import annotations
 
 from gleaner.functions import sqltext as F
-from gleaner.functions.columns import NOTE, SPACE, SPACES, any_of, count_words, let, running, strip
+from gleaner.functions.columns import BLANK, NOTE, SPACES, among, count_words, let, running, strip
 from gleaner.functions.sqltext import Expr as Column
 from gleaner.plans import values as V
 
 CUT, TAIL = "\ufdd0", "\ufdd1"
-INLINE = SPACE.replace(r"\n", "").replace(r"\r", "")
-CLOSERS, NOTES = any_of(V.CLOSERS) + "*", f"(?:{NOTE})*"
+INLINE = BLANK.replace(r"\n", "").replace(r"\r", "")
+CLOSERS, NOTES = among(V.CLOSERS) + "*", f"(?:{NOTE})*"
 #: Marks, what closes the sentence, footnotes, white space (none needed behind full-width marks), and ahead an opener.
-PLACE = rf"(?:{any_of(V.SENTENCE_MARKS)}*{any_of(V.FLUSH_MARKS)}{CLOSERS}{NOTES}[{INLINE}]*|{any_of(V.SENTENCE_MARKS)}+{CLOSERS}{NOTES}[{INLINE}]+)(?=[\p{{L}}\p{{N}}]|{any_of(V.OPENERS)})"
-MARKS = rf"^({any_of(V.SENTENCE_MARKS)}+){CLOSERS}({NOTES})"
-ENDS = rf"[.!?…。！？]{any_of(chr(34) + chr(39) + '”’»)]')}*{NOTES}[{SPACE}]*$"
-LEAD_IN = rf":{NOTES}[{SPACE}]*$"
+PLACE = rf"(?:{among(V.SENTENCE_MARKS)}*{among(V.FLUSH_MARKS)}{CLOSERS}{NOTES}[{INLINE}]*|{among(V.SENTENCE_MARKS)}+{CLOSERS}{NOTES}[{INLINE}]+)(?=[\p{{L}}\p{{N}}]|{among(V.OPENERS)})"
+MARKS = rf"^({among(V.SENTENCE_MARKS)}+){CLOSERS}({NOTES})"
+ENDS = rf"[.!?…。！？]{among(chr(34) + chr(39) + '”’»)]')}*{NOTES}[{BLANK}]*$"
+LEAD_IN = rf":{NOTES}[{BLANK}]*$"
 AS_WRITTEN = V.ABBREVIATIONS
 IN_ANY_CASE = sorted({a.lower() for a in V.ABBREVIATIONS if a not in V.ABBREVIATIONS_AS_WRITTEN})
 #: More characters than the longest abbreviation has.
@@ -43,7 +43,7 @@ def list_number(before: Column, first: Column, tail: Column) -> Column:
     bare = F.trim(rest, SPACES, "TRAILING")
     apart = F.length(bare) < F.length(rest)
     behind = F.right(bare, F.lit(1)).isin(list(V.BEFORE_ENUMERATOR)) & (apart | ~bare.endswith("."))
-    return (digits > 0) & F.when(bare == "", first | tail.rlike(rf"[.!?…][{SPACE}]+$")).otherwise(behind)
+    return (digits > 0) & F.when(bare == "", first | tail.rlike(rf"[.!?…][{BLANK}]+$")).otherwise(behind)
 
 
 def stays(piece: Column, before_it: Column, after_it: Column) -> Column:
@@ -67,7 +67,7 @@ def joined(pieces: Column) -> Column:
 
     def kept(piece: Column, i: Column) -> Column:
         cut = (i + 1 < F.size(pieces)) & stays(piece, F.get(pieces, i - 1), F.get(pieces, i + 1))
-        return F.concat(F.translate(piece, TAIL, ""), F.when(cut, CUT).otherwise(""))
+        return F.concat(F.replace(piece, TAIL, ""), F.when(cut, CUT).otherwise(""))
 
     return F.array_join(F.transform(pieces, kept), "")
 
@@ -85,7 +85,7 @@ def grouped(lines: Column, words: Column) -> Column:
 
 
 def cleaned(text: Column) -> Column:
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), CUT + TAIL, "\n\n")
+    return F.replace(F.replace(F.coalesce(text.cast("string"), F.lit("")), CUT, "\n"), TAIL, "\n")
 
 
 def segments(text: Column) -> Column:

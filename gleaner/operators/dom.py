@@ -9,13 +9,14 @@ element's own texts are looked at.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as S
 
 from gleaner.functions import quotes
 from gleaner.functions import sqltext as F
-from gleaner.functions.columns import SPACE, count_words, let, running, squeeze, staged, strip
+from gleaner.functions.columns import BLANK, count_words, let, running, squeeze, staged, strip
 from gleaner.functions.sentences import ENDS, LEAD_IN, cleaned, placed, segments
 from gleaner.functions.sqltext import Expr as Column
 from gleaner.functions.stream import CLOSE, ROOT
@@ -36,7 +37,7 @@ def summed(items: Column) -> Column:
 
 def dense(x: Column) -> Column:
     """How many characters are no white space."""
-    return F.length(F.regexp_replace(x, f"[{SPACE}]+", "")).cast("long")
+    return F.length(F.regexp_replace(x, f"[{BLANK}]+", "")).cast("long")
 
 
 def named(names: list[str], *values: Column) -> Column:
@@ -58,9 +59,9 @@ def flags(x: Column) -> Column:
     role, open_ = F.lower(F.coalesce(attr("role"), F.lit(""))), ~tag.isin("", CLOSE)
     has = lambda test: a.isNotNull() & F.coalesce(test, F.lit(False))
     hidden = has(attr("hidden").isNotNull() | (attr("aria-hidden") == "true")) | has(F.lower(attr("contenteditable")) != "false") | has(style_is(attr("style"), "display", "none")) | has(style_is(attr("style"), "visibility", "hidden"))
-    roles = has(F.arrays_overlap(F.split(role, f"[{SPACE}]+"), F.array(*V.SKIP_ROLES)))
+    roles = has(F.arrays_overlap(F.split(role, f"[{BLANK}]+"), F.array(*V.SKIP_ROLES)))
     works = (tag == "cite") | has(role.isin(V.REFERENCE_ROLES)) | a.isNotNull() & tag.isin("ol", "ul", "div", "section", "dl") & named(V.REFERENCE_NAMES, attr("id"), attr("class"))
-    readers = a.isNotNull() & (named(V.UGC_NAMES, attr("id"), attr("class")) | has(F.arrays_overlap(F.split(F.lower(attr("itemprop")), f"[{SPACE}]+"), F.array(*V.UGC_ITEMPROPS))) | has(attr("itemtype").rlike("/(?:" + "|".join(V.UGC_ITEMTYPES) + ")$")))
+    readers = a.isNotNull() & (named(V.UGC_NAMES, attr("id"), attr("class")) | has(F.arrays_overlap(F.split(F.lower(attr("itemprop")), f"[{BLANK}]+"), F.array(*V.UGC_ITEMPROPS))) | has(attr("itemtype").rlike("/(?:" + "|".join(V.UGC_ITEMTYPES) + ")$")))
     return F.struct(
         tag.alias("tag"), x["mate"].alias("mate"), x["parent"].alias("parent"), x["block"].alias("block"), x["table"].alias("table"), x["link"].alias("link"), x["strong"].alias("strong"), x["entry"].alias("entry"), x["main"].alias("main"), x["before"].alias("before"), open_.alias("open"),
         number(open_ & tag.isin(V.FORM_PROSE)).alias("prose"), number(open_ & tag.isin("input", "select", "textarea", "button") & ~has(F.lower(attr("type")) == "hidden")).alias("control"), number(open_ & tag.isin("th", "caption")).alias("headed"), F.when(tag == "", dense(x["text"])).otherwise(0).alias("size"),
@@ -169,7 +170,7 @@ def blocks(df: DataFrame) -> DataFrame:
         x, up = F.get(F.col("f"), i), F.get(F.col("f"), F.get(F.col("f"), i)["parent"])
         is_block = x["tag"].isin(V.BLOCK_LEVEL)
         kind = F.when((x["tag"] == "") & (F.get(F.col("outside"), i) == 0), "text").when(x["open"] & (F.get(F.col("outside"), x["parent"]) == 0) & is_block, "block").when((x["tag"] == "br") & (F.get(F.col("outside"), x["parent"]) == 0) & ~F.get(F.col("left"), i)["out"], "line")
-        text = F.translate(F.get(F.col("items"), i)["text"], "\r\n\t\f\x0b", "     ")
+        text = reduce(lambda x, c: F.replace(x, c, " "), "\r\n\t\f\x0b", F.get(F.col("items"), i)["text"])
         return F.struct(up["block"].alias("block"), i.alias("place"), kind.alias("kind"), F.when(kind == "text", text).alias("text"), (x["link"] >= F.col("top")).alias("link"), (x["strong"] > up["block"]).alias("bold"))
 
     events = F.filter(F.transform(F.when(F.col("end") - F.col("top") > 1, F.sequence(F.col("top") + 1, F.col("end") - 1)).otherwise(F.array().cast("array<int>")), event), lambda e: e["kind"].isNotNull() & judged(e["block"]))
@@ -206,9 +207,9 @@ def label_end(parts: Column, tag: Column, text: Column) -> Column:
     def bold_end(first: Column) -> Column:
         plain = F.array_position(F.transform(F.slice(parts, first, F.size(parts) - first + 1), lambda p: ~p["bold"]), True).cast("int")
         head = F.array_join(F.transform(F.slice(parts, F.lit(1), F.when(plain == 0, F.size(parts)).otherwise(first + plain - 2)), lambda p: p["text"]), "")
-        return let(F.length(head), lambda n: n + F.length(F.regexp_extract(F.substring(text, n + 1, F.length(text)), rf"^([{SPACE}]*[:–—-])", 1)))
+        return let(F.length(head), lambda n: n + F.length(F.regexp_extract(F.substring(text, n + 1, F.length(text)), rf"^([{BLANK}]*[:–—-])", 1)))
 
-    plain = F.regexp_extract(text, rf"^([{SPACE}]*[^\n.!?:]{{1,48}}:)(?=[{SPACE}])", 1)
+    plain = F.regexp_extract(text, rf"^([{BLANK}]*[^\n.!?:]{{1,48}}:)(?=[{BLANK}])", 1)
     by_colon = F.when(tag.isin(V.UNIT_TAGS) & (plain != "") & (count_words(plain) <= V.PLAIN_LABEL_WORDS), F.length(plain)).otherwise(0)
     end = let(solid, lambda first: F.when((first > 0) & F.coalesce(F.get(parts, first - 1)["bold"], F.lit(False)), bold_end(first)).otherwise(by_colon))
     return let(end, lambda n: F.when((n > 0) & count_words(F.left(text, n)).between(1, V.LABEL_WORDS) & (count_words(F.substring(text, n + 1, F.length(text))) >= V.LABEL_REST_WORDS), n).otherwise(0))
@@ -222,8 +223,8 @@ def is_prose(b: Column, text: Column) -> Column:
     bold = F.forall(b["parts"], lambda p: p["bold"] | (strip(p["text"]) == ""))
 
     def by_words(n: Column) -> Column:
-        heading = ~unit & ((n <= V.QUESTION_WORDS) & text.rlike(r"^[^.!]*\?[\"'”’»)\]]*" + f"[{SPACE}]*$") | ~ended & (n <= F.when(bold, V.BOLD_HEADING_WORDS).otherwise(V.HEADING_WORDS)))
-        structure = text.rlike(rf"(?i)^[{SPACE}]*" + V.CAPTION.removeprefix(r"\s*")) | (b["tag"] == "figcaption") & (n <= V.CAPTION_WORDS) | ~ended & b["continues"] | heading
+        heading = ~unit & ((n <= V.QUESTION_WORDS) & text.rlike(r"^[^.!]*\?[\"'”’»)\]]*" + f"[{BLANK}]*$") | ~ended & (n <= F.when(bold, V.BOLD_HEADING_WORDS).otherwise(V.HEADING_WORDS)))
+        structure = text.rlike(rf"(?i)^[{BLANK}]*" + V.CAPTION.removeprefix(r"\s*")) | (b["tag"] == "figcaption") & (n <= V.CAPTION_WORDS) | ~ended & b["continues"] | heading
         return ~(b["tag"].isin(V.LAYOUT_TAGS) & (b["nested"] | (n < V.LAYOUT_WORDS)) | (n < V.MIN_WORDS) | structure)
 
     return (visible > 0) & (linked < V.LINK_RATIO * visible) & let(count_words(text), by_words)
@@ -244,9 +245,10 @@ def block_sentences(b: Column) -> Column:
     def of(text: Column) -> Column:
         def tied(found: Column, label: Column, stretches: Column) -> Column:
             def one(s: Column, i: Column) -> Column:
-                clean, begin = squeeze(s["text"]), F.greatest(s["a"], F.least(label, s["b"]))
+                begin = F.greatest(s["a"], F.least(label, s["b"]))
                 rest = squeeze(F.substring(text, begin + 1, s["b"] - begin))
-                return F.struct(clean.alias("text"), (F.length(clean) - F.length(rest)).cast("int").alias("wrap_start"), quotes.group_of(stretches, i).alias("quote"))
+                behind = lambda clean: F.when(begin > s["a"], F.length(clean) - F.length(rest)).otherwise(0).cast("int")
+                return let(squeeze(s["text"]), lambda clean: F.struct(clean.alias("text"), behind(clean).alias("wrap_start"), quotes.group_of(stretches, i).alias("quote")))
 
             return F.transform(found, one)
 

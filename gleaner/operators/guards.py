@@ -83,7 +83,6 @@ def pack_scores() -> Column:
     """An array of (score, order, pack) with the score of each kind of page, by the signals of a parsed page."""
     host = F.col("host")
     path = F.concat(F.lit("/"), F.trim(F.lower("path"), F.lit("/")), F.lit("/"))
-    hay = F.lower(F.concat_ws("\n", "title", "sample"))
 
     def tests(kind: str, patterns: list[str]) -> Column:
         if kind == "jsonld":
@@ -94,7 +93,7 @@ def pack_scores() -> Column:
             return F.exists(strings(patterns), lambda x: F.contains(path, F.concat(F.lit("/"), x, F.lit("/"))))
         return F.exists(strings(patterns), lambda x: F.when(x.endswith("."), F.startswith(host, x)).otherwise((host == x) | F.endswith(host, F.concat(F.lit("."), x))))
 
-    def score(signals: dict[str, list[str]]) -> Column:
+    def score(signals: dict[str, list[str]], hay: Column) -> Column:
         total = F.lit(0.0)
         for kind, patterns in signals.items():
             if kind == "cue":
@@ -104,7 +103,11 @@ def pack_scores() -> Column:
                 total = total + F.when(tests(kind, patterns), V.WEIGHTS[kind]).otherwise(0.0)
         return F.round(F.least(F.lit(1.0), total), 6)
 
-    return F.array(*[F.struct(score(signals).alias("score"), F.lit(-order).alias("order"), F.lit(name).alias("pack")) for order, (name, signals) in enumerate(V.PACKS)])
+    def scores(hay: Column) -> Column:
+        return F.array(*[F.struct(score(signals, hay).alias("score"), F.lit(-order).alias("order"), F.lit(name).alias("pack")) for order, (name, signals) in enumerate(V.PACKS)])
+
+    # a lambda's argument is worked out once, not again for each cue
+    return F.get(F.transform(F.array(F.lower(F.concat_ws("\n", "title", "sample"))), scores), 0)
 
 
 def routed() -> Column:

@@ -25,10 +25,20 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").where(F.col("url").startswith("http:") | F.col("url").startswith("https:")))
 
 
+#: Bytes of a table for each part; for pages some seconds of work.
+PART = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A small table over all cores, for work that costs far more than the shuffle; a table with as many partitions stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    """A table in even parts, as many for each core, for work that costs far more than the shuffle.
+
+    Where a file is split says nothing of where its rows are, as one task reads a whole row group; a table of many files stays as it is.
+    """
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if min(len(df.inputFiles()), plan.toRdd().getNumPartitions()) >= 4 * cores:
+        return df
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores * max(1, -(-size // (PART * cores))))
 
 
 def streams(scanned: DataFrame) -> DataFrame:

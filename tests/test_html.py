@@ -96,3 +96,25 @@ def test_states_of_the_variants():
     assert by["outline"][2][1]["headings"] == "One | Two" and by["outline"][2][1]["text"].startswith("## Two")
     assert sum(len(s["text"].split(".")) - 1 for _, s in by["shift"]) == 5 and len(by["shift"]) == 4
     assert E.around([10] * 9, slice(4, 5), 30) == slice(3, 6)
+
+
+def test_pages_of_one_row_group_are_dealt_evenly(spark, tmp_path):
+    """A file is split by bytes, but one task reads a row group."""
+    import pyarrow.parquet as pq
+
+    from gleaner.sources.pages import pages
+
+    table = pq.read_table("/root/testdata/sf0.01/pages.parquet")
+    pq.write_table(table, tmp_path / "pages.parquet")
+    conf = {"spark.sql.files.maxPartitionBytes": "32k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = pages(spark, str(tmp_path))
+        dealt = [len(x) for x in found.select("page_id").rdd.glom().collect()]
+        kept = [u for u in table["url"].to_pylist() if u and u.startswith(("http:", "https:"))]
+        assert sum(dealt) == len(kept) and max(dealt) < 0.4 * sum(dealt)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -140,3 +140,27 @@ def test_settings():
     assert hosts.switch("www.News.org", False).switch("news.org", True) == hosts and not hosts.enabled("gist.github.com")
     assert hosts.switch("github.com", True).allowed == ("github.com",) and hosts.keep_always("a.org", True).always("b.a.org")
     assert hosts.keep_always("a.org", True).keep_always("a.org", False) == hosts and not hosts.enabled("")
+
+
+def test_quick_classes_and_quotations_equal_the_plain_ones(spark):
+    """Over all characters; a text's stretch behind its last mark is passed once."""
+    import time
+
+    from gleaner.functions import quotes
+    from gleaner.functions import sqltext as X
+    from gleaner.functions.columns import BLANK, BY_CHARACTER, SPACE, among, any_of
+    from gleaner.plans import values as V
+
+    every = "".join(chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000)
+    one = spark.createDataFrame([(every,)], "x string")
+    plain = [SPACE, SPACE.replace(r"\n", "").replace(r"\r", ""), *(any_of(x)[1:-1] for x in (V.SENTENCE_MARKS, V.FLUSH_MARKS, V.CLOSERS, V.OPENERS)), r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"]
+    quick = [BLANK, BLANK.replace(r"\n", "").replace(r"\r", ""), *(among(x)[1:-1] for x in (V.SENTENCE_MARKS, V.FLUSH_MARKS, V.CLOSERS, V.OPENERS)), BY_CHARACTER[1:-1]]
+    for a, b in zip(plain, quick, strict=True):
+        for no in ("", "^"):
+            found = one.select(*(X.call("regexp_replace", X.col("x"), f"[{no}{c}]", "").column() for c in (a, b))).first()
+            assert found[0] == found[1] and len(found[0]) not in (0, len(every))
+    tail = 'He said "yes" and “no”.' + "and so on\n" * 20000
+    began = time.time()
+    found = spark.createDataFrame([(tail,), ('a "b"',), ("none",), ("",), (None,)], "x string").select(quotes.pairs(X.col("x")).column()).collect()
+    assert [[tuple(y) for y in r[0]] for r in found[:2]] == [[(8, 13), (18, 22)], [(2, 5)]] and [r[0] for r in found[2:4]] == [[], []]
+    assert time.time() - began < 30
